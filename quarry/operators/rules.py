@@ -56,13 +56,20 @@ def prepare(files: DataFrame) -> DataFrame:
                                 x["text"].alias("text")))
 
     unit_t = "array<struct<block_no:int,row_no:int,col_no:int,kind:string,text:string>>"
+    from_blocks = F.exists("blocks", lambda x: F.coalesce(
+        x["text"], table_flat_text(x["rows"])).rlike(NFKC_GATE))
+    given = F.col("nfkc") if "nfkc" in files.columns else F.lit(None).cast("boolean")
+    files = files.withColumn("nfkc", F.coalesce(given, from_blocks))
     files = files.withColumn("_units", F.flatten(F.transform(
         "blocks", lambda x: F.when(x["kind"] == "table", cell_units(x).cast(unit_t))
         .otherwise(para_unit(x).cast(unit_t)))))
     files = files.withColumn("_hay", F.concat(F.transform("blocks", _flat),
                                               F.transform("_units", lambda u: u["text"])))
-    hay = F.col("_hay")
-    files = files.withColumn("_hayk", nfkc_strings(hay, F.exists(hay, lambda h: h.rlike(NFKC_GATE))))
+    # Files that NFKC could change go through the Python step; all others
+    # (the whole driver corpus) never leave the JVM.
+    plain = files.filter(~F.col("nfkc")).withColumn("_hayk", F.col("_hay"))
+    special = files.filter(F.col("nfkc")).withColumn("_hayk", nfkc_strings(F.col("_hay"), F.lit(True)))
+    files = plain.unionByName(special)
     files = files.withColumn("_norm", F.transform("_hayk", normalize_tail))
     nb, nu = F.size("blocks"), F.size("_units")
     norm = F.col("_norm")
@@ -71,7 +78,7 @@ def prepare(files: DataFrame) -> DataFrame:
         lambda x, n: x.withField("flat", _flat(x)).withField("norm", n)))
     files = files.withColumn("units", F.zip_with(
         "_units", F.slice(norm, nb + 1, nu), lambda u, n: u.withField("norm", n)))
-    return files.drop("_units", "_hay", "_hayk", "_norm")
+    return files.drop("_units", "_hay", "_hayk", "_norm", "nfkc")
 
 
 # ---------------------------------------------------------------------------

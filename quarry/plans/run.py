@@ -47,9 +47,13 @@ class Corpus:
     workbooks: list
 
     def all_files(self) -> DataFrame:
-        out = self.files.select("project_id", "label", "ext", "problem", "blocks")
+        cols = ["project_id", "label", "ext", "problem", "blocks"]
+        out = self.files.select(*cols, "nfkc") if "nfkc" in self.files.columns else \
+            self.files.select(*cols, F.lit(None).cast("boolean").alias("nfkc"))
         for wb in self.workbooks:
-            out = out.unionByName(wb.blocks())
+            b = wb.blocks()
+            out = out.unionByName(b.select(*cols, F.exists("blocks", lambda x: F.exists(
+                F.flatten(x["rows"]), lambda v: v.rlike(R.NFKC_GATE))).alias("nfkc")))
         return out
 
 

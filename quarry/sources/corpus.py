@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import py_strip
+from quarry.functions.text import needs_nfkc, py_strip
 
 BLOCK_TYPE = ("struct<block_no:int,kind:string,text:string,"
               "rows:array<array<string>>,location:string>")
@@ -105,6 +105,7 @@ def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".txt").alias("ext"),
         F.when(F.col("text").isNull(), F.lit("Could not read this file: no content.")).alias("problem"),
         F.col("blocks"),
+        needs_nfkc(F.col("text")).alias("nfkc"),
     )
 
 
@@ -129,16 +130,18 @@ def conversations_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _block(F.lit(0), "paragraph", notes_text, F.lit(None),
                F.concat(slide, F.lit(" (notes)"))))).otherwise(F.array().cast(f"array<{BLOCK_TYPE}>"))
     turns = c.select(
-        "conv_id", "turn",
+        "conv_id", "turn", needs_nfkc(F.col("text")).alias("nfkc"),
         F.when(F.col("role") == "system", notes_blocks).otherwise(para_blocks).alias("tb"))
     decks = (turns.groupBy("conv_id")
-             .agg(F.array_sort(F.collect_list(F.struct("turn", "tb"))).alias("turns")))
+             .agg(F.array_sort(F.collect_list(F.struct("turn", "tb"))).alias("turns"),
+                  F.bool_or("nfkc").alias("nfkc")))
     return decks.select(
         F.lit(CONVERSATIONS_PROJECT).alias("project_id"),
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pptx")).alias("label"),
         F.lit(".pptx").alias("ext"),
         F.lit(None).cast("string").alias("problem"),
         number_blocks(F.flatten(F.transform("turns", lambda t: t["tb"]))).alias("blocks"),
+        F.col("nfkc"),
     )
 
 
@@ -231,4 +234,5 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".html").alias("ext"),
         F.when(F.col("html").isNull(), F.lit("Could not read this file: no content.")).alias("problem"),
         F.col("blocks"),
+        needs_nfkc(F.col("html")).alias("nfkc"),
     )
