@@ -473,4 +473,68 @@ SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name FROM RECORDS WHERE N
         "flagged_fields": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name,
   coalesce(note, 'Not found in the documents.') AS text FROM RECORDS WHERE NOT found OR note IS NOT NULL""",
+        **more_oracles(),
+    }
+
+
+def more_oracles() -> dict[str, str]:
+    from quarry.fixtures import CORPUS_RULESET, CORPUS_TEMPLATE
+    from quarry.plans.report import LEFTOVER_BASE
+    from quarry.sources.files import SUPPORTED
+    rec = records_sql(CORPUS_RULESET)
+    rules = compile_ruleset(CORPUS_RULESET)
+    secs = (CORPUS_TEMPLATE.get("sections") or [])
+    sec_rows = " UNION ALL ".join(
+        f"SELECT {i} AS section_no, {q(s.get('type'))} AS type, {q(s.get('text', ''))} AS text, "
+        f"{q(s['field']) if s.get('field') is not None else 'CAST(NULL AS VARCHAR)'} AS field"
+        for i, s in enumerate(secs))
+    supported = ", ".join(q(e) for e in SUPPORTED)
+    unsupported = "'. Supported: " + ", ".join(SUPPORTED) + ".'"
+    ext = "lower(regexp_extract(label, '(\\.[^./\\\\]*)$', 1))"
+    problem = (f"CASE WHEN ext = '.doc' THEN 'legacy' WHEN ext NOT IN ({supported}) THEN "
+               f"'Unsupported file type ''' || ext || {unsupported} END")
+    cands = " UNION ALL ".join(
+        f"SELECT project_id, CAST({r.rule_no} AS BIGINT) AS rule_no, label FROM FILES f WHERE {cand_sql(r)}"
+        for r in rules)
+    return {
+        "template_order": rec + f""",
+SECS AS ({sec_rows}),
+BYNAME AS (SELECT project_id, name, max(rule_no) AS rule_no FROM RECORDS GROUP BY project_id, name),
+PROJ AS (SELECT DISTINCT project_id FROM RECORDS),
+HEADS AS (SELECT p.project_id, CAST(s.section_no AS BIGINT) AS sort_key, 'heading' AS item_type, s.text,
+                 CAST(-1 AS BIGINT) AS rule_no FROM PROJ p, SECS s WHERE s.type = 'heading'),
+FLDS AS (SELECT b.project_id, CAST(s.section_no AS BIGINT) AS sort_key, 'field' AS item_type, b.name AS text,
+                CAST(b.rule_no AS BIGINT) AS rule_no
+         FROM SECS s JOIN BYNAME b ON b.name = s.field WHERE s.type <> 'heading'),
+USED AS (SELECT DISTINCT project_id, text AS name FROM FLDS),
+REST AS (SELECT r.project_id, CAST({LEFTOVER_BASE} + r.rule_no AS BIGINT), 'field', r.name, CAST(r.rule_no AS BIGINT)
+         FROM RECORDS r WHERE NOT EXISTS (SELECT 1 FROM USED u WHERE u.project_id = r.project_id AND u.name = r.name))
+SELECT * FROM HEADS UNION ALL SELECT * FROM FLDS UNION ALL SELECT * FROM REST""",
+        "coverage": file_records_sql(CORPUS_RULESET) + """
+SELECT project_id, CAST(coalesce(rule_no, -1) AS BIGINT) AS rule_no, count(*) AS files_tried,
+  count(*) FILTER (WHERE found AND coalesce(note, '') <> 'Nothing found; the rule''s default value was used.') AS hits,
+  count(*) FILTER (WHERE found AND coalesce(note, '') = 'Nothing found; the rule''s default value was used.') AS defaults,
+  count(*) FILTER (WHERE NOT found) AS misses,
+  CAST(GROUPING(project_id, rule_no) AS BIGINT) AS level
+FROM PF GROUP BY ROLLUP (project_id, rule_no)""",
+        "manifest_fields": rec + """
+SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, rule_type AS rule, found, citation FROM RECORDS""",
+        "file_fingerprint": """
+SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, sha256(text) AS sha256 FROM documents""",
+        "files_register": f"""
+WITH F0 AS (
+  SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents
+  UNION ALL
+  SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), 'page_' || page_id || '.html',
+         CAST(octet_length(encode(html)) AS BIGINT) FROM pages
+  UNION ALL
+  SELECT 'conversations', 'conv_' || conv_id || '.pptx', CAST(sum(octet_length(encode(text))) AS BIGINT)
+  FROM conversations GROUP BY conv_id),
+F1 AS (SELECT *, {ext} AS ext FROM F0)
+SELECT project_id, label, ext, size, ext IN ({supported}) AS supported, {problem} AS problem FROM F1""",
+        "pick_files": f"WITH {blocks_ctes()}\n{cands}",
+        "enrich_additive": rec + """
+SELECT r.project_id, CAST(r.rule_no AS BIGINT) AS rule_no, r.name, r.found, r.citation,
+  'quality=' || l.quality || ' toxic=' || l.toxic AS suggestion
+FROM RECORDS r LEFT JOIN labels l ON r.file_label = 'doc_' || l.doc_id || '.txt'""",
     }

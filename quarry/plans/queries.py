@@ -100,8 +100,17 @@ def _records_out(df: DataFrame) -> DataFrame:
                                            F.col("value_blocks"))).alias("value"))
 
 
-def records(spark, sf_dir, ruleset=CORPUS_RULESET) -> DataFrame:
-    return RUN.run_ruleset(spark, flagship_corpus(spark, sf_dir), ruleset)
+def records(spark, sf_dir, ruleset=CORPUS_RULESET, materialize: bool = False) -> DataFrame:
+    """The run's records. Reports read them several times, so they ask for
+    a materialised copy: a reliable checkpoint in the shared checkpoint
+    folder (one row per project and rule, so small), which also cuts the
+    lineage back to the corpus scan."""
+    recs = RUN.run_ruleset(spark, flagship_corpus(spark, sf_dir), ruleset)
+    if materialize:
+        from quarry.session import checkpoint_dir
+        checkpoint_dir(spark)
+        recs = recs.checkpoint(eager=True)
+    return recs
 
 
 def apply_ruleset(spark, sf_dir):
@@ -207,3 +216,90 @@ def result_rows(spark, sf_dir):
                     "citation", "note",
                     preview(F.col("found"), F.col("kind"), F.col("value_text"), F.col("value_rows"),
                             F.col("value_blocks")).alias("preview"))
+
+
+# ---------------------------------------------------------------------------
+# reports, manifest, registry
+# ---------------------------------------------------------------------------
+
+from quarry.fixtures import CORPUS_TEMPLATE  # noqa: E402
+from quarry.plans import report as REP  # noqa: E402
+
+RUN_STAMP = "2026-01-01 00:00"
+
+
+def template_order(spark, sf_dir):
+    return REP.template_order(records(spark, sf_dir, materialize=True), CORPUS_TEMPLATE).select(
+        "project_id", "sort_key", "item_type", "text",
+        F.coalesce(F.col("rule_no"), F.lit(-1)).cast("bigint").alias("rule_no"))
+
+
+def coverage(spark, sf_dir):
+    corpus = flagship_corpus(spark, sf_dir)
+    rules = compile_ruleset(CORPUS_RULESET)
+    pf = RUN.file_records(corpus.all_files(), rules)
+    pf = pf.unionByName(RUN.sheet_records(spark, corpus.workbooks, rules))
+    return REP.coverage(pf).select("project_id", F.coalesce(F.col("rule_no"), F.lit(-1)).cast("bigint").alias("rule_no"),
+                                   "files_tried", "hits", "defaults", "misses", "level")
+
+
+def manifest_fields(spark, sf_dir):
+    return REP.manifest_fields(records(spark, sf_dir)).withColumn("rule_no", F.col("rule_no").cast("bigint"))
+
+
+def file_fingerprint(spark, sf_dir):
+    """S5 over the document texts (the file's bytes)."""
+    d = C.read_table(spark, sf_dir, "documents")
+    files = d.select(F.col("source").alias("project_id"),
+                     F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("label"),
+                     F.col("text").alias("content"))
+    return REP.file_manifest(files)
+
+
+def files_register(spark, sf_dir):
+    from quarry.sources.files import register
+    return register(spark, sf_dir)
+
+
+def pick_files(spark, sf_dir):
+    """Every (project, rule, candidate file)."""
+    corpus = flagship_corpus(spark, sf_dir)
+    rules = compile_ruleset(CORPUS_RULESET)
+    labels = corpus.files.select("project_id", "label")
+    for wb in corpus.workbooks:
+        labels = labels.unionByName(spark.range(1).select(F.lit(wb.project).alias("project_id"),
+                                                          F.lit(wb.label).alias("label")))
+    cands = F.array(*[F.struct(F.lit(r.rule_no).cast("bigint").alias("rule_no"),
+                               RUN.candidate(r, F.col("label")).alias("cand")) for r in rules])
+    return labels.select("project_id", "label", F.inline_outer(cands)).filter(F.col("cand")).drop("cand")
+
+
+def enrich_additive(spark, sf_dir):
+    """A suggestion from the labels table (document quality), joined
+    to records; the extracted columns cannot change."""
+    recs = records(spark, sf_dir, materialize=True)
+    lab = C.read_table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_label"),
+        F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="),
+                 F.col("toxic").cast("string")).alias("suggestion"))
+    sugg = recs.join(lab, "file_label").select("project_id", "rule_no", "suggestion")
+    out = REP.enrich(recs, sugg)
+    return out.select("project_id", F.col("rule_no").cast("bigint").alias("rule_no"), "name", "found",
+                      "citation", "suggestion")
+
+
+def _file_counts(spark, sf_dir):
+    corpus = flagship_corpus(spark, sf_dir)
+    counts = corpus.files.groupBy("project_id").agg(F.count("*").alias("n_files"))
+    for wb in corpus.workbooks:
+        counts = counts.unionByName(spark.range(1).select(F.lit(wb.project).alias("project_id"),
+                                                          F.lit(1).cast("bigint").alias("n_files")))
+    return counts
+
+
+def report_markdown(spark, sf_dir):
+    return REP.report_markdown(records(spark, sf_dir, materialize=True), CORPUS_TEMPLATE, RUN_STAMP, _file_counts(spark, sf_dir))
+
+
+def report_json(spark, sf_dir):
+    return REP.report_json(records(spark, sf_dir, materialize=True), CORPUS_TEMPLATE, RUN_STAMP, _file_counts(spark, sf_dir))
