@@ -474,6 +474,9 @@ SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name FROM RECORDS WHERE N
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name,
   coalesce(note, 'Not found in the documents.') AS text FROM RECORDS WHERE NOT found OR note IS NOT NULL""",
         **more_oracles(),
+        "blocks_html": html_blocks_sql(),
+        "merged_cells": merged_cells_sql(),
+        "rule_lint": rule_lint_sql(),
     }
 
 
@@ -538,3 +541,74 @@ SELECT r.project_id, CAST(r.rule_no AS BIGINT) AS rule_no, r.name, r.found, r.ci
   'quality=' || l.quality || ' toxic=' || l.toxic AS suggestion
 FROM RECORDS r LEFT JOIN labels l ON r.file_label = 'doc_' || l.doc_id || '.txt'""",
     }
+
+
+def html_blocks_sql() -> str:
+    from quarry.sources.corpus import HTML_BLOCK_TAG, HTML_DROP, HTML_ENTITIES, HTML_OPENERS
+
+    def html_text(x):
+        t = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+        for ent, ch in HTML_ENTITIES:
+            t = f"replace({t}, {q(ent)}, {q(ch)})"
+        return t
+
+    openers = ", ".join(q(t) for t in HTML_OPENERS)
+    return f"""WITH pg AS (
+  SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1) AS project_id,
+         'page_' || page_id || '.html' AS label,
+         regexp_replace(regexp_replace(coalesce(html, ''), {q(HTML_DROP)}, '', 'g'), {q(HTML_BLOCK_TAG)},
+                        chr(1) || '\\1\\2' || chr(2), 'g') AS marked
+  FROM pages),
+pieces AS (
+  SELECT project_id, label, unnest(string_split(marked, chr(1))) AS piece,
+         unnest(generate_series(1, len(string_split(marked, chr(1))))) AS idx FROM pg),
+p2 AS (
+  SELECT project_id, label, idx, lower(split_part(piece, chr(2), 1)) AS tag,
+         regexp_replace(piece, '^[^\\x{{02}}]*\\x{{02}}', '') AS body
+  FROM pieces WHERE idx > 1),
+p3 AS (
+  SELECT project_id, label, idx, tag,
+         CASE WHEN tag = 'ul' THEN 'table' ELSE 'paragraph' END AS kind,
+         CASE WHEN tag = 'ul' THEN NULL ELSE {html_text('body')} END AS text,
+         CASE WHEN tag = 'ul' THEN [list_transform(string_split_regex(body, '(?i)<li\\b[^>]*>')[2:],
+              lambda x: {strip_ws(html_text('x'))})] END AS rows
+  FROM p2 WHERE tag IN ({openers})),
+p4 AS (
+  SELECT *, CASE WHEN tag LIKE 'h%' AND {strip_ws('text')} <> '' THEN '§' || {strip_ws('text')} END AS hloc FROM p3),
+p5 AS (
+  SELECT *, coalesce(last_value(hloc IGNORE NULLS) OVER (PARTITION BY label ORDER BY idx
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'body') AS location,
+         row_number() OVER (PARTITION BY label ORDER BY idx) AS block_no
+  FROM p4)
+SELECT project_id, label, CAST(block_no AS BIGINT) AS block_no, kind, location,
+  CASE WHEN kind = 'table' THEN array_to_string(flatten(rows), ' ') ELSE text END AS text,
+  CAST(CASE WHEN kind = 'table' THEN len(rows) ELSE 0 END AS BIGINT) AS n_rows
+FROM p5"""
+
+
+def merged_cells_sql() -> str:
+    return """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS BIGINT) AS col_no,
+  CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS k FROM lineitem)
+WHERE k = 1"""
+
+
+def rule_lint_sql() -> str:
+    from quarry.fixtures import CORPUS_RULESET
+    from quarry.operators.compile import METHODS_BY_EXT
+    from quarry.plans.queries import LINT_EXTS
+    table = dict(METHODS_BY_EXT)
+    for e, like in LINT_EXTS.items():
+        table[e] = table[like]
+    rules = compile_ruleset(CORPUS_RULESET)
+    allowed = " UNION ALL ".join(f"SELECT {q(e)} AS ext, {q(m)} AS method" for e, ms in table.items() for m in ms)
+    types = " UNION ALL ".join(f"SELECT CAST({r.rule_no} AS BIGINT) AS rule_no, {q(r.type)} AS rule_type" for r in rules)
+    cands = " UNION ALL ".join(
+        f"SELECT project_id, CAST({r.rule_no} AS BIGINT) AS rule_no, label FROM FILES f WHERE {cand_sql(r)}"
+        for r in rules)
+    return f"""WITH {blocks_ctes()},
+ALLOWED AS ({allowed}), TYPES AS ({types}), CANDS AS ({cands})
+SELECT c.project_id, c.rule_no, c.label, lower(regexp_extract(c.label, '(\\.[^.]*)$', 1)) AS ext, t.rule_type
+FROM CANDS c JOIN TYPES t ON t.rule_no = c.rule_no
+WHERE NOT EXISTS (SELECT 1 FROM ALLOWED a WHERE a.ext = lower(regexp_extract(c.label, '(\\.[^.]*)$', 1))
+                  AND a.method = t.rule_type)"""

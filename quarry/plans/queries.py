@@ -303,3 +303,46 @@ def report_markdown(spark, sf_dir):
 
 def report_json(spark, sf_dir):
     return REP.report_json(records(spark, sf_dir, materialize=True), CORPUS_TEMPLATE, RUN_STAMP, _file_counts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# merged cells (S9) and the rule lint
+# ---------------------------------------------------------------------------
+
+def merged_cells(spark, sf_dir):
+    """S9 re-aimed: an order is a table row, its line items are the row's
+    cells in line-number order and the supplier is the underlying cell; a
+    repeated supplier is a merge duplicate. Keep the first occurrence,
+    renumber the columns densely (ties in line number broken by supplier,
+    so the numbering is deterministic). One shuffle on the row key serves both
+    windows (an order is bounded: a handful of lines)."""
+    from pyspark.sql import Window as W
+    li = C.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    li = li.repartition("l_orderkey")
+    first = li.withColumn("k", F.row_number().over(
+        W.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber"))).filter(F.col("k") == 1)
+    return first.select(
+        "l_orderkey", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+        .cast("bigint").alias("col_no"), F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_suppkey")
+
+
+# Re-aimed kinds take the methods of the format they stand in for.
+LINT_EXTS = {".txt": ".pdf", ".html": ".docx"}
+
+
+def rule_lint(spark, sf_dir):
+    """(project, rule, candidate file) where the rule's method is not
+    one offered for the file's type. Advisory only: runs never enforce it."""
+    from quarry.operators.compile import METHODS_BY_EXT
+    table = dict(METHODS_BY_EXT)
+    for e, like in LINT_EXTS.items():
+        table[e] = table[like]
+    methods = F.create_map(*[x for e, ms in table.items()
+                             for x in (F.lit(e), F.array(*[F.lit(m) for m in ms]))])
+    cands = pick_files(spark, sf_dir)
+    rules = compile_ruleset(CORPUS_RULESET)
+    types = F.create_map(*[x for r in rules for x in (F.lit(r.rule_no).cast("bigint"), F.lit(r.type))])
+    ext = F.lower(F.regexp_extract("label", "(\\.[^.]*)$", 1))
+    allowed = F.coalesce(methods[ext], F.array().cast("array<string>"))
+    return cands.select("project_id", "rule_no", "label", ext.alias("ext"), types[F.col("rule_no")].alias("rule_type")) \
+        .filter(~F.array_contains(allowed, F.col("rule_type")))

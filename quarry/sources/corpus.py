@@ -148,7 +148,7 @@ def conversations_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The HTML entities the page decoder understands, in the order
 # they are replaced ('&amp;' last so '&amp;lt;' stays '&lt;').
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"),
-                 ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")]
+                 ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 HTML_DROP = "(?is)<head\\b.*?</head>|<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 HTML_BLOCK_TAG = "(?i)<(/?)(h[1-6]|p|ul|div|footer|article|nav|header|main|section|body|html)\\b[^>]*>"
 HTML_OPENERS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "div", "footer"]
