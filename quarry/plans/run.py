@@ -42,9 +42,12 @@ FILE_REC_T = (
 
 @dataclass
 class Corpus:
-    """Files as rows with ordered blocks, plus workbooks for sheet rules."""
+    """Files as rows with ordered blocks, plus workbooks for sheet rules:
+    relational workbooks (sheets known on the driver) and decoded office
+    workbooks (``cell_books``: sheet list and sparse cells as DataFrames)."""
     files: DataFrame
     workbooks: list
+    cell_books: tuple | None = None
 
     def all_files(self) -> DataFrame:
         cols = ["project_id", "label", "ext", "problem", "blocks"]
@@ -243,11 +246,94 @@ def pick(spark: SparkSession, per_file: DataFrame, rules: list[Rule]) -> DataFra
     )
 
 
-def run_ruleset(spark: SparkSession, corpus: Corpus, ruleset: dict) -> DataFrame:
-    """The records of one rule set over every project of the corpus."""
-    rules = compile_ruleset(ruleset)
-    per_file = file_records(corpus.all_files(), rules)
+def corpus_file_records(spark: SparkSession, corpus: Corpus, rules: list[Rule]) -> DataFrame:
+    """Per (file, rule) records of the whole corpus, sheet rules included."""
+    files = corpus.all_files()
+    per_file = file_records(files, rules)
     sheets = sheet_records(spark, corpus.workbooks, rules)
     if sheets is not None:
         per_file = per_file.unionByName(sheets)
-    return pick(spark, per_file, rules)
+    if corpus.cell_books is not None:
+        book_sheets, cells = corpus.cell_books
+        decoded = cell_sheet_records(files, book_sheets, cells, rules)
+        if decoded is not None:
+            per_file = per_file.unionByName(decoded)
+    return per_file
+
+
+def run_ruleset(spark: SparkSession, corpus: Corpus, ruleset: dict) -> DataFrame:
+    """The records of one rule set over every project of the corpus."""
+    rules = compile_ruleset(ruleset)
+    return pick(spark, corpus_file_records(spark, corpus, rules), rules)
+
+
+def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, rules: list[Rule]) -> DataFrame | None:
+    """R5a/R5b on decoded workbooks, whose sheet names are data.
+
+    Per sheet rule: the candidate workbooks, the first sheet (tab order)
+    whose trimmed, lower-cased name equals the rule's, the rule's cell
+    rectangle filtered out of the sparse cells (a pushed-down filter on row
+    and column), and the tab list for the missing-sheet note. Every join is
+    on the file label; the rectangle and the tab list are bounded by the
+    rule and the workbook's sheet count."""
+    from quarry.functions.text import py_strip
+    books = files.filter(F.col("ext").isin(".xlsx", ".xlsm") & F.col("problem").isNull()) \
+        .select("project_id", "label")
+    tabs = sheets.groupBy("label").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("sheet_ord", "sheet"))), lambda x: x["sheet"]), ", ").alias("tabs"))
+    parts = []
+    for rule in rules:
+        if rule.type != "sheet_cell" or rule.error is not None:
+            continue
+        sheet_name = rule.p("sheet")
+        ref = (rule.params.get("cell", "") or "").strip()
+        is_range = ":" in ref
+        loc = f"{sheet_name}!{ref}"
+        want = (sheet_name or "").strip().lower()
+        target = sheets.filter(F.lower(py_strip(F.col("sheet"))) == want).groupBy("label") \
+            .agg(F.min_by("sheet", "sheet_ord").alias("target"))
+        cand = books.filter(candidate(rule, F.col("label")))
+        base = cand.join(target, "label", "left").join(tabs, "label", "left")
+        no_tab = F.concat(F.lit(f"No tab named '{sheet_name}'. Tabs found: "), F.coalesce("tabs", F.lit("")),
+                          F.lit("."))
+        kind = "table" if is_range else "text"
+        missing = R.raw_result(kind, location=loc if is_range else None, note=no_tab)
+        spec = rule.sheet_ref
+        if spec[0] == "bad":
+            raw = F.when(F.col("target").isNull(), missing).otherwise(R.raw_result(kind, location=loc, note=spec[1]))
+            j = base
+        elif spec[0] == "cell":
+            r, c = spec[1], spec[2]
+            hit = cells.filter((F.col("row_no") == r) & (F.col("col_no") == c)).select(
+                "label", F.col("sheet").alias("target"), F.col("value"))
+            j = base.join(hit, ["label", "target"], "left")
+            note = (f"Cell {ref} on '{sheet_name}' is empty, or holds a formula whose result was never saved "
+                    f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
+            raw = F.when(F.col("target").isNull(), missing).otherwise(R.raw_result(
+                "text", value_text=F.col("value"), location=loc, note=F.when(F.col("value").isNull(), F.lit(note))))
+        else:
+            r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
+            r1, r2, c1, c2 = min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
+            rect = cells.filter(F.col("row_no").between(r1, r2) & F.col("col_no").between(c1, c2)) \
+                .groupBy("label", F.col("sheet").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct(
+                    F.struct(F.col("row_no").alias("r"), F.col("col_no").alias("c")), F.col("value")))).alias("m"))
+            j = base.join(rect, ["label", "target"], "left")
+            m = F.coalesce(F.col("m"), F.create_map().cast("map<struct<r:int,c:int>,string>"))
+            grid = F.transform(F.sequence(F.lit(r1), F.lit(r2)), lambda rr: F.transform(
+                F.sequence(F.lit(c1), F.lit(c2)),
+                lambda cc: F.coalesce(m[F.struct(rr.alias("r"), cc.alias("c"))], F.lit(""))))
+            blank = ~F.exists(F.flatten(grid), lambda v: F.trim(v) != "")
+            note = (f"Range {ref} on '{sheet_name}' is empty, or holds formulas whose results were never "
+                    f"saved by Excel.")
+            raw = (F.when(F.col("target").isNull(), missing)
+                   .when(blank, R.raw_result("table", location=loc, note=note))
+                   .otherwise(R.raw_result("table", value_rows=grid, location=loc)))
+        parts.append(j.select("project_id", "label", F.lit(None).cast("string").alias("problem"),
+                              F.lit(rule.rule_no).alias("rule_no"), F.lit(True).alias("cand"),
+                              finish(rule, F.col("label"), raw).alias("rec")))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
