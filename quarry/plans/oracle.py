@@ -46,6 +46,20 @@ def render_block(kind: str, text: str, rows: str) -> str:
     return f"CASE WHEN {kind} = 'table' THEN {render_rows(rows)} ELSE {text} END"
 
 
+def preview_block(kind: str, text: str, rows: str) -> str:
+    return f"CASE WHEN {kind} = 'table' THEN '[table ' || len({rows}) || ' rows]' ELSE {text} END"
+
+
+def first_row_text(rows: str) -> str:
+    return f"coalesce(array_to_string({rows}[1], ' / '), '')"
+
+
+def preview_sql(pv: str) -> str:
+    """Whitespace collapsed and stripped, cut at 160 characters with '…'."""
+    s = strip_ws(f"regexp_replace({pv}, '{WS}+', ' ', 'g')")
+    return f"CASE WHEN length({s}) > 160 THEN substr({s}, 1, 160) || '…' ELSE {s} END"
+
+
 # ---------------------------------------------------------------------------
 # block tables
 # ---------------------------------------------------------------------------
@@ -205,7 +219,8 @@ def rule_raw_sql(rule) -> str:
     n = rule.rule_no
     base = f"SELECT f.project_id, f.label FROM FILES f WHERE f.problem IS NULL AND {cand_sql(rule)}"
     none = (f"SELECT project_id, label, 'text' AS kind, CAST(NULL AS VARCHAR) AS value, false AS found, "
-            f"CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS note FROM ({base})")
+            f"CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS VARCHAR) AS pv "
+            f"FROM ({base})")
     if rule.error is not None:
         return none.replace("CAST(NULL AS VARCHAR) AS note", f"{q(rule.error)} AS note")
     t = rule.type
@@ -239,16 +254,21 @@ def rule_raw_sql(rule) -> str:
             full = "(SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS v WHERE false)"
         s_cte = (f"(SELECT label, min(block_no) AS s FROM B WHERE kind = 'paragraph' AND contains(norm, {ns}) "
                  f"GROUP BY label)")
-        span = (f"(SELECT b.label, string_agg({render_block('b.kind', 'b.text', 'b.rows')}, {NL} ORDER BY b.block_no) AS v, "
-                f"count(*) AS cnt FROM B b JOIN s{n} s ON b.label = s.label LEFT JOIN e{n} e ON b.label = e.label "
-                f"WHERE b.block_no > s.s AND (e.e IS NULL OR b.block_no < e.e) GROUP BY b.label)")
+        span = (f"(SELECT label, string_agg(rb, {NL} ORDER BY block_no) AS v, count(*) AS cnt, "
+                f"string_agg(CASE WHEN k <= 3 THEN pb END, ' ' ORDER BY block_no) AS pv FROM ("
+                f"SELECT b.label, b.block_no, {render_block('b.kind', 'b.text', 'b.rows')} AS rb, "
+                f"{preview_block('b.kind', 'b.text', 'b.rows')} AS pb, "
+                f"row_number() OVER (PARTITION BY b.label ORDER BY b.block_no) AS k "
+                f"FROM B b JOIN s{n} s ON b.label = s.label LEFT JOIN e{n} e ON b.label = e.label "
+                f"WHERE b.block_no > s.s AND (e.e IS NULL OR b.block_no < e.e)) GROUP BY label)")
         return f"""
 WITH s{n} AS {s_cte}, e{n} AS {e_cte}
 SELECT c.project_id, c.label,
   CASE WHEN inl.v IS NOT NULL THEN 'text' WHEN sp.cnt > 0 THEN 'block' ELSE 'text' END AS kind,
   CASE WHEN inl.v IS NOT NULL THEN inl.v WHEN sp.cnt > 0 THEN sp.v ELSE fu.v END AS value,
   (inl.v IS NOT NULL OR coalesce(sp.cnt, 0) > 0 OR fu.v IS NOT NULL) AS found,
-  lo.loc AS location, CAST(NULL AS VARCHAR) AS note
+  lo.loc AS location, CAST(NULL AS VARCHAR) AS note,
+  CASE WHEN inl.v IS NOT NULL THEN inl.v WHEN sp.cnt > 0 THEN sp.pv ELSE fu.v END AS pv
 FROM ({base}) c
 LEFT JOIN ({inl}) inl ON inl.label = c.label
 LEFT JOIN {span} sp ON sp.label = c.label
@@ -270,7 +290,8 @@ LEFT JOIN {loc} lo ON lo.label = c.label"""
         return f"""
 SELECT c.project_id, c.label, 'text' AS kind,
   CASE WHEN h.label IS NOT NULL THEN {val} END AS value,
-  coalesce({val} <> '', false) AS found, b.location AS location, CAST(NULL AS VARCHAR) AS note
+  coalesce({val} <> '', false) AS found, b.location AS location, CAST(NULL AS VARCHAR) AS note,
+  CASE WHEN h.label IS NOT NULL THEN {val} END AS pv
 FROM ({base}) c LEFT JOIN ({hit}) h ON h.label = c.label
 LEFT JOIN B b ON b.label = h.label AND b.block_no = h.block_no"""
     if t in ("around_keywords", "table_contains"):
@@ -284,7 +305,8 @@ LEFT JOIN B b ON b.label = h.label AND b.block_no = h.block_no"""
         if t == "table_contains":
             return f"""
 SELECT c.project_id, c.label, 'table' AS kind, {render_rows('t.rows')} AS value,
-  t.label IS NOT NULL AS found, t.location AS location, CAST(NULL AS VARCHAR) AS note
+  t.label IS NOT NULL AS found, t.location AS location, CAST(NULL AS VARCHAR) AS note,
+  {first_row_text('t.rows')} AS pv
 FROM ({base}) c LEFT JOIN ({tab}) t ON t.label = c.label"""
         paras = (f"SELECT label, block_no, text, location, norm, "
                  f"row_number() OVER (PARTITION BY label ORDER BY block_no) AS pi, "
@@ -293,7 +315,9 @@ FROM ({base}) c LEFT JOIN ({tab}) t ON t.label = c.label"""
         return f"""
 WITH p{n} AS ({paras}),
 h{n} AS (SELECT label, min(pi) AS i FROM p{n} WHERE contains(norm, {nk}) GROUP BY label),
-w{n} AS (SELECT p.label, string_agg(p.text, {NL} ORDER BY p.pi) AS v, count(*) AS cnt
+w{n} AS (SELECT p.label, string_agg(p.text, {NL} ORDER BY p.pi) AS v, count(*) AS cnt,
+         string_agg(CASE WHEN p.pi - 1 < greatest(h.i - 1 - ({rule.before}), 0) + 3 THEN p.text END, ' '
+                    ORDER BY p.pi) AS pv
          FROM p{n} p JOIN h{n} h ON p.label = h.label
          WHERE p.pi - 1 >= greatest(h.i - 1 - ({rule.before}), 0) AND p.pi - 1 < h.i + ({rule.after})
          GROUP BY p.label),
@@ -303,7 +327,8 @@ SELECT c.project_id, c.label,
   CASE WHEN t.label IS NOT NULL THEN {render_rows('t.rows')} ELSE w.v END AS value,
   (t.label IS NOT NULL OR coalesce(w.cnt, 0) > 0) AS found,
   CASE WHEN t.label IS NOT NULL THEN t.location ELSE hl.location END AS location,
-  CAST(NULL AS VARCHAR) AS note
+  CAST(NULL AS VARCHAR) AS note,
+  CASE WHEN t.label IS NOT NULL THEN {first_row_text('t.rows')} ELSE w.pv END AS pv
 FROM ({base}) c LEFT JOIN ({tab}) t ON t.label = c.label
 LEFT JOIN w{n} w ON w.label = c.label LEFT JOIN hl{n} hl ON hl.label = c.label"""
     if t == "sheet_cell":
@@ -317,8 +342,8 @@ def sheet_cell_sql(rule, base: str) -> str:
     is_range = ":" in ref
     loc = f"{sheet_name}!{ref}"
     non_wb = (f"SELECT project_id, label, 'text' AS kind, CAST(NULL AS VARCHAR) AS value, false AS found, "
-              f"CAST(NULL AS VARCHAR) AS location, 'This rule only applies to spreadsheet files.' AS note "
-              f"FROM ({base}) WHERE label NOT LIKE '%.xlsx'")
+              f"CAST(NULL AS VARCHAR) AS location, 'This rule only applies to spreadsheet files.' AS note, "
+              f"CAST(NULL AS VARCHAR) AS pv FROM ({base}) WHERE label NOT LIKE '%.xlsx'")
     want = (sheet_name or "").strip().lower()
     sheet = next((s for s in TPCH_SHEETS if s[0].strip().lower() == want), None)
     wb = f"SELECT project_id, label FROM ({base}) WHERE label LIKE '%.xlsx'"
@@ -327,12 +352,13 @@ def sheet_cell_sql(rule, base: str) -> str:
         names = ", ".join(s[0] for s in TPCH_SHEETS)
         note = f"No tab named '{sheet_name}'. Tabs found: {names}."
         w = (f"SELECT project_id, label, {q(kind)}, CAST(NULL AS VARCHAR), false, "
-             f"{q(loc) if is_range else 'CAST(NULL AS VARCHAR)'}, {q(note)} FROM ({wb})")
+             f"{q(loc) if is_range else 'CAST(NULL AS VARCHAR)'}, {q(note)}, CAST(NULL AS VARCHAR) FROM ({wb})")
         return non_wb + " UNION ALL " + w
     spec = rule.sheet_ref
     name, key, cols = sheet
     if spec[0] == "bad":
-        w = f"SELECT project_id, label, {q(kind)}, CAST(NULL AS VARCHAR), false, {q(loc)}, {q(spec[1])} FROM ({wb})"
+        w = (f"SELECT project_id, label, {q(kind)}, CAST(NULL AS VARCHAR), false, {q(loc)}, {q(spec[1])}, "
+             f"CAST(NULL AS VARCHAR) FROM ({wb})")
         return non_wb + " UNION ALL " + w
 
     def cell_expr(r, c):
@@ -349,7 +375,7 @@ def sheet_cell_sql(rule, base: str) -> str:
                 f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
         v = cell_expr(r, c)
         w = (f"SELECT project_id, label, 'text', {v}, coalesce({v} <> '', false), {q(loc)}, "
-             f"CASE WHEN {v} IS NULL THEN {q(note)} END FROM ({wb})")
+             f"CASE WHEN {v} IS NULL THEN {q(note)} END, {v} FROM ({wb})")
         return non_wb + " UNION ALL " + w
     r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
     r1, r2 = min(r1, r2), max(r1, r2)
@@ -361,7 +387,8 @@ def sheet_cell_sql(rule, base: str) -> str:
     note = f"Range {ref} on '{sheet_name}' is empty, or holds formulas whose results were never saved by Excel."
     blank = f"NOT list_bool_or(list_transform(flatten({grid}), lambda v: trim(v) <> ''))"
     w = (f"SELECT project_id, label, 'table', CASE WHEN {blank} THEN NULL ELSE {render_rows(grid)} END, "
-         f"NOT ({blank}), {q(loc)}, CASE WHEN {blank} THEN {q(note)} END FROM ({wb})")
+         f"NOT ({blank}), {q(loc)}, CASE WHEN {blank} THEN {q(note)} END, "
+         f"array_to_string({rows[0]}, ' / ') FROM ({wb})")
     return non_wb + " UNION ALL " + w
 
 
@@ -377,13 +404,14 @@ SELECT project_id, label, {rule.rule_no} AS rule_no,
   CASE WHEN NOT found THEN label || ' — not found, default used'
        WHEN location IS NOT NULL AND location <> '' THEN label || ' — ' || location ELSE label END AS citation,
   CASE WHEN found THEN note ELSE 'Nothing found; the rule''s default value was used.' END AS note,
-  CASE WHEN found THEN location END AS location
+  CASE WHEN found THEN location END AS location,
+  CASE WHEN found THEN pv ELSE {q(rule.default)} END AS pv
 FROM ({raw})"""
     return f"""
 SELECT project_id, label, {rule.rule_no} AS rule_no, kind,
   CASE WHEN found THEN value END AS value, found,
   CASE WHEN found AND location IS NOT NULL AND location <> '' THEN label || ' — ' || location ELSE label END AS citation,
-  note, location
+  note, location, CASE WHEN found THEN pv END AS pv
 FROM ({raw})"""
 
 
@@ -419,7 +447,7 @@ SELECT c.project_id, c.rule_no,
   CASE WHEN c.n_cand = 0 THEN 'No uploaded file name contains ''' || m.match || '''.'
        WHEN b.label IS NULL THEN 'The matching file could not be read.' ELSE b.note END AS note,
   CASE WHEN b.label IS NULL THEN m.raw_type ELSE m.rule_type END AS rule_type,
-  b.label AS file_label
+  b.label AS file_label, b.pv AS pv
 FROM CANDS c JOIN META m ON m.rule_no = c.rule_no
 LEFT JOIN BEST b ON b.project_id = c.project_id AND b.rule_no = c.rule_no)"""
 
@@ -477,6 +505,8 @@ SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name,
         "blocks_html": html_blocks_sql(),
         "merged_cells": merged_cells_sql(),
         "rule_lint": rule_lint_sql(),
+        "sheet_grid": sheet_grid_sql(),
+        "result_rows": result_rows_sql(),
     }
 
 
@@ -612,3 +642,27 @@ SELECT c.project_id, c.rule_no, c.label, lower(regexp_extract(c.label, '(\\.[^.]
 FROM CANDS c JOIN TYPES t ON t.rule_no = c.rule_no
 WHERE NOT EXISTS (SELECT 1 FROM ALLOWED a WHERE a.ext = lower(regexp_extract(c.label, '(\\.[^.]*)$', 1))
                   AND a.method = t.rule_type)"""
+
+
+
+def sheet_grid_sql(max_rows: int = 60, max_cols: int = 30) -> str:
+    from quarry.functions.text import column_letters_py
+    parts = []
+    for name, key, cols in TPCH_SHEETS:
+        cols = cols[:max_cols]
+        for c, (col, t) in enumerate(cols, start=1):
+            letter = column_letters_py(c)
+            parts.append(f"SELECT {q(name)} AS sheet, CAST(1 AS BIGINT) AS row_no, CAST({c} AS BIGINT) AS col_no, "
+                         f"{q(letter + '1')} AS ref, {q(col)} AS value")
+            parts.append(f"SELECT {q(name)}, CAST({key} + 2 AS BIGINT), CAST({c} AS BIGINT), "
+                         f"{q(letter)} || ({key} + 2), coalesce({cell_sql(col, t)}, '') FROM {name} "
+                         f"WHERE {key} <= {max_rows - 2}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def result_rows_sql() -> str:
+    from quarry.fixtures import CORPUS_RULESET
+    return records_sql(CORPUS_RULESET) + f"""
+SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, found, citation, note,
+  CASE WHEN found THEN coalesce({preview_sql('pv')}, '') ELSE '' END AS preview
+FROM RECORDS"""
