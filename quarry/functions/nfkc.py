@@ -38,6 +38,27 @@ nfkc_array = F.pandas_udf(_nfkc_array, T.ArrayType(T.StringType())).asNondetermi
 nfkc_string = F.pandas_udf(_nfkc_string, T.StringType()).asNondeterministic()
 
 
+def _nfkc_block(b):
+    b = dict(b)
+    if b.get("text") is not None:
+        b["text"] = unicodedata.normalize("NFKC", b["text"])
+    if b.get("rows") is not None:
+        b["rows"] = [[None if c is None else unicodedata.normalize("NFKC", c) for c in r] for r in b["rows"]]
+    return b
+
+
+def _nfkc_blocks(blocks: pd.Series) -> pd.Series:
+    return blocks.map(lambda bs: None if bs is None else [_nfkc_block(b) for b in bs])
+
+
+def nfkc_blocks(blocks: Column, gate: Column, block_type: str) -> Column:
+    """NFKC of every paragraph text and cell of a file's blocks where
+    ``gate`` holds; other files pass a null through the UDF and keep their
+    blocks. One projection: the corpus is read once."""
+    udf = F.pandas_udf(_nfkc_blocks, f"array<{block_type}>").asNondeterministic()
+    return F.coalesce(udf(F.when(gate, blocks)), blocks)
+
+
 def nfkc_strings(texts: Column, gate: Column) -> Column:
     """NFKC of every element of ``texts`` where ``gate`` holds, else as is."""
     return F.coalesce(nfkc_array(F.when(gate, texts)), texts)

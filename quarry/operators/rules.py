@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.nfkc import nfkc_strings
+from quarry.functions.nfkc import nfkc_blocks
+from quarry.sources.corpus import BLOCK_TYPE
 from quarry.functions.text import (NFKC_GATE, after_label, normalize_py,
                                    normalize_tail, py_strip, table_flat_text,
                                    text_between)
@@ -39,46 +40,42 @@ def _flat(x: Column) -> Column:
 
 
 def prepare(files: DataFrame) -> DataFrame:
-    """Add ``norm``/``flat`` to every block and build ``units`` with ``norm``.
-
-    NFKC runs (in Python, Arrow-batched) only for files holding a character
-    it could change; every other file passes a null through the UDF.
+    """Add ``flat``/``norm`` to every block and build ``units`` (paragraphs
+    and single cells, in reading order) with their ``norm``.
+
+    One projection chain over the file rows, so the corpus is read once.
+    NFKC runs (Arrow-batched Python) only for files whose gate holds; all
+    other files send a null through the UDF. Each paragraph, cell and table
+    text is normalised exactly once; units take their norms from the
+    blocks.
     """
+    from_blocks = F.exists("blocks", lambda x: F.coalesce(
+        x["text"], table_flat_text(x["rows"])).rlike(NFKC_GATE))
+    given = F.col("nfkc") if "nfkc" in files.columns else F.lit(None).cast("boolean")
+    files = files.withColumn("_kb", nfkc_blocks(F.col("blocks"), F.coalesce(given, from_blocks), BLOCK_TYPE))
+    files = files.withColumn("blocks", F.zip_with("blocks", "_kb", lambda b, k: b
+                                                  .withField("flat", _flat(b))
+                                                  .withField("norm", normalize_tail(_flat(k)))
+                                                  .withField("cnorm", F.when(k["kind"] == "table", F.transform(
+                                                      k["rows"], lambda r: F.transform(r, normalize_tail)))))).drop("_kb")
+
     def cell_units(x):
         return F.flatten(F.transform(x["rows"], lambda r, ri: F.transform(
             r, lambda c, ci: F.struct(x["block_no"].alias("block_no"), (ri + 1).alias("row_no"),
-                                      (ci + 1).alias("col_no"), F.lit("cell").alias("kind"),
-                                      c.alias("text")))))
+                                      (ci + 1).alias("col_no"), F.lit("cell").alias("kind"), c.alias("text"),
+                                      F.element_at(F.element_at(x["cnorm"], ri + 1), ci + 1).alias("norm")))))
 
     def para_unit(x):
         return F.array(F.struct(x["block_no"].alias("block_no"), F.lit(0).alias("row_no"),
                                 F.lit(0).alias("col_no"), F.lit("paragraph").alias("kind"),
-                                x["text"].alias("text")))
+                                x["text"].alias("text"), x["norm"].alias("norm")))
 
-    unit_t = "array<struct<block_no:int,row_no:int,col_no:int,kind:string,text:string>>"
-    from_blocks = F.exists("blocks", lambda x: F.coalesce(
-        x["text"], table_flat_text(x["rows"])).rlike(NFKC_GATE))
-    given = F.col("nfkc") if "nfkc" in files.columns else F.lit(None).cast("boolean")
-    files = files.withColumn("nfkc", F.coalesce(given, from_blocks))
-    files = files.withColumn("_units", F.flatten(F.transform(
+    unit_t = "array<struct<block_no:int,row_no:int,col_no:int,kind:string,text:string,norm:string>>"
+    files = files.withColumn("units", F.flatten(F.transform(
         "blocks", lambda x: F.when(x["kind"] == "table", cell_units(x).cast(unit_t))
         .otherwise(para_unit(x).cast(unit_t)))))
-    files = files.withColumn("_hay", F.concat(F.transform("blocks", _flat),
-                                              F.transform("_units", lambda u: u["text"])))
-    # Files that NFKC could change go through the Python step; all others
-    # (the whole driver corpus) never leave the JVM.
-    plain = files.filter(~F.col("nfkc")).withColumn("_hayk", F.col("_hay"))
-    special = files.filter(F.col("nfkc")).withColumn("_hayk", nfkc_strings(F.col("_hay"), F.lit(True)))
-    files = plain.unionByName(special)
-    files = files.withColumn("_norm", F.transform("_hayk", normalize_tail))
-    nb, nu = F.size("blocks"), F.size("_units")
-    norm = F.col("_norm")
-    files = files.withColumn("blocks", F.zip_with(
-        "blocks", F.slice(norm, 1, nb),
-        lambda x, n: x.withField("flat", _flat(x)).withField("norm", n)))
-    files = files.withColumn("units", F.zip_with(
-        "_units", F.slice(norm, nb + 1, nu), lambda u, n: u.withField("norm", n)))
-    return files.drop("_units", "_hay", "_hayk", "_norm", "nfkc")
+    files = files.withColumn("blocks", F.transform("blocks", lambda b: b.dropFields("cnorm")))
+    return files.drop("nfkc") if "nfkc" in files.columns else files
 
 
 # ---------------------------------------------------------------------------

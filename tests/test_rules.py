@@ -127,3 +127,13 @@ def test_adding_a_rule_never_changes_others(spark):
     base = [{"name": "a", "type": "around_keywords", "params": {"keyword": "kw"}}]
     more = base + [{"name": "b", "type": "between", "params": {"start": "kw", "end": "x"}}]
     assert run_rules(spark, files, base)[0] == run_rules(spark, files, more)[0]
+
+
+def test_nfkc_path_for_flagged_files(spark):
+    # a ligature and a fullwidth letter only match after NFKC; the value keeps
+    # the original characters
+    blocks = [P("ﬁnance report"), T([["Ｔotal", "9"]])]
+    r = one(spark, blocks, {"name": "t", "type": "around_keywords", "params": {"keyword": "finance"}})
+    assert r["found"] and r["value_blocks"][0]["text"] == "ﬁnance report"
+    r = one(spark, blocks, {"name": "t", "type": "right_of", "params": {"label": "total"}})
+    assert r["value_text"] == "9"
