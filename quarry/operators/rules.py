@@ -170,11 +170,14 @@ def between(rule: Rule):
     stop = F.coalesce(e, nb + 1)
     span = F.when(s.isNotNull(), F.slice("blocks", s + 1, F.greatest(stop - s - 1, F.lit(0))))
 
-    # The whole file's text (N7), only reached when R1a and R1b miss
+    # The whole file's text (N7), computed only for files where R1a and
+    # R1b both miss, once, as its own column
     if end:
         full = F.array_join(F.filter(F.transform("units", lambda u: u["text"]),
                                      lambda t: py_strip(t) != ""), "\n")
-        fulltext = F.nullif(text_between(full, start, end), F.lit(""))
+        missed = inline.isNull() & F.coalesce(F.size(F.coalesce(span, F.array())) == 0, F.lit(True))
+        stages.append((_col(rule, "full"), F.when(missed, F.nullif(text_between(full, start, end), F.lit("")))))
+        fulltext = F.col(_col(rule, "full"))
     else:
         fulltext = F.lit(None).cast("string")
 

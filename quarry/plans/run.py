@@ -121,8 +121,13 @@ def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".
             stages, raw = R.BUILDERS[rule.type](rule)
         for name, expr in stages:
             stage_cols.append((name, F.when(active, expr)))
+        # the raw result is its own column: finish() reads several of its
+        # fields, and each field access would otherwise copy the whole rule
+        # expression (subexpressions under a condition are not shared)
+        raw_name = f"_r{rule.rule_no}_raw"
+        stage_cols.append((raw_name, F.when(active, raw)))
         entries.append(F.struct(F.lit(rule.rule_no).alias("rule_no"), cand.alias("cand"),
-                                F.when(active, finish(rule, label, raw)).alias("rec")))
+                                F.when(active, finish(rule, label, F.col(raw_name))).alias("rec")))
     for name, expr in stage_cols:
         files = files.withColumn(name, expr)
     return files.select("project_id", "label", "problem", F.inline_outer(F.array(*entries)))
