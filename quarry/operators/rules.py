@@ -98,17 +98,44 @@ def _vblocks(arr: Column) -> Column:
                                                b["text"].alias("text"), b["rows"].alias("rows"))).cast(VBLOCK_T)
 
 
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal (backslash escapes)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_CONST: dict = {}
+
+
+def const(sql: str) -> Column:
+    """A constant expression parsed once per session (building columns one
+    call at a time costs a JVM round trip each on the driver)."""
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), sql)
+    col = _CONST.get(key)
+    if col is None:
+        col = _CONST[key] = F.expr(sql)
+    return col
+
+
+_FIELD_T = {"kind": "string", "value_text": "string", "value_rows": ROWS_T,
+            "value_blocks": VBLOCK_T, "location": "string", "note": "string"}
+
+
 def raw_result(kind, value_text=None, value_rows=None, value_blocks=None, location=None, note=None) -> Column:
-    def c(v):
-        return v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        c(kind).cast("string").alias("kind"),
-        c(value_text).cast("string").alias("value_text"),
-        c(value_rows).cast(ROWS_T).alias("value_rows"),
-        c(value_blocks).cast(VBLOCK_T).alias("value_blocks"),
-        c(location).cast("string").alias("location"),
-        c(note).cast("string").alias("note"),
-    )
+    vals = dict(kind=kind, value_text=value_text, value_rows=value_rows, value_blocks=value_blocks,
+                location=location, note=note)
+    if not any(isinstance(v, Column) for v in vals.values()):
+        return const("named_struct(" + ", ".join(
+            f"'{k}', " + (f"CAST(NULL AS {_FIELD_T[k]})" if v is None else sql_str(v))
+            for k, v in vals.items()) + ")")
+
+    def c(k, v):
+        if v is None:
+            return const(f"CAST(NULL AS {_FIELD_T[k]})").alias(k)
+        if isinstance(v, Column):
+            return (v.cast(_FIELD_T[k]) if k in ("value_rows", "value_blocks") else v).alias(k)
+        return F.lit(v).alias(k)
+    return F.struct(*[c(k, v) for k, v in vals.items()])
 
 
 def _miss(kind: str, note: str | None = None) -> Column:

@@ -68,35 +68,36 @@ def candidate(rule: Rule, label: Column) -> Column:
     return F.lower(label).contains(rule.match_key)
 
 
-def finish(rule: Rule, label: Column, raw: Column) -> Column:
-    """P5-P8 on one file's raw result."""
+def finish_sql(rule: Rule, raw: str, label_sql: str = "label") -> str:
+    """P5-P8 on one file's raw result, as one SQL expression over the raw
+    result column ``raw`` (parsed once on the JVM instead of being built a
+    column at a time from Python)."""
+    nulls = (f"'value_rows', CAST(NULL AS {R.ROWS_T}), 'value_blocks', CAST(NULL AS {R.VBLOCK_T}), "
+             f"'location', CAST(NULL AS STRING)")
     if rule.error is not None:
-        return F.struct(F.lit(False).alias("found"), F.lit("text").alias("kind"),
-                        F.lit(None).cast("string").alias("value_text"),
-                        F.lit(None).cast(R.ROWS_T).alias("value_rows"),
-                        F.lit(None).cast(R.VBLOCK_T).alias("value_blocks"),
-                        F.lit(None).cast("string").alias("location"),
-                        label.alias("citation"), F.lit(rule.error).alias("note")).cast(FILE_REC_T)
-    found = (F.when(raw["kind"] == "text", F.coalesce(raw["value_text"] != "", F.lit(False)))
-             .when(raw["kind"] == "table", raw["value_rows"].isNotNull())
-             .otherwise(F.coalesce(F.size(raw["value_blocks"]) > 0, F.lit(False))))
-    loc = raw["location"]
-    cited = F.when(found & loc.isNotNull() & (loc != ""), F.concat(label, F.lit(CITATION_SEP), loc)).otherwise(label)
-    hit = F.struct(found.alias("found"), raw["kind"].alias("kind"),
-                   F.when(found, raw["value_text"]).alias("value_text"),
-                   F.when(found, raw["value_rows"]).alias("value_rows"),
-                   F.when(found, raw["value_blocks"]).alias("value_blocks"),
-                   loc.alias("location"), cited.alias("citation"), raw["note"].alias("note")).cast(FILE_REC_T)
+        return (f"named_struct('found', false, 'kind', 'text', 'value_text', CAST(NULL AS STRING), "
+                f"{nulls}, 'citation', {label_sql}, 'note', {R.sql_str(rule.error)})")
+    found = (f"(CASE WHEN {raw}.kind = 'text' THEN coalesce({raw}.value_text <> '', false) "
+             f"WHEN {raw}.kind = 'table' THEN {raw}.value_rows IS NOT NULL "
+             f"ELSE coalesce(size({raw}.value_blocks) > 0, false) END)")
+    cited = (f"CASE WHEN {found} AND {raw}.location IS NOT NULL AND {raw}.location <> '' "
+             f"THEN concat({label_sql}, {R.sql_str(CITATION_SEP)}, {raw}.location) ELSE {label_sql} END")
+    hit = (f"named_struct('found', {found}, 'kind', {raw}.kind, "
+           f"'value_text', CASE WHEN {found} THEN {raw}.value_text END, "
+           f"'value_rows', CASE WHEN {found} THEN {raw}.value_rows END, "
+           f"'value_blocks', CASE WHEN {found} THEN {raw}.value_blocks END, "
+           f"'location', {raw}.location, 'citation', {cited}, 'note', {raw}.note)")
     if not rule.default:
         return hit
-    dflt = F.struct(F.lit(True).alias("found"), F.lit("text").alias("kind"),
-                    F.lit(rule.default).alias("value_text"),
-                    F.lit(None).cast(R.ROWS_T).alias("value_rows"),
-                    F.lit(None).cast(R.VBLOCK_T).alias("value_blocks"),
-                    F.lit(None).cast("string").alias("location"),
-                    F.concat(label, F.lit(DEFAULT_CITATION_SUFFIX)).alias("citation"),
-                    F.lit(DEFAULT_NOTE).alias("note")).cast(FILE_REC_T)
-    return F.when(found, hit).otherwise(dflt)
+    dflt = (f"named_struct('found', true, 'kind', 'text', 'value_text', {R.sql_str(rule.default)}, "
+            f"{nulls}, 'citation', concat({label_sql}, {R.sql_str(DEFAULT_CITATION_SUFFIX)}), "
+            f"'note', {R.sql_str(DEFAULT_NOTE)})")
+    return f"CASE WHEN {found} THEN {hit} ELSE {dflt} END"
+
+
+def finished(df: DataFrame, rule: Rule, raw: Column, label_sql: str, cols: list) -> DataFrame:
+    """Apply P5-P8 to a raw result column of ``df``."""
+    return df.withColumn("_raw", raw).select(*cols, F.expr(finish_sql(rule, "_raw", label_sql)).alias("rec"))
 
 
 def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".xlsm")) -> DataFrame:
@@ -108,7 +109,8 @@ def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".
     is_wb = F.col("ext").isin(*workbook_exts)
     if R.needs_paragraph_list(rules):
         files = R.with_paragraph_list(files)
-    stage_cols, entries = [], []
+    levels: list[dict] = []  # stage columns batched by dependency depth
+    entries = []
     label = F.col("label")
     for rule in rules:
         cand = candidate(rule, label)
@@ -119,17 +121,21 @@ def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".
             stages, raw = [], R._miss("text")
         else:
             stages, raw = R.BUILDERS[rule.type](rule)
-        for name, expr in stages:
-            stage_cols.append((name, F.when(active, expr)))
         # the raw result is its own column: finish() reads several of its
         # fields, and each field access would otherwise copy the whole rule
         # expression (subexpressions under a condition are not shared)
         raw_name = f"_r{rule.rule_no}_raw"
-        stage_cols.append((raw_name, F.when(active, raw)))
+        # a stage only reads stages listed before it in its own rule
+        for depth, (name, expr) in enumerate(stages + [(raw_name, raw)]):
+            while len(levels) <= depth:
+                levels.append({})
+            levels[depth][name] = F.when(active, expr)
         entries.append(F.struct(F.lit(rule.rule_no).alias("rule_no"), cand.alias("cand"),
-                                F.when(active, finish(rule, label, F.col(raw_name))).alias("rec")))
-    for name, expr in stage_cols:
-        files = files.withColumn(name, expr)
+                                F.when(active, F.expr(finish_sql(rule, raw_name))).alias("rec")))
+    # one projection per depth instead of one per column: every withColumn
+    # re-analyses the whole plan on the driver
+    for cols in levels:
+        files = files.withColumns(cols)
     return files.select("project_id", "label", "problem", F.inline_outer(F.array(*entries)))
 
 
@@ -158,11 +164,12 @@ def _sheet_cell(spark: SparkSession, wb: Workbook, rule: Rule) -> DataFrame:
     loc = f"{sheet_name}!{ref}"
     label = F.lit(wb.label)
 
-    def literal(raw: Column) -> DataFrame:
-        return spark.range(1).select(
-            F.lit(wb.project).alias("project_id"), label.alias("label"),
+    head = [F.lit(wb.project).alias("project_id"), label.alias("label"),
             F.lit(None).cast("string").alias("problem"), F.lit(rule.rule_no).alias("rule_no"),
-            F.lit(True).alias("cand"), finish(rule, label, raw).alias("rec"))
+            F.lit(True).alias("cand")]
+
+    def literal(raw: Column) -> DataFrame:
+        return finished(spark.range(1), rule, raw, R.sql_str(wb.label), head)
 
     sheet = wb.find_sheet(sheet_name)
     if sheet is None:
@@ -181,9 +188,7 @@ def _sheet_cell(spark: SparkSession, wb: Workbook, rule: Rule) -> DataFrame:
         note = (f"Cell {ref} on '{sheet_name}' is empty, or holds a formula whose result was never saved "
                 f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
         raw = R.raw_result("text", value_text=value, location=loc, note=F.when(value.isNull(), F.lit(note)))
-        return src.select(F.lit(wb.project).alias("project_id"), label.alias("label"),
-                          F.lit(None).cast("string").alias("problem"), F.lit(rule.rule_no).alias("rule_no"),
-                          F.lit(True).alias("cand"), finish(rule, label, raw).alias("rec"))
+        return finished(src, rule, raw, R.sql_str(wb.label), head)
     r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
     r1, r2 = min(r1, r2), max(r1, r2)
     c1, c2 = min(c1, c2), max(c1, c2)
@@ -203,9 +208,7 @@ def _sheet_cell(spark: SparkSession, wb: Workbook, rule: Rule) -> DataFrame:
             f"saved by Excel.")
     raw = F.when(blank, R.raw_result("table", location=loc, note=note)) \
         .otherwise(R.raw_result("table", value_rows=rows, location=loc))
-    return src.select(F.lit(wb.project).alias("project_id"), label.alias("label"),
-                      F.lit(None).cast("string").alias("problem"), F.lit(rule.rule_no).alias("rule_no"),
-                      F.lit(True).alias("cand"), finish(rule, label, raw).alias("rec"))
+    return finished(src, rule, raw, R.sql_str(wb.label), head)
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -333,9 +336,9 @@ def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, ru
             raw = (F.when(F.col("target").isNull(), missing)
                    .when(blank, R.raw_result("table", location=loc, note=note))
                    .otherwise(R.raw_result("table", value_rows=grid, location=loc)))
-        parts.append(j.select("project_id", "label", F.lit(None).cast("string").alias("problem"),
-                              F.lit(rule.rule_no).alias("rule_no"), F.lit(True).alias("cand"),
-                              finish(rule, F.col("label"), raw).alias("rec")))
+        parts.append(finished(j, rule, raw, "label", [
+            "project_id", "label", F.lit(None).cast("string").alias("problem"),
+            F.lit(rule.rule_no).alias("rule_no"), F.lit(True).alias("cand")]))
     if not parts:
         return None
     out = parts[0]
