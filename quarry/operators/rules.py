@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.nfkc import nfkc_blocks
 from quarry.sources.corpus import BLOCK_TYPE
-from quarry.functions.text import (NFKC_GATE, after_label, normalize_py,
-                                   normalize_tail, py_strip, table_flat_text,
-                                   text_between)
+from quarry.functions.text import (AFTER_LABEL_STRIP, NFKC_GATE, WHITESPACE, after_label_regex,
+                                   between_regex, normalize_py, normalize_tail, py_strip,
+                                   table_flat_text)
 from quarry.operators.compile import Rule
 
 ROWS_T = "array<array<string>>"
@@ -147,74 +147,100 @@ def _contains(norm: Column, needle: str) -> Column:
     return norm.contains(normalize_py(needle))
 
 
-def locate(rule: Rule, key: str) -> Column:
-    """Location of the first block (paragraph text or table flat text)
-    matching the anchor."""
-    needle = rule.p(key)
-    if not needle:
-        return F.lit(None).cast("string")
-    return _first(F.filter("blocks", lambda b: _contains(b["norm"], needle)))["location"]
-
-
 # ---------------------------------------------------------------------------
 # rule builders: each returns (stage columns, raw result column)
+#
+# The expressions are written as Spark SQL (lambdas included) and parsed
+# once on the JVM: building the same trees one Python Column call at a time
+# costs thousands of driver round trips per rule set.
 # ---------------------------------------------------------------------------
 
+_WS = sql_str(WHITESPACE)
+
+
+def _strip(x: str) -> str:
+    return f"btrim({x}, {_WS})"
+
+
+def _has(norm: str, needle: str) -> str:
+    return f"contains({norm}, {sql_str(normalize_py(needle))})"
+
+
+def _between_sql(text: str, start: str, end: str) -> str:
+    return _strip(f"regexp_extract({text}, {sql_str(between_regex(start, end))}, 1)")
+
+
+def _after_label_sql(text: str, label: str) -> str:
+    cls = "[" + "".join("\\" + ch if ch in "\\]^-[&" else ch for ch in AFTER_LABEL_STRIP) + "]"
+    tail = f"regexp_extract({text}, {sql_str(after_label_regex(label))}, 1)"
+    return f"regexp_replace({tail}, {sql_str('^' + cls + '+|' + cls + '+' + chr(92) + 'z')}, '')"
+
+
+def _raw(kind: str, value_text="NULL", value_rows="NULL", value_blocks="NULL", location="NULL",
+         note: str | None = None) -> str:
+    return (f"named_struct('kind', {sql_str(kind)}, 'value_text', CAST({value_text} AS STRING), "
+            f"'value_rows', CAST({value_rows} AS {ROWS_T}), 'value_blocks', CAST({value_blocks} AS {VBLOCK_T}), "
+            f"'location', CAST({location} AS STRING), "
+            f"'note', {sql_str(note) if note is not None else 'CAST(NULL AS STRING)'})")
+
+
+def _vblocks_sql(arr: str) -> str:
+    return (f"transform({arr}, vb -> named_struct('block_no', vb.block_no, 'kind', vb.kind, "
+            f"'text', vb.text, 'rows', vb.rows))")
+
+
 def _col(rule: Rule, what: str) -> str:
     return f"_r{rule.rule_no}_{what}"
 
 
+def _stages(pairs):
+    return [(name, F.expr(sql)) for name, sql in pairs]
+
+
+def locate_sql(needle: str) -> str:
+    """Location of the first block (paragraph text or table flat text)
+    matching the anchor."""
+    return f"try_element_at(filter(blocks, b -> {_has('b.norm', needle)}), 1).location"
+
+
 def between(rule: Rule):
     """R1 = R1a inline, else R1b span, else R1c full text."""
     start, end = rule.p("start"), rule.p("end")
     if not start:
         return [], _miss("text")
-    stages = []
-    loc = F.col(_col(rule, "loc"))
-    stages.append((_col(rule, "loc"), locate(rule, "start")))
-
+    LOC, INL, S, E, FULL = (_col(rule, x) for x in ("loc", "inline", "s", "e", "full"))
+    st = [(LOC, locate_sql(start))]
     # First unit holding both anchors with a non-empty text between them
     if end:
-        stages.append((_col(rule, "inline"), _first(F.filter(F.transform(
-            F.filter("units", lambda u: _contains(u["norm"], start) & _contains(u["norm"], end)),
-            lambda u: text_between(u["text"], start, end)), lambda v: v != ""))))
-        inline = F.col(_col(rule, "inline"))
+        st.append((INL, f"try_element_at(filter(transform(filter(units, u -> {_has('u.norm', start)} AND "
+                        f"{_has('u.norm', end)}), u -> {_between_sql('u.text', start, end)}), v -> v != ''), 1)"))
+        inline = INL
     else:
-        inline = F.lit(None).cast("string")
-
+        inline = "CAST(NULL AS STRING)"
     # Paragraph matching start (excluded) .. next paragraph matching end
-    stages.append((_col(rule, "s"), _first(F.filter(
-        "blocks", lambda b: (b["kind"] == "paragraph") & _contains(b["norm"], start)))["block_no"]))
-    s = F.col(_col(rule, "s"))
-    nb = F.size("blocks")
+    st.append((S, f"try_element_at(filter(blocks, b -> b.kind = 'paragraph' AND {_has('b.norm', start)}), 1).block_no"))
     if end:
-        after = F.slice("blocks", F.coalesce(s, nb) + 1, F.greatest(nb - F.coalesce(s, nb), F.lit(0)))
-        stages.append((_col(rule, "e"), _first(F.filter(
-            after, lambda b: (b["kind"] == "paragraph") & _contains(b["norm"], end)))["block_no"]))
-        e = F.col(_col(rule, "e"))
+        st.append((E, f"try_element_at(filter(slice(blocks, coalesce({S}, size(blocks)) + 1, "
+                      f"greatest(size(blocks) - coalesce({S}, size(blocks)), 0)), "
+                      f"b -> b.kind = 'paragraph' AND {_has('b.norm', end)}), 1).block_no"))
+        stop = f"coalesce({E}, size(blocks) + 1)"
     else:
-        e = F.lit(None).cast("int")
-    stop = F.coalesce(e, nb + 1)
-    span = F.when(s.isNotNull(), F.slice("blocks", s + 1, F.greatest(stop - s - 1, F.lit(0))))
-
-    # The whole file's text (N7), computed only for files where R1a and
-    # R1b both miss, once, as its own column
+        stop = "(size(blocks) + 1)"
+    span = f"(CASE WHEN {S} IS NOT NULL THEN slice(blocks, {S} + 1, greatest({stop} - {S} - 1, 0)) END)"
+    has_span = f"coalesce(size({span}) > 0, false)"
+    # The whole file's text (N7), only for files where R1a and R1b miss
     if end:
-        full = F.array_join(F.filter(F.transform("units", lambda u: u["text"]),
-                                     lambda t: py_strip(t) != ""), "\n")
-        missed = inline.isNull() & F.coalesce(F.size(F.coalesce(span, F.array())) == 0, F.lit(True))
-        stages.append((_col(rule, "full"), F.when(missed, F.nullif(text_between(full, start, end), F.lit("")))))
-        fulltext = F.col(_col(rule, "full"))
+        full = f"array_join(filter(transform(units, u -> u.text), x -> {_strip('x')} != ''), {sql_str(chr(10))})"
+        st.append((FULL, f"CASE WHEN {inline} IS NULL AND NOT {has_span} "
+                         f"THEN nullif({_between_sql(full, start, end)}, '') END"))
+        fulltext = FULL
     else:
-        fulltext = F.lit(None).cast("string")
-
-    result = (F.when(inline.isNotNull(), raw_result("text", value_text=inline, location=loc))
-              .when(F.size(F.coalesce(span, F.array())) > 0,
-                    raw_result("block", value_blocks=_vblocks(span), location=loc))
-              .otherwise(F.coalesce(
-                  F.when(fulltext.isNotNull(), raw_result("text", value_text=fulltext, location=loc)),
-                  _miss("text"))))
-    return stages, result
+        fulltext = "CAST(NULL AS STRING)"
+    result = (f"CASE WHEN {inline} IS NOT NULL THEN {_raw('text', value_text=inline, location=LOC)} "
+              f"WHEN {has_span} THEN {_raw('block', value_blocks=_vblocks_sql(span), location=LOC)} "
+              f"WHEN {fulltext} IS NOT NULL THEN {_raw('text', value_text=fulltext, location=LOC)} "
+              f"ELSE {_raw('text')} END")
+    return _stages(st), F.expr(result)
 
 
 def right_of(rule: Rule):
@@ -224,22 +250,19 @@ def right_of(rule: Rule):
     label = rule.p("label")
     if not label:
         return [], _miss("text")
-    hit_name = _col(rule, "hit")
-    stages = [(hit_name, _first(F.filter("units", lambda u: (u["kind"] == "cell") & _contains(u["norm"], label))))]
-    hit = F.col(hit_name)
-    block = F.element_at("blocks", F.greatest(hit["block_no"], F.lit(1)))
-    row = F.element_at(block["rows"], F.greatest(hit["row_no"], F.lit(1)))
-    right = _first(F.filter(F.slice(row, hit["col_no"] + 1, F.greatest(F.size(row), F.lit(0))),
-                            lambda c: py_strip(c) != ""))
-    same = F.nullif(after_label(hit["text"], label), F.lit(""))
-    value = F.coalesce(py_strip(right), same, F.lit(""))
-    result = F.when(hit.isNotNull(), raw_result("text", value_text=value, location=block["location"])) \
-        .otherwise(_miss("text"))
-    return stages, result
+    H = _col(rule, "hit")
+    st = [(H, f"try_element_at(filter(units, u -> u.kind = 'cell' AND {_has('u.norm', label)}), 1)")]
+    block = f"element_at(blocks, greatest({H}.block_no, 1))"
+    row = f"element_at({block}.rows, greatest({H}.row_no, 1))"
+    right = f"try_element_at(filter(slice({row}, {H}.col_no + 1, greatest(size({row}), 0)), c -> {_strip('c')} != ''), 1)"
+    value = f"coalesce({_strip(right)}, nullif({_after_label_sql(H + '.text', label)}, ''), '')"
+    result = (f"CASE WHEN {H} IS NOT NULL THEN {_raw('text', value_text=value, location=block + '.location')} "
+              f"ELSE {_raw('text')} END")
+    return _stages(st), F.expr(result)
 
 
-def _first_table(needle: str) -> Column:
-    return _first(F.filter("blocks", lambda b: (b["kind"] == "table") & _contains(b["norm"], needle)))
+def _first_table_sql(needle: str) -> str:
+    return f"try_element_at(filter(blocks, b -> b.kind = 'table' AND {_has('b.norm', needle)}), 1)"
 
 
 def around_keywords(rule: Rule):
@@ -249,19 +272,17 @@ def around_keywords(rule: Rule):
     kw = rule.p("keyword")
     if not kw:
         return [], _miss("block")
-    t_name, i_name = _col(rule, "tab"), _col(rule, "pi")
-    paras = F.col("_paras")
-    stages = [(t_name, _first_table(kw)),
-              (i_name, _first_pos(paras, lambda b: _contains(b["norm"], kw)))]
-    tab, i = F.col(t_name), F.col(i_name)
-    lo = F.greatest(i - 1 - F.lit(rule.before), F.lit(0))
-    hi = F.least(F.size(paras), i + F.lit(rule.after))
-    window = F.slice(paras, lo + 1, F.greatest(hi - lo, F.lit(0)))
-    result = (F.when(tab.isNotNull(), raw_result("table", value_rows=tab["rows"], location=tab["location"]))
-              .when(i.isNotNull(), raw_result("block", value_blocks=_vblocks(window),
-                                              location=F.element_at(paras, F.greatest(i, F.lit(1)))["location"]))
-              .otherwise(_miss("block")))
-    return stages, result
+    T, I = _col(rule, "tab"), _col(rule, "pi")
+    st = [(T, _first_table_sql(kw)),
+          (I, f"CASE WHEN size(_paras) > 0 THEN try_element_at(filter(sequence(1, size(_paras)), "
+              f"i -> {_has('element_at(_paras, i).norm', kw)}), 1) END")]
+    lo = f"greatest({I} - 1 - ({rule.before}), 0)"
+    hi = f"least(size(_paras), {I} + ({rule.after}))"
+    window = f"slice(_paras, {lo} + 1, greatest({hi} - {lo}, 0))"
+    result = (f"CASE WHEN {T} IS NOT NULL THEN {_raw('table', value_rows=T + '.rows', location=T + '.location')} "
+              f"WHEN {I} IS NOT NULL THEN {_raw('block', value_blocks=_vblocks_sql(window), location=f'element_at(_paras, greatest({I}, 1)).location')} "
+              f"ELSE {_raw('block')} END")
+    return _stages(st), F.expr(result)
 
 
 def table_contains(rule: Rule):
@@ -269,11 +290,10 @@ def table_contains(rule: Rule):
     needle = rule.p("contains")
     if not needle:
         return [], _miss("table")
-    t_name = _col(rule, "tab")
-    tab = F.col(t_name)
-    result = F.when(tab.isNotNull(), raw_result("table", value_rows=tab["rows"], location=tab["location"])) \
-        .otherwise(_miss("table"))
-    return [(t_name, _first_table(needle))], result
+    T = _col(rule, "tab")
+    result = (f"CASE WHEN {T} IS NOT NULL THEN {_raw('table', value_rows=T + '.rows', location=T + '.location')} "
+              f"ELSE {_raw('table')} END")
+    return _stages([(T, _first_table_sql(needle))]), F.expr(result)
 
 
 SHEET_ONLY_NOTE = "This rule only applies to spreadsheet files."
