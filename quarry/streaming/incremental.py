@@ -9,9 +9,11 @@ Each micro-batch (``foreachBatch``):
 1. fingerprints the new files and drops those whose SHA-256 equals the
    *current* version of their (project, label): an unchanged re-upload is
    ignored, a changed one becomes the new current version;
-2. decodes the rest into blocks and evaluates every rule on them (the same
-   column expressions as the batch run), appending the per-file records to
-   ``<state>/file_results`` (parquet, keyed by project, label and arrival);
+2. decodes the rest into blocks (text, HTML and office packages, the same
+   steps as the batch readers) and evaluates every rule on them (the same
+   column expressions as the batch run, sheet rules included), appending the
+   per-file records to ``<state>/file_results`` (parquet, keyed by project,
+   label and arrival);
 3. re-picks the records (P2-P4) for the touched projects only, from the
    latest version of every file in them, and overwrites those projects'
    partitions of ``<state>/records``.
@@ -32,8 +34,10 @@ from pyspark.sql import types as T
 
 from quarry.operators.compile import compile_ruleset
 from quarry.plans import run as RUN
-from quarry.sources.corpus import with_html_blocks, with_text_blocks
+from quarry.sources.corpus import BLOCK_TYPE, with_html_blocks, with_text_blocks
 from quarry.sources.files import extension, problem_for
+from quarry.sources.office import (OFFICE_EXTS, office_events, office_files, sheet_cells, sheet_list,
+                                   workbook_files)
 
 BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -84,23 +88,36 @@ class IncrementalExtractor:
         if arrivals.isEmpty():
             return
         ext = extension(F.col("label"))
-        files = arrivals.withColumn("ext", ext).withColumn("problem", problem_for(ext)) \
-            .withColumn("text", F.decode("content", "UTF-8"))
-        txt = with_text_blocks(files.filter(F.col("ext") != ".html"), "text")
-        html = with_html_blocks(files.filter(F.col("ext") == ".html"), "text")
-        blocks = txt.unionByName(html).select("project_id", "label", "arrival", "sha256", "ext", "problem", "blocks")
-        per_file = RUN.file_records(blocks.drop("arrival", "sha256"), self.rules)
-        keys = blocks.select("project_id", "label", "arrival", "sha256")
+        files = arrivals.withColumn("ext", ext).withColumn("problem", problem_for(ext))
+        cols = ["project_id", "label", "ext", "problem", "blocks"]
+        plain = files.filter(F.col("ext").isin(".txt", ".html")).withColumn("text", F.decode("content", "UTF-8"))
+        txt = with_text_blocks(plain.filter(F.col("ext") == ".txt"), "text").select(*cols)
+        html = with_html_blocks(plain.filter(F.col("ext") == ".html"), "text").select(*cols)
+        # office packages: bytes decoded in Python, structure built by Spark
+        events = office_events(files.filter(F.col("ext").isin(*OFFICE_EXTS)))
+        office = office_files(events).unionByName(workbook_files(events))
+        other = files.filter(~F.col("ext").isin(".txt", ".html", *OFFICE_EXTS)).select(
+            "project_id", "label", "ext", "problem", F.array().cast(f"array<{BLOCK_TYPE}>").alias("blocks"))
+        blocks = txt.unionByName(html).unionByName(office).unionByName(other)
+        per_file = RUN.file_records(blocks, self.rules)
+        decoded_sheets = RUN.cell_sheet_records(blocks, sheet_list(events), sheet_cells(events), self.rules)
+        if decoded_sheets is not None:
+            per_file = per_file.unionByName(decoded_sheets)
+        keys = arrivals.select("project_id", "label", "arrival", "sha256")
         out = per_file.join(keys, ["project_id", "label"]).select(
             "project_id", "label", "arrival", "sha256", "problem", F.col("rule_no").cast("int"), "cand", "rec")
         out.write.mode("append").parquet(self.results_path)
-        touched = [r[0] for r in arrivals.select("project_id").distinct().collect()]
-        self.refresh(touched)
-
-    def refresh(self, projects: list[str]) -> None:
-        """Re-pick the records of the given projects from the latest file versions."""
+        self.refresh(arrivals.select("project_id").distinct())
+
+    def refresh(self, projects) -> None:
+        """Re-pick the records of the touched projects (a DataFrame of
+        project ids, or a list) from the latest file versions. The touched
+        set is joined, never collected: a batch may touch many projects."""
+        if not isinstance(projects, DataFrame):
+            projects = self.spark.createDataFrame([(p,) for p in projects], "project_id string")
         res = self.spark.read.schema(RESULTS_SCHEMA).parquet(self.results_path) \
-            .filter(F.col("project_id").isin(*projects)).dropDuplicates(["project_id", "label", "arrival", "rule_no"])
+            .join(projects, "project_id", "left_semi") \
+            .dropDuplicates(["project_id", "label", "arrival", "rule_no"])
         latest = res.groupBy("project_id", "label").agg(F.max("arrival").alias("arrival"))
         cur = res.join(latest, ["project_id", "label", "arrival"])
         recs = RUN.pick(self.spark, cur.select("project_id", "label", "problem", "rule_no", "cand", "rec"), self.rules)

@@ -47,3 +47,24 @@ def test_incremental_updates(spark):
     before = records(x)
     x.refresh(["p1"])
     assert records(x) == before
+
+
+def test_incremental_office_drops(spark):
+    import shutil
+    from office_fixtures import write_xlsx, write_docx
+
+    root = tempfile.mkdtemp(prefix="quarry-x1o-")
+    landing, state, ckpt = (os.path.join(root, n) for n in ("landing", "state", "ckpt"))
+    os.makedirs(os.path.join(landing, "p2", "a1"))
+    write_xlsx(os.path.join(landing, "p2", "a1", "budget.xlsx"))
+    write_docx(os.path.join(landing, "p2", "a1", "application.docx"))
+    rules = {"name": "o", "fields": [
+        {"name": "funding", "type": "sheet_cell", "match": "budget", "params": {"sheet": "Budget Summary", "cell": "P10"}},
+        {"name": "team", "type": "range", "match": "application",
+         "params": {"start": "B.4 Project Team", "end": "B.5 Budget"}},
+    ]}
+    x = IncrementalExtractor(spark, rules, landing, state)
+    x.start(ckpt).awaitTermination()
+    recs = {r["rule_no"]: r for r in x.records().collect()}
+    assert recs[0]["value_text"] == "7" and recs[0]["citation"] == "budget.xlsx — Budget Summary!P10"
+    assert recs[1]["found"] and recs[1]["kind"] == "block"
