@@ -313,17 +313,12 @@ def merged_cells(spark, sf_dir):
     """S9 re-aimed: an order is a table row, its line items are the row's
     cells in line-number order and the supplier is the underlying cell; a
     repeated supplier is a merge duplicate. Keep the first occurrence,
-    renumber the columns densely (ties in line number broken by supplier,
-    so the numbering is deterministic). One shuffle on the row key serves both
-    windows (an order is bounded: a handful of lines)."""
-    from pyspark.sql import Window as W
+    renumber the columns densely (skew-safe, see operators/merged.py)."""
+    from quarry.operators.merged import dedupe_row_cells
     li = C.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    li = li.repartition("l_orderkey")
-    first = li.withColumn("k", F.row_number().over(
-        W.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber"))).filter(F.col("k") == 1)
-    return first.select(
-        "l_orderkey", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
-        .cast("bigint").alias("col_no"), F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_suppkey")
+    return dedupe_row_cells(li, "l_orderkey", "l_linenumber", "l_suppkey").select(
+        "l_orderkey", F.col("col_no").cast("bigint").alias("col_no"),
+        F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_suppkey")
 
 
 # Re-aimed kinds take the methods of the format they stand in for.
