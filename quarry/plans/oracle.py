@@ -166,6 +166,9 @@ def blocks_ctes(collections=("doc", "conv", "wb")) -> str:
     if "wb" in collections:
         parts.append(WB_BLOCKS)
         unions.append("SELECT project_id, label, block_no, kind, text, rows, location FROM wb_blocks")
+    if "page" in collections:
+        parts.append(page_ctes())
+        unions.append("SELECT project_id, label, block_no, kind, text, rows, location FROM page_blocks")
     files = []
     if "doc" in collections:
         files.append("SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, "
@@ -176,6 +179,11 @@ def blocks_ctes(collections=("doc", "conv", "wb")) -> str:
                      "CAST(NULL AS VARCHAR), '.pptx' FROM conversations")
     if "wb" in collections:
         files.append("SELECT 'tpch', 'tpch.xlsx', CAST(NULL AS VARCHAR), '.xlsx'")
+    if "page" in collections:
+        files.append("SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1) AS project_id, "
+                     "'page_' || page_id || '.html' AS label, "
+                     "CASE WHEN html IS NULL THEN 'Could not read this file: no content.' END AS problem, "
+                     "'.html' AS ext FROM pages")
     flat = f"CASE WHEN kind = 'table' THEN array_to_string(flatten(rows), ' ') ELSE text END"
     return ",".join(parts) + f""",
 all_blocks0 AS ({' UNION ALL '.join(unions)}),
@@ -505,6 +513,7 @@ SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name,
         "blocks_html": html_blocks_sql(),
         "merged_cells": merged_cells_sql(),
         "rule_lint": rule_lint_sql(),
+        "rules_pages": file_records_sql(Q.PAGE_RULES, ("page",)) + pf,
         "sheet_grid": sheet_grid_sql(),
         "result_rows": result_rows_sql(),
     }
@@ -573,7 +582,8 @@ FROM RECORDS r LEFT JOIN labels l ON r.file_label = 'doc_' || l.doc_id || '.txt'
     }
 
 
-def html_blocks_sql() -> str:
+def page_ctes() -> str:
+    """Page blocks (S8) as CTEs ending in ``page_blocks``."""
     from quarry.sources.corpus import HTML_BLOCK_TAG, HTML_DROP, HTML_ENTITIES, HTML_OPENERS
 
     def html_text(x):
@@ -583,37 +593,44 @@ def html_blocks_sql() -> str:
         return t
 
     openers = ", ".join(q(t) for t in HTML_OPENERS)
-    return f"""WITH pg AS (
+    return f"""
+pg_src AS (
   SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1) AS project_id,
          'page_' || page_id || '.html' AS label,
          regexp_replace(regexp_replace(coalesce(html, ''), {q(HTML_DROP)}, '', 'g'), {q(HTML_BLOCK_TAG)},
                         chr(1) || '\\1\\2' || chr(2), 'g') AS marked
   FROM pages),
-pieces AS (
+pg_pieces AS (
   SELECT project_id, label, unnest(string_split(marked, chr(1))) AS piece,
-         unnest(generate_series(1, len(string_split(marked, chr(1))))) AS idx FROM pg),
-p2 AS (
+         unnest(generate_series(1, len(string_split(marked, chr(1))))) AS idx FROM pg_src),
+pg_tags AS (
   SELECT project_id, label, idx, lower(split_part(piece, chr(2), 1)) AS tag,
          regexp_replace(piece, '^[^\\x{{02}}]*\\x{{02}}', '') AS body
-  FROM pieces WHERE idx > 1),
-p3 AS (
+  FROM pg_pieces WHERE idx > 1),
+pg_blocks0 AS (
   SELECT project_id, label, idx, tag,
          CASE WHEN tag = 'ul' THEN 'table' ELSE 'paragraph' END AS kind,
          CASE WHEN tag = 'ul' THEN NULL ELSE {html_text('body')} END AS text,
          CASE WHEN tag = 'ul' THEN [list_transform(string_split_regex(body, '(?i)<li\\b[^>]*>')[2:],
               lambda x: {strip_ws(html_text('x'))})] END AS rows
-  FROM p2 WHERE tag IN ({openers})),
-p4 AS (
-  SELECT *, CASE WHEN tag LIKE 'h%' AND {strip_ws('text')} <> '' THEN '§' || {strip_ws('text')} END AS hloc FROM p3),
-p5 AS (
-  SELECT *, coalesce(last_value(hloc IGNORE NULLS) OVER (PARTITION BY label ORDER BY idx
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'body') AS location,
+  FROM pg_tags WHERE tag IN ({openers})),
+pg_blocks1 AS (
+  SELECT *, CASE WHEN tag LIKE 'h%' AND {strip_ws('text')} <> '' THEN '§' || {strip_ws('text')} END AS hloc
+  FROM pg_blocks0),
+page_blocks AS (
+  SELECT project_id, label, kind, text, rows,
+         coalesce(last_value(hloc IGNORE NULLS) OVER (PARTITION BY label ORDER BY idx
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'body') AS location,
          row_number() OVER (PARTITION BY label ORDER BY idx) AS block_no
-  FROM p4)
+  FROM pg_blocks1)"""
+
+
+def html_blocks_sql() -> str:
+    return f"""WITH {page_ctes()}
 SELECT project_id, label, CAST(block_no AS BIGINT) AS block_no, kind, location,
   CASE WHEN kind = 'table' THEN array_to_string(flatten(rows), ' ') ELSE text END AS text,
   CAST(CASE WHEN kind = 'table' THEN len(rows) ELSE 0 END AS BIGINT) AS n_rows
-FROM p5"""
+FROM page_blocks"""
 
 
 def merged_cells_sql() -> str:

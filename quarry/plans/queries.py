@@ -341,3 +341,20 @@ def rule_lint(spark, sf_dir):
     allowed = F.coalesce(methods[ext], F.array().cast("array<string>"))
     return cands.select("project_id", "rule_no", "label", ext.alias("ext"), types[F.col("rule_no")].alias("rule_type")) \
         .filter(~F.array_contains(allowed, F.col("rule_type")))
+
+
+# Rules over web pages: heading locations (S8) reach the citations.
+PAGE_RULES = _rs(
+    {"name": "host", "type": "between", "match": "", "params": {"start": "©", "end": "·"}},
+    {"name": "example", "type": "around_keywords", "match": "", "params": {"keyword": "example", "before": 1}},
+    {"name": "nav table", "type": "table_contains", "match": "", "params": {"contains": "the"}},
+    {"name": "after and", "type": "right_of", "match": "", "params": {"label": "and"}},
+)
+
+
+def pages_corpus(spark, sf_dir) -> RUN.Corpus:
+    return RUN.Corpus(C.pages_files(spark, sf_dir), [])
+
+
+def rules_pages(spark, sf_dir):
+    return per_file(spark, sf_dir, PAGE_RULES, pages_corpus)
