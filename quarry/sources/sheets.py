@@ -32,13 +32,15 @@ WORKBOOK_LABEL = "tpch.xlsx"
 WORKBOOK_PROJECT = "tpch"
 
 
-def cell_text(c: Column, dtype: T.DataType) -> Column:
+def cell_text(c: Column, dtype: T.DataType, session_tz: str = "UTC") -> Column:
     """A stored value as the text a workbook reader shows: doubles with two
-    decimals, timestamps as 'YYYY-MM-DD HH:MM:SS', others as is."""
+    decimals, timestamps as 'YYYY-MM-DD HH:MM:SS' in UTC whatever the
+    session time zone, others as is."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return c.cast("decimal(18,2)").cast("string")
     if isinstance(dtype, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        shown = c if session_tz in ("UTC", "Etc/UTC", "Z", "+00:00") else F.to_utc_timestamp(c, session_tz)
+        return F.date_format(shown, "yyyy-MM-dd HH:mm:ss")
     return c.cast("string")
 
 
@@ -71,11 +73,12 @@ class Sheet:
         lo, hi = max(row_lo, 2) - 2, row_hi - 2
         if lo <= hi:
             types = dict((f.name, f.dataType) for f in self.df.schema.fields)
+            tz = self.df.sparkSession.conf.get("spark.sql.session.timeZone")
             body = (self.df.filter(F.col(self.key).between(lo, hi))
                     .select(F.lit(self.name).alias("sheet"),
                             (F.col(self.key) + 2).cast("int").alias("row_no"),
                             F.explode(F.array(*[F.struct(F.lit(c).alias("col_no"),
-                                                         cell_text(F.col(n), types[n]).alias("value"))
+                                                         cell_text(F.col(n), types[n], tz).alias("value"))
                                                 for c, n in picked])).alias("cv"))
                     .select("sheet", "row_no", "cv.col_no", "cv.value"))
             out.append(body)
@@ -119,9 +122,10 @@ class Workbook:
             types = dict((f.name, f.dataType) for f in sh.df.schema.fields)
             header = self.spark.range(1).select(F.lit(sh.ord).alias("sheet_ord"), F.lit(1).alias("row_no"),
                                                 F.array(*[F.lit(c) for c in cols]).alias("cells"))
+            tz = self.spark.conf.get("spark.sql.session.timeZone")
             body = (sh.df.filter(F.col(sh.key) <= SHEET_BLOCK_ROWS - 2)
                     .select(F.lit(sh.ord).alias("sheet_ord"), (F.col(sh.key) + 2).cast("int").alias("row_no"),
-                            F.array(*[F.coalesce(cell_text(F.col(c), types[c]), F.lit("")) for c in cols])
+                            F.array(*[F.coalesce(cell_text(F.col(c), types[c], tz), F.lit("")) for c in cols])
                             .alias("cells")))
             parts.append(header.unionByName(body))
         allrows = parts[0]
