@@ -24,8 +24,17 @@ BLOCK_TYPE = ("struct<block_no:int,kind:string,text:string,"
 TABLE_ROW_MARK = " | "
 
 
+_TABLES: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. The DataFrame (a plan, no data) is reused within a
+    session, so its schema is inferred from the parquet footers once."""
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(key[1])
+    return df
 
 
 def _block(block_no, kind, text, rows, location) -> Column:
