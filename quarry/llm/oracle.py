@@ -6,14 +6,14 @@ from quarry.llm import licenses as L
 
 QUALITY = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
-w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') as ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 g as (select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as k
       from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w)),
 again as (select r, i from (select r, i, count(*) over (partition by r, k) as n from g) where n > 1),
 hit as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from again) group by r),
 b as (select w.doc_id, cast(len(ws) as bigint) as n_words,
-             cast(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) as bigint) as word_chars,
+             cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
              cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
              cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
              cast(coalesce(hit.n, 0) as bigint) as n_repeat_words, len(ls) as n_lines
@@ -43,14 +43,14 @@ texts as (select row_number() over () as r, doc_id, cast(null as varchar) as lic
           union all select null, null, license_id, text from known),
 shown as (select r, doc_id, license_id, array_to_string(list_transform(
             string_split(translate(text, '{L.UPPER}', '{L.LOWER}'), chr(10)),
-            x -> case when regexp_matches(x, {_q(L.COPYRIGHT)}) or regexp_matches(x, {_q(L.RESERVED)}) then ''
+            lambda x: case when regexp_matches(x, {_q(L.COPYRIGHT)}) or regexp_matches(x, {_q(L.RESERVED)}) then ''
                       else ' ' || regexp_replace(x, {_q(L.OTHER)}, ' ', 'g') || ' ' end), chr(10)) as s from texts),
 spelt as (select r, doc_id, license_id, {_spellings('s')} as s from shown),
 forms as (select r, doc_id, license_id,
-                 list_transform(string_split(regexp_replace(s, ' +', ' ', 'g'), chr(10)), x -> trim(x)) as f from spelt),
+                 list_transform(string_split(regexp_replace(s, ' +', ' ', 'g'), chr(10)), lambda x: trim(x)) as f from spelt),
 whole as (select r, doc_id, license_id, f,
-                 case when array_to_string(list_filter(f, x -> x <> ''), ' ') <> ''
-                      then sha256(array_to_string(list_filter(f, x -> x <> ''), ' ')) end as digest from forms),
+                 case when array_to_string(list_filter(f, lambda x: x <> ''), ' ') <> ''
+                      then sha256(array_to_string(list_filter(f, lambda x: x <> ''), ' ')) end as digest from forms),
 k as (select digest as kd, min(license_id) as known_id from whole where r is null and digest is not null group by 1),
 lines as (select r, string_agg(distinct known_id, ',' order by known_id) as line_licenses
           from (select r, unnest(f) as x from whole where r is not null) join k on x <> '' and sha256(x) = kd group by r)
