@@ -86,7 +86,6 @@ def later_copies(lines: DataFrame) -> DataFrame:
     levels = doubling_levels(lines)
     if not levels:
         return lines.select("d", "i", F.lit(0).cast("long").alias("run"), "w").limit(0)
-    members = "d long, i long, x1 long, x2 long, run long, w long, first boolean"
     # the longest level at which a place is not the first of its class
     top = None
     for h, level in enumerate(levels):
@@ -111,17 +110,19 @@ def later_copies(lines: DataFrame) -> DataFrame:
         if nodes is not None:
             release(nodes)
         nodes = new
-    raise AssertionError(members)
 
 
 def _split(nodes: DataFrame, level: DataFrame, step: int) -> DataFrame:
     """The nodes after trying to extend their runs by ``step`` lines."""
     on = level.select("d", F.col("i").alias("at"), F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("w").alias("v"))
+    # a place that cannot be extended gets a class of its own, which also keeps such rows apart in the join
+    known = F.col("e1").isNotNull()
     tried = (nodes.withColumn("at", F.col("i") + F.col("run")).join(on, ["d", "at"], "left").drop("at")
-             .withColumn("y1", F.when(F.col("e1").isNotNull(), F.xxhash64("x1", "x2", "run", "e1", "e2")))
-             .withColumn("y2", F.when(F.col("e1").isNotNull(), F.xxhash64(F.lit("second"), "x1", "x2", "run", "e1", "e2")))
-             .drop("e1", "e2"))
-    sub = (tried.filter("y1 is not null").groupBy("y1", "y2").agg(F.count("*").alias("m"), F.min(F.struct("d", "i")).alias("f"))
+             .withColumn("y1", F.when(known, F.xxhash64("x1", "x2", "run", "e1", "e2")).otherwise(F.xxhash64("d", "i", "x1")))
+             .withColumn("y2", F.when(known, F.xxhash64(F.lit("second"), "x1", "x2", "run", "e1", "e2"))
+                         .otherwise(F.xxhash64(F.lit("alone"), "d", "i", "x2")))
+             .withColumn("known", known).drop("e1", "e2"))
+    sub = (tried.filter("known").groupBy("y1", "y2").agg(F.count("*").alias("m"), F.min(F.struct("d", "i")).alias("f"))
            .filter("m > 1").select("y1", "y2", F.col("f.d").alias("fd"), F.col("f.i").alias("fi")))
     both = (tried.join(sub, ["y1", "y2"], "left")
             .withColumn("lead", (F.col("d") == F.col("fd")) & (F.col("i") == F.col("fi"))))

@@ -60,6 +60,20 @@ def test_pigeonhole_keys():
         assert len(shared) and neardup._first_key(a, b)[0] == shared[0]
 
 
+def test_bitmaps_never_claim_too_much():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[3:], rng.integers(0, 1 << 63, 9, dtype=np.uint64)]))]
+    bits = neardup.Bitmaps([neardup.bitmap(s) for s in sets])
+    every = np.arange(len(sets))
+    for r in every:
+        differ = bits.differ(every, r)
+        assert all(d <= len(np.setxor1d(sets[c], sets[r])) for c, d in zip(every, differ))
+        assert differ[r] == 0
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = neardup.near_duplicates(documents(spark, [(9, long), (9, long), (2, long + " x"), (None, long)])).collect()
