@@ -15,8 +15,10 @@ written out: first every class is held against one pivot of its buckets only
 and the links found make components. Then only pairs of classes in different
 components are compared, on signatures first, inside blocks of a bucket: the
 rows of the bucket's largest component are dealt over the blocks, the few
-others visit each block. Links are confirmed on the shingle sets of the whole
-texts. A pair within one component needs no comparison, since the component
+others visit each block. Each class brings a bitmap of its shingles there (a
+hashed bit each). Bits that differ prove as many shingles that differ, which
+bounds the similarity of a pair from above; a pair that cannot reach it is
+not written. Links are confirmed on the shingle sets of the whole texts. A pair within one component needs no comparison, since the component
 would not change.
 """
 
@@ -100,23 +102,28 @@ def bucket_keys(sig: np.ndarray) -> np.ndarray:
     return _mix(whole - weighted + _SALT).view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a whole set."""
+    from xxhash import xxh3_128_intdigest
+
+    m = xxh3_128_intdigest(shingles.tobytes())
+    return (m >> 64) - (1 << 63), (m & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh3_128_intdigest
-
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
                 sets = [shingle_set(x.as_py()) for x in batch.column(1)]
                 some = [k for k, s in enumerate(sets) if len(s)]
                 sig = iter(signatures([sets[k] for k in some])) if some else iter(())
-                marks = [xxh3_128_intdigest(s.tobytes()) for s in sets]
+                marks = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([(m >> 64) - (1 << 63) for m in marks], pa.int64()),
-                     pa.array([(m & ((1 << 64) - 1)) - (1 << 63) for m in marks], pa.int64()),
+                     pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
                      pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "d1", "d2", "sig"])
 
@@ -186,6 +193,62 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """One hashed bit for each shingle, in eight to sixteen bits a shingle."""
+    size = 1 << max(6, (8 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of a bucket. One twice as long folds onto a shorter one, since
+    its places are the same hash with a bit more."""
+
+    def __init__(self, maps: list[bytes]):
+        self.size = np.array([len(m) for m in maps])
+        self.row, self.of = np.zeros(len(maps), np.int64), {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            self.of[size] = np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1)
+
+    @staticmethod
+    def _fold(m: np.ndarray, words: int) -> np.ndarray:
+        while m.shape[1] > words:
+            half = m.shape[1] // 2
+            m = m[:, :half] | m[:, half:]
+        return m
+
+    def differ(self, c: np.ndarray, r: int) -> np.ndarray:
+        """Bits that differ between each of c and r: at most the number of
+        shingles that only one of the two has."""
+        out, mine = np.zeros(len(c), np.int64), self.of[int(self.size[r])][self.row[[r]]]
+        for size in np.unique(self.size[c]).tolist():
+            at = np.flatnonzero(self.size[c] == size)
+            words = min(size // 8, mine.shape[1])
+            others = self._fold(self.of[size][self.row[c[at]]], words)
+            out[at] = np.bitwise_count(others ^ self._fold(mine, words)).sum(axis=1)
+        return out
+
+
+def _bitmaps(pool: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, d1, bits) of the classes in the pool."""
+    id_type = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_digest(s)[0] for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())],
+                names=["rep", "d1", "bits"])
+
+    return (texts.join(pool, "rep", "left_semi").select("rep", "text")
+            .mapInArrow(run, f"rep {id_type}, d1 long, bits binary").dropDuplicates(["rep", "d1"]))
+
+
 def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Index of the first key that two signatures share."""
     differ = (x != y).reshape(len(x), CHUNKS, WIDTH)
@@ -195,9 +258,10 @@ def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within DISTANCE, from rows (key,
-    block, rep, n, sig, label, home, visits) sorted by key and block. A pair
-    is written once, in the bucket of the first key it shares."""
+    """Pairs (a, b) of different components within DISTANCE whose bitmaps allow
+    a link, from rows (key, block, rep, n, sig, bits, label, home, visits)
+    sorted by key and block. A pair is written once, in the bucket of the
+    first key it shares."""
     id_type = rows.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -206,6 +270,7 @@ def _across(rows: DataFrame) -> DataFrame:
         def pairs(group: pa.Table) -> Iterator:
             rep, label = (np.array(group.column(c).to_pylist()) for c in ("rep", "label"))
             n, visits, home = (group.column(c).to_numpy(zero_copy_only=False) for c in ("n", "visits", "home"))
+            bits = Bitmaps(group.column("bits").to_pylist())
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, PARTS)
             key = group.column("key")[0].as_py()
             left, right = np.flatnonzero(home), np.flatnonzero(visits)
@@ -214,6 +279,7 @@ def _across(rows: DataFrame) -> DataFrame:
                 c = left[(label[left] != label[r]) & (~visits[left] | (rep[left] < rep[r]))]
                 c = c[100 * np.minimum(n[c], n[r]) >= PERCENT * np.maximum(n[c], n[r])]
                 c = c[_distance(sig[c], sig[r]) <= DISTANCE] if len(c) else c
+                c = c[185 * bits.differ(c, r) <= 15 * (n[c] + n[r])] if len(c) else c
                 if len(c):
                     other = np.broadcast_to(sig[r], (len(c), PARTS))
                     mine = bucket_keys(sig[c])[np.arange(len(c)), _first_key(sig[c], other)] == key
@@ -227,18 +293,42 @@ def _across(rows: DataFrame) -> DataFrame:
             key, block = rest.column("key").to_numpy(), rest.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
             for s, e in zip(cuts, cuts[1:]):
-                yield from (_pair_batch(x, y) for x, y in pairs(rest.slice(s, e - s)))
+                yield from (_pair_batch(*x) for x in pairs(rest.slice(s, e - s)))
             rest = rest.slice(cuts[-1])
         if rest is not None and rest.num_rows:
-            yield from (_pair_batch(x, y) for x, y in pairs(rest))
+            yield from (_pair_batch(*x) for x in pairs(rest))
 
-    def _pair_batch(x, y):
+    def _pair_batch(a, b):
         import pyarrow as pa
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def _mixed(hits: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, rep, label, top, blocks) of the buckets that hold several
+    components; ``top`` is the largest of them."""
+    labelled = (hits.select("key", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+                .select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
+    mixed = (sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"))
+             .filter("labels > 1")
+             .select("key", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / BLOCK_ROWS).cast("int").alias("blocks")))
+    return labelled.join(mixed, "key")
+
+
+def _dealt(pool: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows of mixed buckets, dealt over their blocks and sorted."""
+    rows = (pool.join(sigs, "rep")
+            .withColumn("visits", F.col("label") != F.col("top"))
+            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            .withColumn("block", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), F.col("blocks") - 1))
+                                           .otherwise(F.array("own"))))
+            .withColumn("home", F.col("block") == F.col("own"))
+            .select("key", "block", "rep", "n", "sig", "bits", "label", "home", "visits"))
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -268,22 +358,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = keep(components(links), "labels")
 
     # then: classes of different components that share a bucket
-    labelled = (hits.select("key", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-                .select("key", "rep", F.coalesce("component", "rep").alias("label")))
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
-    mixed = (sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"))
-             .filter("labels > 1")
-             .select("key", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / BLOCK_ROWS).cast("int").alias("blocks")))
-    rows = (labelled.join(mixed, "key").join(sigs, "rep")
-            .withColumn("visits", F.col("label") != F.col("top"))
-            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .withColumn("block", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), F.col("blocks") - 1))
-                                           .otherwise(F.array("own"))))
-            .withColumn("home", F.col("block") == F.col("own"))
-            .select("key", "block", "rep", "n", "sig", "label", "home", "visits"))
-    across = keep(_across(rows.repartition("key", "block").sortWithinPartitions("key", "block")), "pairs")
-    more = keep(_linked(across, texts), "links")
-    final = keep(components(links.unionByName(more)), "labels")
+    pool = keep(_mixed(hits, label), "mixed")
+    full = classes.select("rep", "d1", "sig", F.col("n_shingles").alias("n")).join(
+        _bitmaps(pool.select("rep").distinct(), texts), ["rep", "d1"])
+    rest = keep(_across(_dealt(pool, full)), "pairs")
+    final = keep(components(links.unionByName(_linked(rest, texts))), "labels")
 
     of_class = (classes.join(final, classes["rep"] == final["node"], "left")
                 .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")))
