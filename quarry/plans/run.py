@@ -282,12 +282,12 @@ def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, ru
     whose trimmed, lower-cased name equals the rule's, the rule's cell
     rectangle filtered out of the sparse cells (a pushed-down filter on row
     and column), and the tab list for the missing-sheet note. Every join is
-    on the file label; the rectangle and the tab list are bounded by the
+    on the project and the file label; the rectangle and the tab list are bounded by the
     rule and the workbook's sheet count."""
     from quarry.functions.text import py_strip
     books = files.filter(F.col("ext").isin(".xlsx", ".xlsm") & F.col("problem").isNull()) \
         .select("project_id", "label")
-    tabs = sheets.groupBy("label").agg(F.array_join(F.transform(
+    tabs = sheets.groupBy("project_id", "label").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("sheet_ord", "sheet"))), lambda x: x["sheet"]), ", ").alias("tabs"))
     parts = []
     for rule in rules:
@@ -298,10 +298,10 @@ def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, ru
         is_range = ":" in ref
         loc = f"{sheet_name}!{ref}"
         want = (sheet_name or "").strip().lower()
-        target = sheets.filter(F.lower(py_strip(F.col("sheet"))) == want).groupBy("label") \
+        target = sheets.filter(F.lower(py_strip(F.col("sheet"))) == want).groupBy("project_id", "label") \
             .agg(F.min_by("sheet", "sheet_ord").alias("target"))
         cand = books.filter(candidate(rule, F.col("label")))
-        base = cand.join(target, "label", "left").join(tabs, "label", "left")
+        base = cand.join(target, ["project_id", "label"], "left").join(tabs, ["project_id", "label"], "left")
         no_tab = F.concat(F.lit(f"No tab named '{sheet_name}'. Tabs found: "), F.coalesce("tabs", F.lit("")),
                           F.lit("."))
         kind = "table" if is_range else "text"
@@ -313,8 +313,8 @@ def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, ru
         elif spec[0] == "cell":
             r, c = spec[1], spec[2]
             hit = cells.filter((F.col("row_no") == r) & (F.col("col_no") == c)).select(
-                "label", F.col("sheet").alias("target"), F.col("value"))
-            j = base.join(hit, ["label", "target"], "left")
+                "project_id", "label", F.col("sheet").alias("target"), F.col("value"))
+            j = base.join(hit, ["project_id", "label", "target"], "left")
             note = (f"Cell {ref} on '{sheet_name}' is empty, or holds a formula whose result was never saved "
                     f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
             raw = F.when(F.col("target").isNull(), missing).otherwise(R.raw_result(
@@ -323,9 +323,9 @@ def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, ru
             r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
             r1, r2, c1, c2 = min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
             rect = cells.filter(F.col("row_no").between(r1, r2) & F.col("col_no").between(c1, c2)) \
-                .groupBy("label", F.col("sheet").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct(
+                .groupBy("project_id", "label", F.col("sheet").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct(
                     F.struct(F.col("row_no").alias("r"), F.col("col_no").alias("c")), F.col("value")))).alias("m"))
-            j = base.join(rect, ["label", "target"], "left")
+            j = base.join(rect, ["project_id", "label", "target"], "left")
             m = F.coalesce(F.col("m"), F.create_map().cast("map<struct<r:int,c:int>,string>"))
             grid = F.transform(F.sequence(F.lit(r1), F.lit(r2)), lambda rr: F.transform(
                 F.sequence(F.lit(c1), F.lit(c2)),

@@ -20,7 +20,6 @@ def get_spark(master: str | None = None, app: str = "quarry",
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
     builder = (
         SparkSession.builder
-        .master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -32,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "quarry",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
     )
+    if master:  # else as spark-submit or the running session has it
+        builder = builder.master(master)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -42,11 +43,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) is a private folder created.
+    Only a single-process session (local tests) may leave it unset; it gets a
+    private folder. On a cluster executors could not read each other's files
+    there, so it is an error.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

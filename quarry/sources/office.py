@@ -331,12 +331,12 @@ def office_files(events: DataFrame) -> DataFrame:
                 F.when(F.col("ext") == ".pptx", F.concat(F.lit("Slide "), F.col("part").cast("string")))
                 .alias("loc"))
     blocks = pb.unionByName(tb)
-    order = W.partitionBy("label").orderBy("part", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("project_id", "label").orderBy("part", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     blocks = blocks.withColumn("location", F.coalesce(F.last("loc", ignorenulls=True).over(order), F.lit("body")))
-    per_file = blocks.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(
+    per_file = blocks.groupBy("project_id", "label").agg(F.array_sort(F.collect_list(F.struct(
         "part", "seq", F.struct(F.lit(0).alias("block_no"), "kind", "text", "rows", "location").alias("b"))))
         .alias("bs"))
-    return files.join(per_file, "label", "left").select(
+    return files.join(per_file, ["project_id", "label"], "left").select(
         "project_id", "label", "ext", "problem",
         number_blocks(F.coalesce(F.transform("bs", lambda x: x["b"]), F.array())
                       .cast(f"array<{BLOCK_TYPE}>")).alias("blocks"))
@@ -360,20 +360,21 @@ def workbook_files(events: DataFrame, max_rows: int = 400, max_cols: int = 60) -
     ev = events.filter(F.col("ext").isin(".xlsx", ".xlsm"))
     files = ev.filter(F.col("kind") == "file").select("project_id", "label", "ext", "problem")
     cells = sheet_cells(ev)
-    dims = cells.groupBy("label", "sheet_ord").agg(F.least(F.max("row_no"), F.lit(max_rows)).alias("nr"),
+    dims = cells.groupBy("project_id", "label", "sheet_ord").agg(F.least(F.max("row_no"), F.lit(max_rows)).alias("nr"),
                                                    F.least(F.max("col_no"), F.lit(max_cols)).alias("nc"))
     inside = cells.filter((F.col("row_no") <= max_rows) & (F.col("col_no") <= max_cols))
-    grid = inside.groupBy("label", "sheet_ord").agg(F.map_from_entries(F.collect_list(F.struct(
+    grid = inside.groupBy("project_id", "label", "sheet_ord").agg(F.map_from_entries(F.collect_list(F.struct(
         F.struct("row_no", "col_no"), "value"))).alias("m"))
-    sheets = sheet_list(ev).join(dims, ["label", "sheet_ord"], "left").join(grid, ["label", "sheet_ord"], "left")
+    sheets = sheet_list(ev).join(dims, ["project_id", "label", "sheet_ord"], "left").join(
+        grid, ["project_id", "label", "sheet_ord"], "left")
     rows = F.transform(F.sequence(F.lit(1), F.coalesce("nr", F.lit(1))), lambda r: F.transform(
         F.sequence(F.lit(1), F.coalesce("nc", F.lit(1))),
         lambda c: F.coalesce(F.col("m")[F.struct(r.alias("row_no"), c.alias("col_no"))], F.lit(""))))
-    per = sheets.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(
+    per = sheets.groupBy("project_id", "label").agg(F.array_sort(F.collect_list(F.struct(
         "sheet_ord", F.struct(F.lit(0).alias("block_no"), F.lit("table").alias("kind"),
                               F.lit(None).cast("string").alias("text"), rows.alias("rows"),
                               F.col("sheet").alias("location")).alias("b")))).alias("bs"))
-    return files.join(per, "label", "left").select(
+    return files.join(per, ["project_id", "label"], "left").select(
         "project_id", "label", "ext", "problem",
         number_blocks(F.coalesce(F.transform("bs", lambda x: x["b"]), F.array())
                       .cast(f"array<{BLOCK_TYPE}>")).alias("blocks"))

@@ -115,12 +115,10 @@ class Workbook:
         return [s.name for s in self.sheets]
 
     def find_sheet(self, name) -> Sheet | None:
-        """Trimmed, case-insensitive, first in tab order."""
-        want = (name or "").strip().lower()
-        for s in self.sheets:
-            if s.name.strip().lower() == want:
-                return s
-        return None
+        """The sheet of that name, blanks around and letter case aside; the
+        first tab if several fold alike."""
+        folded = {s.name.strip().lower(): s for s in reversed(self.sheets)}
+        return folded.get((name or "").strip().lower())
 
     def blocks(self) -> DataFrame:
         """One table block per sheet, at most 400 rows x 60 columns,

@@ -18,6 +18,7 @@ Each micro-batch (``foreachBatch``):
    latest version of every file in them, and overwrites those projects'
    partitions of ``<state>/records``.
 
+The newest version of a file is the one with the latest modification time.
 P2 is not monotone (an earlier label arriving late can win), so records are
 recomputed per touched project rather than appended. Replaying a batch
 writes the same rows again under the same arrival path and is deduplicated
@@ -26,8 +27,6 @@ on read, so the result does not change.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +43,13 @@ BINARY_SCHEMA = T.StructType([
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 RESULTS_SCHEMA = (
-    "project_id string, label string, arrival string, sha256 string, problem string, rule_no int, "
+    "project_id string, label string, arrival string, arrived timestamp, sha256 string, problem string, rule_no int, "
     "cand boolean, rec " + RUN.FILE_REC_T)
 
 
+NOT_TEXT = "Could not read this file: it is not UTF-8 text."
+
+
 class IncrementalExtractor:
     def __init__(self, spark: SparkSession, ruleset: dict, landing: str, state: str):
         self.spark, self.ruleset, self.landing, self.state = spark, ruleset, landing.rstrip("/"), state.rstrip("/")
@@ -64,33 +66,45 @@ class IncrementalExtractor:
             F.element_at(parts, 1).alias("project_id"),
             F.element_at(parts, -1).alias("label"),
             F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 1)).alias("arrival"),
-            F.sha2("content", 256).alias("sha256"), "content", "modificationTime",
+            F.col("modificationTime").alias("arrived"), F.sha2("content", 256).alias("sha256"), "content",
         ).filter(~F.col("label").startswith("~$"))
 
     def _current(self) -> DataFrame | None:
-        if not os.path.exists(self.results_path):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.results_path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
         res = self.spark.read.schema(RESULTS_SCHEMA).parquet(self.results_path)
-        return res.select("project_id", "label", "arrival", "sha256").distinct() \
-            .groupBy("project_id", "label").agg(F.max_by("sha256", "arrival").alias("sha256"))
+        return res.select("project_id", "label", "arrival", "arrived", "sha256").distinct() \
+            .groupBy("project_id", "label").agg(F.max_by("sha256", F.struct("arrived", "arrival")).alias("sha256"))
 
     # -- one micro-batch -------------------------------------------------------
     def process(self, batch: DataFrame, epoch_id: int) -> None:
         arrivals = self._arrivals(batch)
+        # a batch that is replayed after its results were appended finds all
+        # its files known; their projects are picked anew all the same
+        touched = arrivals.select("project_id").distinct().checkpoint(eager=True)
         cur = self._current()
         if cur is not None:
             arrivals = arrivals.join(cur, ["project_id", "label", "sha256"], "left_anti")
         # several arrivals of one label in a batch: the latest one counts
         arrivals = arrivals.groupBy("project_id", "label").agg(
-            F.max_by(F.struct("arrival", "sha256", "content"), "arrival").alias("a")).select(
-            "project_id", "label", "a.arrival", "a.sha256", "a.content")
+            F.max_by(F.struct("arrival", "arrived", "sha256", "content"), F.struct("arrived", "arrival")).alias("a")).select(
+            "project_id", "label", "a.arrival", "a.arrived", "a.sha256", "a.content")
         arrivals = arrivals.checkpoint(eager=True)
-        if arrivals.isEmpty():
-            return
+        if not arrivals.isEmpty():
+            self.append(arrivals)
+        if self._current() is not None:
+            self.refresh(touched)
+
+    def append(self, arrivals: DataFrame) -> None:
+        """Decode new file versions and add their per-file records."""
         ext = extension(F.col("label"))
         files = arrivals.withColumn("ext", ext).withColumn("problem", problem_for(ext))
         cols = ["project_id", "label", "ext", "problem", "blocks"]
-        plain = files.filter(F.col("ext").isin(".txt", ".html")).withColumn("text", F.decode("content", "UTF-8"))
+        # text that is not UTF-8 is a problem of its file, not of the batch
+        text = F.try_validate_utf8(F.col("content").cast("string"))
+        plain = files.filter(F.col("ext").isin(".txt", ".html")).withColumn("text", text).withColumn(
+            "problem", F.when(F.col("text").isNull(), F.lit(NOT_TEXT)).otherwise(F.col("problem"))).na.fill("", ["text"])
         txt = with_text_blocks(plain.filter(F.col("ext") == ".txt"), "text").select(*cols)
         html = with_html_blocks(plain.filter(F.col("ext") == ".html"), "text").select(*cols)
         # office packages: bytes decoded in Python, structure built by Spark
@@ -103,11 +117,10 @@ class IncrementalExtractor:
         decoded_sheets = RUN.cell_sheet_records(blocks, sheet_list(events), sheet_cells(events), self.rules)
         if decoded_sheets is not None:
             per_file = per_file.unionByName(decoded_sheets)
-        keys = arrivals.select("project_id", "label", "arrival", "sha256")
+        keys = arrivals.select("project_id", "label", "arrival", "arrived", "sha256")
         out = per_file.join(keys, ["project_id", "label"]).select(
-            "project_id", "label", "arrival", "sha256", "problem", F.col("rule_no").cast("int"), "cand", "rec")
+            "project_id", "label", "arrival", "arrived", "sha256", "problem", F.col("rule_no").cast("int"), "cand", "rec")
         out.write.mode("append").parquet(self.results_path)
-        self.refresh(arrivals.select("project_id").distinct())
 
     def refresh(self, projects) -> None:
         """Re-pick the records of the touched projects (a DataFrame of
@@ -118,7 +131,8 @@ class IncrementalExtractor:
         res = self.spark.read.schema(RESULTS_SCHEMA).parquet(self.results_path) \
             .join(projects, "project_id", "left_semi") \
             .dropDuplicates(["project_id", "label", "arrival", "rule_no"])
-        latest = res.groupBy("project_id", "label").agg(F.max("arrival").alias("arrival"))
+        latest = res.groupBy("project_id", "label").agg(F.max(F.struct("arrived", "arrival")).alias("a")) \
+            .select("project_id", "label", F.col("a.arrival").alias("arrival"))
         cur = res.join(latest, ["project_id", "label", "arrival"])
         recs = RUN.pick(self.spark, cur.select("project_id", "label", "problem", "rule_no", "cand", "rec"), self.rules)
         recs.repartition("project_id").write.mode("overwrite").partitionBy("project_id").parquet(self.records_path)

@@ -29,13 +29,13 @@ def _tc(text, span=1, vmerge=None):
 def write_docx(path):
     body = "".join([
         _para("Intro text"),
-        _para("B.4 Project Team", "Heading2"),
+        _para("3 Staff and roles", "Heading2"),
         _para("Ann leads", bold=True),
         "<w:tbl><w:tr>" + _tc("Organization: legal name", span=2) + _tc("Acme Ltd") + "</w:tr>"
         "<w:tr>" + _tc("Total", vmerge="restart") + _tc("") + _tc("42") + "</w:tr>"
         "<w:tr>" + _tc("", vmerge="continue") + _tc("x") + _tc("43") + "</w:tr></w:tbl>",
         _para(""),
-        _para("B.5 Budget", "Heading2"),
+        _para("4 Cost plan", "Heading2"),
         _para("after budget"),
     ])
     styles = (f'<w:styles {W}><w:style w:styleId="Heading2"><w:name w:val="heading 2"/></w:style>'
@@ -82,7 +82,7 @@ def write_xlsx(path):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml",
                    f'<workbook {S} {R}><sheets><sheet name="Data" sheetId="1" r:id="rId1"/>'
-                   f'<sheet name="Budget Summary" sheetId="2" r:id="rId2"/></sheets></workbook>')
+                   f'<sheet name="Cost sheet" sheetId="2" r:id="rId2"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels",
                    f'<Relationships {REL}><Relationship Id="rId1" Type="x/worksheet" Target="worksheets/sheet1.xml"/>'
                    f'<Relationship Id="rId2" Type="x/worksheet" Target="worksheets/sheet2.xml"/></Relationships>')
@@ -116,20 +116,20 @@ def write_grant_folder(root):
     proj = os.path.join(root, "intake")
     os.makedirs(proj, exist_ok=True)
     app = "".join([
-        _para("Project Title: Moon Base Alpha  Proposal Number: 12-34"),
-        "<w:tbl>" + _row("Organization – legal name: (“The Applicant”)", "", "Cheddar Labs Inc.")
-        + _row("Project Summary:  A cheese cave on the moon") + _row("Total Project Cost (including ineligible and In-Kind)", "$1,200,000")
+        _para("Working title: Moon Base Alpha  File no.: 12-34"),
+        "<w:tbl>" + _row("Institute – name as registered: (“The Institute”)", "", "Cheddar Labs Inc.")
+        + _row("Abstract:  A cheese cave on the moon") + _row("Cost of the work (own means included)", "$1,200,000")
         + "</w:tbl>",
-        _para("B.4 Project Team", "Heading2"),
+        _para("3 Staff and roles", "Heading2"),
         _para("Dr. Gouda, lead"),
         "<w:tbl>" + _row("Name", "Role") + _row("Brie", "Engineer") + "</w:tbl>",
-        _para("B.5 Project Budget Information", "Heading2"),
+        _para("4 Cost plan in short", "Heading2"),
         _para("See workbook."),
     ])
     agreement = "".join([
         _para("A.2 Parties", "Heading2"),
-        "<w:tbl>" + _row("Total CHEESEMAKER Collaborative Value ($)", "450,000") + "</w:tbl>",
-        _para("A.3 Activities & Milestones (Project Schedule)", "Heading2"),
+        "<w:tbl>" + _row("Partner share in total ($)", "450,000") + "</w:tbl>",
+        _para("A.3 Work plan and dates", "Heading2"),
     ])
     styles = (f'<w:styles {W}><w:style w:styleId="Heading2"><w:name w:val="heading 2"/></w:style></w:styles>')
     for name, body in (("Grant application.docx", app), ("Partner agreement.docx", agreement)):

@@ -27,3 +27,14 @@ def test_hot_row_split_across_tasks(spark):
     df = spark.createDataFrame(rows, "r long, c long, cell long").repartition(8)
     got = {(x["r"], x["cell"]): (x["c"], x["col_no"]) for x in dedupe_row_cells(df, "r", "c", "cell").collect()}
     assert got == brute(rows)
+
+
+def test_without_exchange_reuse(spark):
+    rows = [(r % 3, c, c // 2) for r in range(3) for c in range(3000)]
+    df = spark.createDataFrame(rows, "r long, c long, cell long")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {(x["r"], x["cell"]): (x["c"], x["col_no"]) for x in dedupe_row_cells(df, "r", "c", "cell").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == brute(rows)

@@ -1,5 +1,6 @@
 """Office packages decoded in mapInPandas, structured by Spark."""
 
+import os
 import tempfile
 
 import pytest
@@ -32,8 +33,8 @@ def test_listing_and_problems(office):
 def test_docx_headings_and_merges(office):
     _, files, _ = office
     row, blocks = blocks_of(files, "application.docx")
-    assert [b["location"] for b in blocks] == ["body", "§B.4 Project Team", "§B.4 Project Team",
-                                               "§B.4 Project Team", "§B.4 Project Team", "§B.5 Budget", "§B.5 Budget"]
+    assert [b["location"] for b in blocks] == ["body", "§3 Staff and roles", "§3 Staff and roles",
+                                               "§3 Staff and roles", "§3 Staff and roles", "§4 Cost plan", "§4 Cost plan"]
     table = blocks[3]
     assert table["kind"] == "table"
     # the two-column label cell appears once; the vertical merge repeats its first cell
@@ -54,11 +55,11 @@ def test_pptx_slides_and_notes(office):
 def test_xlsx_cells_and_blocks(office):
     _, files, events = office
     _, blocks = blocks_of(files, "budget.xlsx")
-    assert [b["location"] for b in blocks] == ["Data", "Budget Summary"]
+    assert [b["location"] for b in blocks] == ["Data", "Cost sheet"]
     assert blocks[0]["rows"] == [["Name", "Amount", ""], ["", "", ""], ["Total", "12.5", ""]]
     assert len(blocks[1]["rows"]) == 10 and blocks[1]["rows"][9][15] == "7"
     cells = {(r["sheet"], r["row_no"], r["col_no"]): r["value"] for r in sheet_cells(events).collect()}
-    assert cells[("Data", 3, 3)] is None and cells[("Budget Summary", 10, 16)] == "7"
+    assert cells[("Data", 3, 3)] is None and cells[("Cost sheet", 10, 16)] == "7"
 
 
 def test_worked_example_over_office_files(spark):
@@ -72,26 +73,26 @@ def test_worked_example_over_office_files(spark):
     root = write_grant_folder(tempfile.mkdtemp(prefix="quarry-grant-"))
     files, events = read_office_folder(spark, root)
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with open(os.path.join(here, "rulesets", "grant_intake.json"), encoding="utf-8") as fh:
+    with open(os.path.join(here, "rulesets", "field_study.json"), encoding="utf-8") as fh:
         ruleset = json.load(fh)
     corpus = Corpus(files, [], (sheet_list(events), sheet_cells(events)))
     recs = {r["name"]: r.asDict(recursive=True) for r in run_ruleset(spark, corpus, ruleset).collect()}
-    assert recs["Project Title"]["value_text"] == "Moon Base Alpha"
-    assert recs["Project Title"]["citation"] == "Grant application.docx — body"
-    assert recs["Recipient Organization"]["value_text"] == "Cheddar Labs Inc."
-    assert recs["Project Summary"]["value_text"] == "A cheese cave on the moon"
-    assert recs["Recipient Total Project Costs ($)"]["value_text"] == "$1,200,000"
-    team = recs["Project Team"]
+    assert recs["Working title"]["value_text"] == "Moon Base Alpha"
+    assert recs["Working title"]["citation"] == "Grant application.docx — body"
+    assert recs["Institute"]["value_text"] == "Cheddar Labs Inc."
+    assert recs["Abstract"]["value_text"] == "A cheese cave on the moon"
+    assert recs["Cost"]["value_text"] == "$1,200,000"
+    team = recs["Staff"]
     assert team["kind"] == "block" and team["rule_type"] == "between"
     assert [b["kind"] for b in team["value_blocks"]] == ["paragraph", "table"]
-    assert team["citation"] == "Grant application.docx — §B.4 Project Team"
-    assert recs["Recommended Funding ($)"]["value_text"] == "7"
-    assert recs["Recommended Funding ($)"]["citation"] == "budget FY26.xlsx — Budget Summary!P10"
-    other = recs["Other Collaborators"]
+    assert team["citation"] == "Grant application.docx — §3 Staff and roles"
+    assert recs["Amount proposed"]["value_text"] == "7"
+    assert recs["Amount proposed"]["citation"] == "budget FY26.xlsx — Cost sheet!P10"
+    other = recs["Partners"]
     assert other["found"] and other["value_text"] == "N/A"
     assert other["citation"] == "Partner agreement.docx — not found, default used"
-    value = recs["CHEESEMAKER Collaborative Value"]
-    assert value["value_rows"] == [["Total CHEESEMAKER Collaborative Value ($)", "450,000"]]
+    value = recs["Partner share"]
+    assert value["value_rows"] == [["Partner share in total ($)", "450,000"]]
     assert value["citation"] == "Partner agreement.docx — §A.2 Parties"
 
 
@@ -108,8 +109,26 @@ def test_sheet_rule_notes_on_decoded_workbook(spark, office):
         {"name": "blank range", "type": "sheet_cell", "match": "budget", "params": {"sheet": "Data", "cell": "D1:E2"}},
     ]}
     recs = {r["name"]: r.asDict(recursive=True) for r in run_ruleset(spark, corpus, rs).collect()}
-    assert recs["no tab"]["note"] == "No tab named 'Summary'. Tabs found: Data, Budget Summary."
+    assert recs["no tab"]["note"] == "No tab named 'Summary'. Tabs found: Data, Cost sheet."
     assert recs["empty"]["note"].startswith("Cell C3 on ' data ' is empty")
     assert recs["range"]["value_rows"] == [["Name", "Amount"], ["", ""], ["Total", "12.5"]]
     assert recs["range"]["citation"] == "budget.xlsx — Data!A1:B3"
     assert not recs["blank range"]["found"] and recs["blank range"]["note"].startswith("Range D1:E2 on 'Data' is empty")
+
+
+def test_one_label_in_two_projects(spark):
+    import shutil
+
+    from office_fixtures import write_docx
+
+    root = tempfile.mkdtemp(prefix="quarry-two-")
+    for project in ("p1", "p2"):
+        os.makedirs(os.path.join(root, project))
+        write_docx(os.path.join(root, project, "app.docx"))
+    one = tempfile.mkdtemp(prefix="quarry-one-")
+    os.makedirs(os.path.join(one, "p1"))
+    shutil.copy(os.path.join(root, "p1", "app.docx"), os.path.join(one, "p1", "app.docx"))
+    alone = read_office_folder(spark, one)[0].collect()
+    both = read_office_folder(spark, root)[0].collect()
+    assert len(alone) == 1 and len(both) == 2
+    assert all(r["blocks"] == alone[0]["blocks"] for r in both)

@@ -59,12 +59,46 @@ def test_incremental_office_drops(spark):
     write_xlsx(os.path.join(landing, "p2", "a1", "budget.xlsx"))
     write_docx(os.path.join(landing, "p2", "a1", "application.docx"))
     rules = {"name": "o", "fields": [
-        {"name": "funding", "type": "sheet_cell", "match": "budget", "params": {"sheet": "Budget Summary", "cell": "P10"}},
+        {"name": "funding", "type": "sheet_cell", "match": "budget", "params": {"sheet": "Cost sheet", "cell": "P10"}},
         {"name": "team", "type": "range", "match": "application",
-         "params": {"start": "B.4 Project Team", "end": "B.5 Budget"}},
+         "params": {"start": "3 Staff and roles", "end": "4 Cost plan"}},
     ]}
     x = IncrementalExtractor(spark, rules, landing, state)
     x.start(ckpt).awaitTermination()
     recs = {r["rule_no"]: r for r in x.records().collect()}
-    assert recs[0]["value_text"] == "7" and recs[0]["citation"] == "budget.xlsx — Budget Summary!P10"
+    assert recs[0]["value_text"] == "7" and recs[0]["citation"] == "budget.xlsx — Cost sheet!P10"
     assert recs[1]["found"] and recs[1]["kind"] == "block"
+
+
+def test_replay_after_a_break_between_append_and_refresh(spark):
+    root = tempfile.mkdtemp(prefix="quarry-x1b-")
+    landing, state, ckpt = (os.path.join(root, n) for n in ("landing", "state", "ckpt"))
+    os.makedirs(landing)
+    drop(landing, "p1", "a1", "b.txt", "token = \"B\"")
+
+    class Breaks(IncrementalExtractor):
+        def refresh(self, projects):
+            raise RuntimeError("lost here")
+
+    try:
+        Breaks(spark, RULES, landing, state).start(ckpt).awaitTermination()
+    except Exception as e:
+        assert "lost here" in str(e)
+    x = IncrementalExtractor(spark, RULES, landing, state)
+    x.start(ckpt).awaitTermination()
+    assert records(x)[("p1", 0)] == (True, "b.txt", "B")
+
+
+def test_bad_utf8_and_arrival_order(spark):
+    root = tempfile.mkdtemp(prefix="quarry-x1u-")
+    landing, state, ckpt = (os.path.join(root, n) for n in ("landing", "state", "ckpt"))
+    os.makedirs(os.path.join(landing, "p1", "9"))
+    with open(os.path.join(landing, "p1", "9", "a.txt"), "wb") as fh:
+        fh.write(b"token = \"\xff\xfe\"")
+    drop(landing, "p1", "9", "b.txt", "token = \"old\"")
+    drop(landing, "p1", "10", "b.txt", "token = \"new\"")
+    for folder, at in (("9", 1_700_000_000), ("10", 1_700_000_100)):
+        os.utime(os.path.join(landing, "p1", folder, "b.txt"), (at, at))
+    x = IncrementalExtractor(spark, RULES, landing, state)
+    x.start(ckpt).awaitTermination()
+    assert records(x)[("p1", 0)] == (True, "b.txt", "new")
