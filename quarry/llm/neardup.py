@@ -2,13 +2,14 @@
 confirmed on full shingle sets.
 
 A document's set holds its distinct 5-word shingles. The signature has
-``CHUNKS`` chunks of ``WIDTH`` components; a component keeps 16 bits of one
+``chunks`` chunks of ``width`` components; a component keeps 16 bits of one
 MinHash. Two signatures differ in some number of components. If that is at
-most ``DISTANCE`` = 2 * CHUNKS - 1, then by pigeonhole some chunk differs in
+most ``distance`` = 2 * chunks - 1, then by pigeonhole some chunk differs in
 at most one component. Every chunk therefore gives one key for each component
-left out, and all pairs within DISTANCE share a key. Documents whose sets are
-85 % alike differ in more components than DISTANCE with a probability below
-one in 100,000.
+left out, and all pairs within the distance share a key. The layout goes with
+the similarity: sets exactly that much alike differ in more components than
+the distance with a probability below one in 100,000 (``AT_85``) or in a
+million (``AT_80``).
 
 Equal sets are one class and are joined once. In a bucket no pairs are
 written out: first every class is held against one pivot of its buckets only
@@ -18,13 +19,15 @@ rows of the bucket's largest component are dealt over the blocks, the few
 others visit each block. Each class brings a bitmap of its shingles there (a
 hashed bit each). Bits that differ prove as many shingles that differ, which
 bounds the similarity of a pair from above; a pair that cannot reach it is
-not written. Links are confirmed on the shingle sets of the whole texts. A pair within one component needs no comparison, since the component
-would not change.
+not written. Links are confirmed on the shingle sets of the whole texts. A
+pair within one component needs no comparison, since the component would not
+change.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,22 +37,40 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm.store import keep
 
-CHUNKS, WIDTH = 11, 5
-PARTS = CHUNKS * WIDTH
-DISTANCE = 2 * CHUNKS - 1
 SHINGLE = 5
-PERCENT = 85
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Signatures for links at ``percent`` of similarity or more."""
+    percent: int
+    chunks: int
+    width: int
+
+    @property
+    def parts(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+
+AT_85 = Layout(85, 11, 5)
+AT_80 = Layout(80, 14, 4)
 #: Rows of a bucket's largest component that one block takes.
 BLOCK_ROWS = 4096
 #: Shingles that are hashed at once.
 AT_ONCE = 200_000
 
+#: The widest signature the random numbers below provide for.
+MOST_PARTS = 64
 _RANDOM = np.random.default_rng(20240229)
-_ODD = _RANDOM.integers(1, 1 << 63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RANDOM.integers(0, 1 << 63, PARTS, dtype=np.uint64)
+_ODD = _RANDOM.integers(1, 1 << 63, MOST_PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RANDOM.integers(0, 1 << 63, MOST_PARTS, dtype=np.uint64)
 _PLACE = _RANDOM.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PART = _RANDOM.integers(1, 1 << 62, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _RANDOM.integers(0, 1 << 62, PARTS, dtype=np.uint64)
+_PART = _RANDOM.integers(1, 1 << 62, MOST_PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = _RANDOM.integers(0, 1 << 62, MOST_PARTS, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,9 +98,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of PARTS 16-bit components for each non-empty set."""
-    out = np.empty((len(sets), PARTS), dtype=np.uint16)
+def signatures(sets: list[np.ndarray], layout: Layout = AT_85) -> np.ndarray:
+    """One row of 16-bit components for each non-empty set."""
+    out = np.empty((len(sets), layout.parts), dtype=np.uint16)
     at = 0
     while at < len(sets):
         end, size = at, 0
@@ -88,18 +109,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         joined = np.concatenate(sets[at:end])
         starts = np.cumsum([0] + [len(s) for s in sets[at:end - 1]])
-        for k in range(PARTS):
+        for k in range(layout.parts):
             least = np.minimum.reduceat(joined * _ODD[k] + _ADD[k], starts)
             out[at:end, k] = _mix(least) >> np.uint64(48)
         at = end
     return out
 
 
-def bucket_keys(sig: np.ndarray) -> np.ndarray:
-    """PARTS keys for each signature: of every chunk, all but one component."""
-    weighted = sig.astype(np.uint64) * _PART
-    whole = np.repeat(weighted.reshape(len(sig), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint64), WIDTH, axis=1)
-    return _mix(whole - weighted + _SALT).view(np.int64)
+def bucket_keys(sig: np.ndarray, layout: Layout = AT_85) -> np.ndarray:
+    """A key for each component: of its chunk, all others."""
+    weighted = sig.astype(np.uint64) * _PART[:layout.parts]
+    chunks = weighted.reshape(len(sig), layout.chunks, layout.width)
+    whole = np.repeat(chunks.sum(axis=2, dtype=np.uint64), layout.width, axis=1)
+    return _mix(whole - weighted + _SALT[:layout.parts]).view(np.int64)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -110,7 +132,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return (m >> 64) - (1 << 63), (m & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sign(docs: DataFrame, id_col: str, text_col: str, layout: Layout) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -119,7 +141,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
                 sets = [shingle_set(x.as_py()) for x in batch.column(1)]
                 some = [k for k, s in enumerate(sets) if len(s)]
-                sig = iter(signatures([sets[k] for k in some])) if some else iter(())
+                sig = iter(signatures([sets[k] for k in some], layout)) if some else iter(())
                 marks = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -131,16 +153,16 @@ def _sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .mapInArrow(run, f"doc_id {id_type}, n_shingles long, d1 long, d2 long, sig binary"))
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, layout: Layout) -> DataFrame:
     id_type = classes.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PARTS)
-            flat = bucket_keys(sig).reshape(-1)
-            offsets = pa.array(np.arange(0, len(flat) + 1, PARTS), pa.int32())
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, layout.parts)
+            flat = bucket_keys(sig, layout).reshape(-1)
+            offsets = pa.array(np.arange(0, len(flat) + 1, layout.parts), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))],
                                              names=["rep", "keys"])
 
@@ -152,21 +174,21 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(axis=-1)
 
 
-def _signature_distance(a: str, b: str) -> Column:
+def _signature_distance(a: str, b: str, layout: Layout) -> Column:
     @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, PARTS) for s in (x, y))
+        p, q = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, layout.parts) for s in (x, y))
         return pd.Series(_distance(p, q).astype(np.int32))
 
     return run(a, b)
 
 
-def _sizes_allow(na: str, nb: str) -> Column:
+def _sizes_allow(na: str, nb: str, layout: Layout) -> Column:
     """Sets of such sizes can reach the similarity."""
-    return F.expr(f"100 * least({na}, {nb}) >= {PERCENT} * greatest({na}, {nb})")
+    return F.expr(f"100 * least({na}, {nb}) >= {layout.percent} * greatest({na}, {nb})")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, layout: Layout) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     id_type = pairs.schema["a"].dataType.simpleString()
     ta = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
@@ -187,7 +209,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("ta"), batch.column("tb")):
                 s, t = of("a", x.as_py()), of("b", y.as_py())
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(len(s) > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
+                ok.append(len(s) > 0 and 100 * both >= layout.percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}")
@@ -249,16 +271,16 @@ def _bitmaps(pool: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(run, f"rep {id_type}, d1 long, bits binary").dropDuplicates(["rep", "d1"]))
 
 
-def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _first_key(x: np.ndarray, y: np.ndarray, layout: Layout = AT_85) -> np.ndarray:
     """Index of the first key that two signatures share."""
-    differ = (x != y).reshape(len(x), CHUNKS, WIDTH)
+    differ = (x != y).reshape(len(x), layout.chunks, layout.width)
     chunk = (differ.sum(axis=2) <= 1).argmax(axis=1)
     inside = differ[np.arange(len(x)), chunk]
-    return chunk * WIDTH + inside.argmax(axis=1)
+    return chunk * layout.width + inside.argmax(axis=1)
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within DISTANCE whose bitmaps allow
+def _across(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Pairs (a, b) of different components within the distance whose bitmaps allow
     a link, from rows (key, block, rep, n, sig, bits, label, home, visits)
     sorted by key and block. A pair is written once, in the bucket of the
     first key it shares."""
@@ -271,18 +293,19 @@ def _across(rows: DataFrame) -> DataFrame:
             rep, label = (np.array(group.column(c).to_pylist()) for c in ("rep", "label"))
             n, visits, home = (group.column(c).to_numpy(zero_copy_only=False) for c in ("n", "visits", "home"))
             bits = Bitmaps(group.column("bits").to_pylist())
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, PARTS)
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, layout.parts)
             key = group.column("key")[0].as_py()
             left, right = np.flatnonzero(home), np.flatnonzero(visits)
             for r in right:
                 # two visitors meet in one order only; a resident meets every visitor
                 c = left[(label[left] != label[r]) & (~visits[left] | (rep[left] < rep[r]))]
-                c = c[100 * np.minimum(n[c], n[r]) >= PERCENT * np.maximum(n[c], n[r])]
-                c = c[_distance(sig[c], sig[r]) <= DISTANCE] if len(c) else c
-                c = c[185 * bits.differ(c, r) <= 15 * (n[c] + n[r])] if len(c) else c
+                c = c[100 * np.minimum(n[c], n[r]) >= layout.percent * np.maximum(n[c], n[r])]
+                c = c[_distance(sig[c], sig[r]) <= layout.distance] if len(c) else c
+                c = (c[(100 + layout.percent) * bits.differ(c, r) <= (100 - layout.percent) * (n[c] + n[r])]
+                     if len(c) else c)
                 if len(c):
-                    other = np.broadcast_to(sig[r], (len(c), PARTS))
-                    mine = bucket_keys(sig[c])[np.arange(len(c)), _first_key(sig[c], other)] == key
+                    other = np.broadcast_to(sig[r], (len(c), layout.parts))
+                    mine = bucket_keys(sig[c], layout)[np.arange(len(c)), _first_key(sig[c], other, layout)] == key
                     if mine.any():
                         yield rep[c[mine]], np.full(mine.sum(), rep[r])
 
@@ -329,17 +352,18 @@ def _dealt(pool: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = AT_85) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept. Linked
+    are sets alike to ``layout.percent`` or more.
 
     ``doc_id`` is an integer. Rows that share an id count as one document with
     several texts. A row without an id links with nothing: its component_id is
     null and it is kept. Null, empty and blank texts have no shingles and are
     components of their own."""
-    signed = keep(_sign(docs, id_col, text_col), "signatures")
+    signed = keep(_sign(docs, id_col, text_col, layout), "signatures")
     classes = keep(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles")
                    .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    keys = _keys(classes)
+    keys = _keys(classes, layout)
     # buckets of two or more classes, each with its smallest class as pivot
     shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).filter("m > 1").drop("m")
     hits = keep(keys.join(shared, "key"), "buckets")
@@ -350,19 +374,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first: every class against the nearest pivot of its buckets
     near = (hits.filter("rep <> pivot").select("rep", "pivot").distinct().join(sigs, "rep")
             .join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("psig"), F.col("n").alias("pn")), "pivot")
-            .filter(_sizes_allow("n", "pn"))
-            .withColumn("far", _signature_distance("sig", "psig")).filter(F.col("far") <= DISTANCE)
+            .filter(_sizes_allow("n", "pn", layout))
+            .withColumn("far", _signature_distance("sig", "psig", layout)).filter(F.col("far") <= layout.distance)
             .groupBy("rep").agg(F.min(F.struct("far", "pivot")).alias("p"))
             .select(F.col("rep").alias("a"), F.col("p.pivot").alias("b")))
-    links = keep(_linked(near, texts), "links")
+    links = keep(_linked(near, texts, layout), "links")
     label = keep(components(links), "labels")
 
     # then: classes of different components that share a bucket
     pool = keep(_mixed(hits, label), "mixed")
     full = classes.select("rep", "d1", "sig", F.col("n_shingles").alias("n")).join(
         _bitmaps(pool.select("rep").distinct(), texts), ["rep", "d1"])
-    rest = keep(_across(_dealt(pool, full)), "pairs")
-    final = keep(components(links.unionByName(_linked(rest, texts))), "labels")
+    rest = keep(_across(_dealt(pool, full), layout), "pairs")
+    final = keep(components(links.unionByName(_linked(rest, texts, layout))), "labels")
 
     of_class = (classes.join(final, classes["rep"] == final["node"], "left")
                 .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")))
@@ -372,8 +396,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = AT_80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the
     smallest id. The other columns pass through."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, layout).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

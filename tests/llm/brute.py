@@ -28,7 +28,7 @@ def shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def near_components(docs):
+def near_components(docs, percent=85):
     """doc_id -> (n_shingles, component) by comparing all pairs."""
     sets = {i: shingles(t) for i, t in docs}
     up = {i: i for i in sets}
@@ -43,7 +43,7 @@ def near_components(docs):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = sorted((root(a), root(b)))
                     up[y] = x
     return {i: (len(sets[i]), root(i)) for i in ids}

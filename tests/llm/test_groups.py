@@ -29,15 +29,20 @@ def near_texts(seed, n=160):
     return out + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a b"), (n + 4, "A  B"), (n + 5, "a\u00a0b")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed, layout", [(1, neardup.AT_85), (2, neardup.AT_85), (1, neardup.AT_80), (4, neardup.AT_80)])
+def test_near_duplicates_equal_all_pairs(spark, seed, layout):
     texts = near_texts(seed)
-    rows = neardup.near_duplicates(documents(spark, texts)).collect()
-    want = near_components(texts)
+    rows = neardup.near_duplicates(documents(spark, texts), layout=layout).collect()
+    want = near_components(texts, layout.percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_one_document_of_each_group_stays(spark):
+    texts = near_texts(5)
     kept = neardup.keep_one(documents(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in near_components(texts, 80).items() if c == i)
+    assert near_components(texts, 80) != near_components(texts, 85)
     assert kept.columns == documents(spark, []).columns
 
 
@@ -48,16 +53,17 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_components(texts)
 
 
-def test_pigeonhole_keys():
+@pytest.mark.parametrize("layout", [neardup.AT_85, neardup.AT_80])
+def test_pigeonhole_keys(layout):
     rng = np.random.default_rng(1)
     for _ in range(300):
-        a = rng.integers(0, 1 << 16, (1, neardup.PARTS), dtype=np.uint16)
+        a = rng.integers(0, 1 << 16, (1, layout.parts), dtype=np.uint16)
         b = a.copy()
-        at = rng.choice(neardup.PARTS, rng.integers(0, neardup.DISTANCE + 1), replace=False)
+        at = rng.choice(layout.parts, rng.integers(0, layout.distance + 1), replace=False)
         b[0, at] ^= 1
-        x, y = neardup.bucket_keys(a)[0], neardup.bucket_keys(b)[0]
+        x, y = neardup.bucket_keys(a, layout)[0], neardup.bucket_keys(b, layout)[0]
         shared = np.flatnonzero(x == y)
-        assert len(shared) and neardup._first_key(a, b)[0] == shared[0]
+        assert len(shared) and neardup._first_key(a, b, layout)[0] == shared[0]
 
 
 def test_bitmaps_never_claim_too_much():
