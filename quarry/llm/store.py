@@ -13,14 +13,14 @@ def shared_dir(spark: SparkSession) -> str:
     session (``local`` master, tests) may leave it unset; it then gets a
     private folder. On a cluster an unset folder is an error: executors could
     not read each other's files."""
-    path = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quarry-llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not context.getCheckpointDir():  # the setting itself is fixed once a session runs
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-llm-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
