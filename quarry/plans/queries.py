@@ -76,20 +76,18 @@ ANCHORS = ["licensed under", "the and", "ofreshwhou", "Token = \"", "  The  ", "
 
 def anchor_hits(spark, sf_dir):
     """R0 and N2 per (file, anchor): first matching block's location and the
-    number of matching blocks. One pass: an array of anchor flags per block,
-    then a partial aggregation."""
-    p = R.prepare(C.documents_files(spark, sf_dir))
+    number of matching blocks. A file is one row, so its hits are filtered
+    and counted inside that row: no shuffle."""
     from quarry.functions.text import normalize_py
-    b = p.select("label", F.explode_outer("blocks").alias("b")).filter(F.col("b").isNotNull())
-    flags = F.array(*[F.struct(F.lit(i).alias("anchor_no"),
-                               F.col("b.norm").contains(normalize_py(a)).alias("hit"))
-                      for i, a in enumerate(ANCHORS) if a])
-    hits = b.select("label", F.col("b.block_no").alias("block_no"), F.col("b.location").alias("location"),
-                    F.inline_outer(F.filter(flags, lambda x: x["hit"]))).filter(F.col("hit"))
-    return hits.groupBy("label", "anchor_no").agg(
-        F.min_by("location", "block_no").alias("first_location"),
-        F.count("*").alias("n_blocks")).select(
-        "label", F.col("anchor_no").cast("bigint").alias("anchor_no"), "first_location", "n_blocks")
+    p = R.prepare(C.documents_files(spark, sf_dir)).select("project_id", "label", "blocks")
+    # each anchor's hits are their own column: they are read twice below
+    found = [(i, f"_hits{i}", normalize_py(a)) for i, a in enumerate(ANCHORS) if a]
+    p = p.withColumns({name: F.expr(f"transform(filter(blocks, b -> contains(b.norm, {R.sql_str(anchor)})), "
+                                    "b -> b.location)") for _, name, anchor in found})
+    per_anchor = F.array(*[F.struct(F.lit(i).cast("bigint").alias("anchor_no"),
+                                    F.get(name, 0).alias("first_location"),
+                                    F.size(name).cast("bigint").alias("n_blocks")) for i, name, _ in found])
+    return p.select("label", F.inline_outer(per_anchor)).filter("n_blocks > 0")
 
 
 def _records_out(df: DataFrame) -> DataFrame:

@@ -192,17 +192,8 @@ def _sheet_cell(spark: SparkSession, wb: Workbook, rule: Rule) -> DataFrame:
     r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
     r1, r2 = min(r1, r2), max(r1, r2)
     c1, c2 = min(c1, c2), max(c1, c2)
-    cells = sheet.cells(r1, r2, c1, c2)
-    if cells is None:
-        grid_map = F.create_map().cast("map<struct<r:int,c:int>,string>")
-        src = spark.range(1)
-    else:
-        src = cells.agg(F.map_from_entries(F.collect_list(F.struct(
-            F.struct(F.col("row_no").alias("r"), F.col("col_no").alias("c")), F.col("value")))).alias("m"))
-        grid_map = F.col("m")
-    rows = F.transform(F.sequence(F.lit(r1), F.lit(r2)), lambda r: F.transform(
-        F.sequence(F.lit(c1), F.lit(c2)),
-        lambda c: F.coalesce(grid_map[F.struct(r.alias("r"), c.alias("c"))], F.lit(""))))
+    src = range_rows(spark, sheet.cells(r1, r2, c1, c2), r1, r2, c1, c2)
+    rows = F.col("grid")
     blank = ~F.exists(F.flatten(rows), lambda v: F.trim(v) != "")
     note = (f"Range {ref} on '{sheet_name}' is empty, or holds formulas whose results were never "
             f"saved by Excel.")
@@ -211,6 +202,24 @@ def _sheet_cell(spark: SparkSession, wb: Workbook, rule: Rule) -> DataFrame:
     return finished(src, rule, raw, R.sql_str(wb.label), head)
 
 
+def range_rows(spark: SparkSession, cells: DataFrame | None, r1: int, r2: int, c1: int, c2: int) -> DataFrame:
+    """One row ``grid``: the rectangle's rows of texts, "" where there is no
+    cell. Cells are grouped by sheet row, where one map of that row's cells is
+    probed, so the work is linear in the rectangle's rows; rows
+    without cells come from a range of row numbers."""
+    blank = F.array_repeat(F.lit(""), c2 - c1 + 1)
+    rows = spark.range(r1, r2 + 1).select(F.col("id").cast("int").alias("row_no"))
+    if cells is None:
+        rows = rows.withColumn("line", blank)
+    else:
+        by_row = cells.groupBy("row_no").agg(
+            F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("m"))
+        rows = rows.join(by_row, "row_no", "left").select("row_no", F.when(F.col("m").isNull(), blank).otherwise(
+            F.transform(F.sequence(F.lit(c1), F.lit(c2)), lambda c: F.coalesce(F.col("m")[c], F.lit("")))).alias("line"))
+    return rows.agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("lines")).select(
+        F.transform("lines", lambda x: x["line"]).alias("grid"))
+
+
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The rule set as a literal table (size = the rule set's)."""
     return spark.createDataFrame(

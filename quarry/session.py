@@ -52,7 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # the setting itself is fixed once a session runs; the context keeps the folder
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        return spark.sparkContext.getCheckpointDir()
     spark.sparkContext.setCheckpointDir(path)
     return path
