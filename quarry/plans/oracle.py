@@ -135,15 +135,15 @@ def cell_sql(col: str, t: str) -> str:
     return f"CAST({col} AS VARCHAR)"
 
 
-def sheet_rows_sql(max_rows: int = 400, max_cols: int = 60) -> str:
+def sheet_rows_sql(max_rows: int | None = 400, max_cols: int | None = 60) -> str:
     parts = []
     for i, (name, key, cols) in enumerate(TPCH_SHEETS):
         cols = cols[:max_cols]
         header = "[" + ", ".join(q(c) for c, _ in cols) + "]"
         parts.append(f"SELECT {i} AS sheet_ord, {q(name)} AS sheet, 1 AS row_no, {header} AS cells")
         cells = "[" + ", ".join(f"coalesce({cell_sql(c, t)}, '')" for c, t in cols) + "]"
-        parts.append(f"SELECT {i}, {q(name)}, CAST({key} + 2 AS INTEGER), {cells} FROM {name} "
-                     f"WHERE {key} <= {max_rows - 2}")
+        parts.append(f"SELECT {i}, {q(name)}, CAST({key} + 2 AS INTEGER), {cells} FROM {name}"
+                     + (f" WHERE {key} <= {max_rows - 2}" if max_rows else ""))
     return "\nUNION ALL\n".join(parts)
 
 
@@ -515,6 +515,7 @@ SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name,
         "rule_lint": rule_lint_sql(),
         "rules_pages": file_records_sql(Q.PAGE_RULES, ("page",)) + pf,
         "sheet_grid": sheet_grid_sql(),
+        "sheet_rows_containing": sheet_rows_containing_sql(),
         "result_rows": result_rows_sql(),
     }
 
@@ -662,6 +663,15 @@ WHERE NOT EXISTS (SELECT 1 FROM ALLOWED a WHERE a.ext = lower(regexp_extract(c.l
 
 
 
+def sheet_rows_containing_sql() -> str:
+    from quarry.plans import queries as Q
+    rows = sheet_rows_sql(max_rows=None, max_cols=None)
+    wanted = ", ".join(f"({q(p)}, {q(normalize_py(p))})" for p in Q.SHEET_PHRASES)
+    return f"""WITH r AS ({rows}), w(phrase, norm) AS (VALUES {wanted})
+SELECT phrase, sheet, CAST(row_no AS BIGINT) AS row_no, array_to_string(cells, ' | ') AS cells
+FROM r JOIN w ON len(list_filter(cells, lambda c: contains(lower(trim(c)), norm))) > 0"""
+
+
 def sheet_grid_sql(max_rows: int = 60, max_cols: int = 30) -> str:
     from quarry.functions.text import column_letters_py
     parts = []

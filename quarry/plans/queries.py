@@ -51,6 +51,17 @@ def sheet_blocks(spark, sf_dir):
         F.array_join("r", " | ").alias("cells"))
 
 
+# Phrases sought in whole sheets: a name far down a sheet, a value of many
+# rows, a date, a heading (row 1) and a miss.
+SHEET_PHRASES = ["Customer#000000450", " 5-low ", "1998-03-01", "C_NAME", "no such phrase"]
+
+
+def sheet_rows_containing(spark, sf_dir):
+    """R0 over whole sheets in long form, without a bound on rows."""
+    found = Workbook(spark, sf_dir).rows_containing(SHEET_PHRASES)
+    return found.select("phrase", "sheet", "row_no", F.array_join("cells", " | ").alias("cells"))
+
+
 def sheet_grid(spark, sf_dir):
     wb = Workbook(spark, sf_dir)
     out = None

@@ -156,6 +156,41 @@ class Workbook:
             F.lit(".xlsx").alias("ext"), F.lit(None).cast("string").alias("problem"),
             number_blocks(F.transform("sb", lambda x: x["b"]).cast(f"array<{BLOCK_TYPE}>")).alias("blocks"))
 
+    def all_rows(self) -> DataFrame:
+        """Every row of every sheet in long form: sheet, row_no, cells (texts
+        in column order, "" where empty). Nothing is gathered, so a sheet of
+        any size is read by as many tasks as its table has splits."""
+        from quarry.operators.rules import sql_str
+        tz = self.spark.conf.get("spark.sql.session.timeZone")
+        out = None
+        for sh in self.sheets:
+            types = {f.name: f.dataType for f in sh.df.schema.fields}
+            header = self.spark.range(1).selectExpr(
+                f"{sql_str(sh.name)} AS sheet", "CAST(1 AS BIGINT) AS row_no",
+                "array(" + ", ".join(sql_str(c) for c in sh.columns) + ") AS cells")
+            body = sh.df.selectExpr(
+                f"{sql_str(sh.name)} AS sheet", f"CAST(`{sh.key}` AS BIGINT) + 2 AS row_no",
+                "array(" + ", ".join(f"coalesce({cell_text_sql(c, types[c], tz)}, '')" for c in sh.columns) + ") AS cells")
+            both = header.unionByName(body)
+            out = both if out is None else out.unionByName(both)
+        return out
+
+    def rows_containing(self, phrases: list[str]) -> DataFrame:
+        """Rows of whole sheets with a cell that contains a phrase (both
+        normalised, as in R0): phrase, sheet, row_no, cells. A blank phrase is
+        in every cell, so it gives every row."""
+        from quarry.functions.nfkc import nfkc_strings
+        from quarry.functions.text import NFKC_GATE, normalize_py, normalize_tail
+        from quarry.operators.rules import sql_str
+        rows = self.all_rows()
+        gate = F.exists("cells", lambda c: c.rlike(NFKC_GATE))
+        rows = rows.withColumn("plain", nfkc_strings(F.col("cells"), gate)) \
+            .withColumn("norm", F.transform("plain", normalize_tail))
+        found = F.array(*[F.when(F.expr(f"exists(norm, c -> contains(c, {sql_str(normalize_py(p))}))"), F.lit(p))
+                          for p in phrases])
+        return rows.select(F.explode_outer(found).alias("phrase"), "sheet", "row_no", "cells") \
+            .filter(F.col("phrase").isNotNull())
+
     def grid(self, sheet: Sheet) -> DataFrame:
         """The first 60 rows x 30 columns of a sheet with A1 addresses."""
         from quarry.functions.text import column_letters
