@@ -23,3 +23,33 @@ def test_sql_gives_the_same_rows(spark, name):
     assert sorted(got.columns) == sorted(columns)
     order = lambda rows: sorted(map(repr, rows))
     assert order(tuple(r) for r in got.select(*columns).collect()) == order(want.fetchall())
+
+
+def test_folder_of_a_session_without_the_setting():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quarry.llm.store import shared_dir
+
+    class Context:
+        folder = None
+
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, path):
+            self.folder = path + "/of-the-context"
+
+    local = SimpleNamespace(conf={}, sparkContext=Context("local[2]"))
+    assert shared_dir(local) == shared_dir(local) == local.sparkContext.folder
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=Context("spark://somewhere:1")))
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/"}, sparkContext=Context("spark://somewhere:1"))
+    assert shared_dir(named) == "/shared"
