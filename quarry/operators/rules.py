@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.nfkc import nfkc_blocks
 from quarry.sources.corpus import BLOCK_TYPE
-from quarry.functions.text import (AFTER_LABEL_STRIP, NFKC_GATE, WHITESPACE, after_label_regex,
-                                   between_regex, normalize_py, normalize_tail, py_strip,
+from quarry.functions.text import (AFTER_LABEL_STRIP, WHITESPACE, after_label_regex, between_regex,
+                                   needs_nfkc, normalize_py, normalize_tail, py_strip, sure_piece,
                                    table_flat_text)
 from quarry.operators.compile import Rule
 
@@ -49,8 +49,7 @@ def prepare(files: DataFrame) -> DataFrame:
     text is normalised exactly once; units take their norms from the
     blocks.
     """
-    from_blocks = F.exists("blocks", lambda x: F.coalesce(
-        x["text"], table_flat_text(x["rows"])).rlike(NFKC_GATE))
+    from_blocks = F.exists("blocks", lambda x: needs_nfkc(F.coalesce(x["text"], table_flat_text(x["rows"]))))
     given = F.col("nfkc") if "nfkc" in files.columns else F.lit(None).cast("boolean")
     files = files.withColumn("_kb", nfkc_blocks(F.col("blocks"), F.coalesce(given, from_blocks), BLOCK_TYPE))
     files = files.withColumn("blocks", F.zip_with("blocks", "_kb", lambda b, k: b
@@ -86,13 +85,6 @@ def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
-def _first_pos(arr: Column, pred) -> Column:
-    """1-based position of the first element satisfying ``pred`` (or null)."""
-    n = F.size(arr)
-    seq = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return _first(F.filter(seq, lambda i: pred(F.element_at(arr, F.greatest(i, F.lit(1))))))
-
-
 def _vblocks(arr: Column) -> Column:
     return F.transform(arr, lambda b: F.struct(b["block_no"].alias("block_no"), b["kind"].alias("kind"),
                                                b["text"].alias("text"), b["rows"].alias("rows"))).cast(VBLOCK_T)
@@ -229,9 +221,12 @@ def between(rule: Rule):
     span = f"(CASE WHEN {S} IS NOT NULL THEN slice(blocks, {S} + 1, greatest({stop} - {S} - 1, 0)) END)"
     has_span = f"coalesce(size({span}) > 0, false)"
     # The whole file's text (N7), only for files where R1a and R1b miss
+    # and some unit holds a piece of each anchor
     if end:
+        pieces = [x for x in (sure_piece(start), sure_piece(end)) if x]
+        gate = "".join(f" AND exists(units, u -> contains(u.norm, {sql_str(x)}))" for x in pieces)
         full = f"array_join(filter(transform(units, u -> u.text), x -> {_strip('x')} != ''), {sql_str(chr(10))})"
-        st.append((FULL, f"CASE WHEN {inline} IS NULL AND NOT {has_span} "
+        st.append((FULL, f"CASE WHEN {inline} IS NULL AND NOT {has_span}{gate} "
                          f"THEN nullif({_between_sql(full, start, end)}, '') END"))
         fulltext = FULL
     else:

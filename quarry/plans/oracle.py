@@ -429,21 +429,23 @@ def file_records_sql(ruleset: dict, collections=("doc", "conv", "wb")) -> str:
     return f"WITH {blocks_ctes(collections)},\nPF AS ({body})"
 
 
-def records_sql(ruleset: dict, collections=("doc", "conv", "wb")) -> str:
-    """The records of a rule set: one per (project, rule)."""
+def records_sql(ruleset: dict, collections=("doc", "conv", "wb"), given: str = "", files: str = "FILES",
+                pf: str = "PF") -> str:
+    """The records of a rule set: one per (project, rule). ``given`` defines
+    the tables ``files`` and ``pf`` where they are not those of the corpus."""
     rules = compile_ruleset(ruleset)
     meta = " UNION ALL ".join(
         f"SELECT {r.rule_no} AS rule_no, {q(r.run_name)} AS run_name, {q(r.no_file_name)} AS no_file_name, "
         f"{q(r.raw_type) if r.raw_type is not None else 'CAST(NULL AS VARCHAR)'} AS raw_type, "
         f"{q(r.type)} AS rule_type, {q(r.match)} AS match, "
         f"{q(r.match_key)} AS match_key" for r in rules)
-    return file_records_sql(ruleset, collections) + f""",
+    return file_records_sql(ruleset, collections) + given + f""",
 META AS ({meta}),
 CANDS AS (SELECT f.project_id, m.rule_no, count(*) FILTER (WHERE m.match_key = '' OR contains(lower(f.label), m.match_key)) AS n_cand,
                  min(f.label) FILTER (WHERE m.match_key = '' OR contains(lower(f.label), m.match_key)) AS first_cand
-          FROM FILES f, META m GROUP BY f.project_id, m.rule_no),
+          FROM {files} f, META m GROUP BY f.project_id, m.rule_no),
 BEST AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, rule_no
-          ORDER BY (NOT found), label) AS rn FROM PF) WHERE rn = 1),
+          ORDER BY (NOT found), label) AS rn FROM {pf}) WHERE rn = 1),
 RECORDS AS (
 SELECT c.project_id, c.rule_no,
   CASE WHEN b.label IS NULL THEN m.no_file_name ELSE m.run_name END AS name,
@@ -515,6 +517,10 @@ SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name,
         "rule_lint": rule_lint_sql(),
         "rules_pages": file_records_sql(Q.PAGE_RULES, ("page",)) + pf,
         "sheet_grid": sheet_grid_sql(),
+        "choose_files": choose_files_sql(),
+        "table_markdown": table_markdown_sql(),
+        "safe_names": SAFE_NAMES,
+        "unreadable_files": unreadable_files_sql(),
         "sheet_rows_containing": sheet_rows_containing_sql(),
         "result_rows": result_rows_sql(),
     }
@@ -554,12 +560,12 @@ REST AS (SELECT r.project_id, CAST({LEFTOVER_BASE} + r.rule_no AS BIGINT), 'fiel
          FROM RECORDS r WHERE NOT EXISTS (SELECT 1 FROM USED u WHERE u.project_id = r.project_id AND u.name = r.name))
 SELECT * FROM HEADS UNION ALL SELECT * FROM FLDS UNION ALL SELECT * FROM REST""",
         "coverage": file_records_sql(CORPUS_RULESET) + """
-SELECT project_id, CAST(coalesce(rule_no, -1) AS BIGINT) AS rule_no, count(*) AS files_tried,
+SELECT *, hits / files_tried AS hit_rate FROM (SELECT project_id, CAST(coalesce(rule_no, -1) AS BIGINT) AS rule_no, count(*) AS files_tried,
   count(*) FILTER (WHERE found AND coalesce(note, '') <> 'Nothing found; the rule''s default value was used.') AS hits,
   count(*) FILTER (WHERE found AND coalesce(note, '') = 'Nothing found; the rule''s default value was used.') AS defaults,
   count(*) FILTER (WHERE NOT found) AS misses,
   CAST(GROUPING(project_id, rule_no) AS BIGINT) AS level
-FROM PF GROUP BY ROLLUP (project_id, rule_no)""",
+FROM PF GROUP BY ROLLUP (project_id, rule_no))""",
         "manifest_fields": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, rule_type AS rule, found, citation FROM RECORDS""",
         "file_fingerprint": """
@@ -583,6 +589,46 @@ FROM RECORDS r LEFT JOIN labels l ON r.file_label = 'doc_' || l.doc_id || '.txt'
     }
 
 
+def choose_files_sql() -> str:
+    from quarry.plans.queries import TICKED
+    ticked = ", ".join(q(x) for x in TICKED)
+    return f"SELECT project_id, label, size FROM ({more_oracles()['files_register']}) WHERE label IN ({ticked})"
+
+
+def md_table(rows: str) -> str:
+    """N11 as SQL."""
+    def line(r: str) -> str:
+        cell = f"replace(replace(c, '|', '\\|'), {NL}, ' ')"
+        return f"'| ' || array_to_string(list_transform(list_resize({r}, w, ''), lambda c: {cell}), ' | ') || ' |'"
+
+    return (f"array_to_string(list_concat([{line(rows + '[1]')}, '|' || repeat(' --- |', w)], "
+            f"list_transform({rows}[2:], lambda r: {line('r')})), {NL})")
+
+
+def table_markdown_sql() -> str:
+    return f"""WITH {DOC_BLOCKS},{page_ctes()},
+TABS AS (SELECT label, block_no, rows, greatest(1, list_max(list_transform(rows, lambda r: len(r)))) AS w FROM (
+  SELECT label, block_no, rows, kind FROM doc_blocks UNION ALL SELECT label, block_no, rows, kind FROM page_blocks)
+  WHERE kind = 'table')
+SELECT label, CAST(block_no AS BIGINT) AS block_no, {md_table('rows')} AS markdown FROM TABS"""
+
+
+SAFE_NAMES = """
+SELECT kind, id, substr(coalesce(nullif(trim(regexp_replace(given, '[^A-Za-z0-9 _-]', '', 'g')), ''), 'untitled'), 1, 80) AS name
+FROM (SELECT 'page' AS kind, CAST(page_id AS BIGINT) AS id, url AS given FROM pages
+      UNION ALL SELECT 'item', CAST(item_id AS BIGINT), text FROM benchmark)"""
+
+
+def unreadable_files_sql() -> str:
+    from quarry.plans.queries import BETWEEN_RULES, UNREADABLE_LANG
+    given = f""",
+FL AS (SELECT lang AS project_id, 'doc_' || doc_id || '.txt' AS label FROM documents),
+PL AS (SELECT PF.* REPLACE (FL.project_id AS project_id) FROM PF JOIN FL ON FL.label = PF.label
+       WHERE FL.project_id IS DISTINCT FROM {q(UNREADABLE_LANG)})"""
+    return records_sql(BETWEEN_RULES, ("doc",), given, "FL", "PL") + """
+SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, found, citation, note FROM RECORDS"""
+
+
 def page_ctes() -> str:
     """Page blocks (S8) as CTEs ending in ``page_blocks``."""
     from quarry.sources.corpus import HTML_BLOCK_TAG, HTML_DROP, HTML_ENTITIES, HTML_OPENERS

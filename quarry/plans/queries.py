@@ -249,7 +249,7 @@ def coverage(spark, sf_dir):
     pf = RUN.file_records(corpus.all_files(), rules)
     pf = pf.unionByName(RUN.sheet_records(spark, corpus.workbooks, rules))
     return REP.coverage(pf).select("project_id", F.coalesce(F.col("rule_no"), F.lit(-1)).cast("bigint").alias("rule_no"),
-                                   "files_tried", "hits", "defaults", "misses", "level")
+                                   "files_tried", "hits", "defaults", "misses", "level", "hit_rate")
 
 
 def manifest_fields(spark, sf_dir):
@@ -270,6 +270,46 @@ def files_register(spark, sf_dir):
     return register(spark, sf_dir)
 
 
+# Ticked labels: one of each kind of file, and one that no file has.
+TICKED = ["doc_7.txt", "page_3.html", "conv_1.pptx", "no such file.txt"]
+
+
+def choose_files(spark, sf_dir):
+    """S3: the registered files whose labels are ticked."""
+    from quarry.sources.files import choose, register
+    return choose(register(spark, sf_dir), TICKED).select("project_id", "label", "size")
+
+
+def table_markdown(spark, sf_dir):
+    """Every table of every document and page as Markdown."""
+    from quarry.functions.text import md_table
+    files = C.documents_files(spark, sf_dir).unionByName(C.pages_files(spark, sf_dir))
+    b = files.select("label", F.explode_outer("blocks").alias("b")).filter("b.kind = 'table'")
+    return b.select("label", F.col("b.block_no").cast("bigint").alias("block_no"), md_table(F.col("b.rows")).alias("markdown"))
+
+
+def safe_names(spark, sf_dir):
+    """Page addresses and benchmark texts as file names."""
+    from quarry.functions.text import safe_name
+    p = C.read_table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("bigint").alias("id"),
+                                                    F.col("url").alias("given"))
+    b = C.read_table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").cast("bigint").alias("id"),
+                                                        F.col("text").alias("given"))
+    return p.unionByName(b).select("kind", "id", safe_name(F.col("given")).alias("name"))
+
+
+# Languages are the projects; the files of one language cannot be read.
+UNREADABLE_LANG = "de"
+
+
+def unreadable_files(spark, sf_dir):
+    """Records of a run in which all files of one project are unreadable."""
+    files = C.documents_files(spark, sf_dir, project="lang").withColumn(
+        "problem", F.when(F.col("project_id") == UNREADABLE_LANG, F.lit("damaged")).otherwise(F.col("problem")))
+    recs = RUN.run_ruleset(spark, RUN.Corpus(files, []), BETWEEN_RULES)
+    return recs.select("project_id", F.col("rule_no").cast("bigint").alias("rule_no"), "name", "found", "citation", "note")
+
+
 def pick_files(spark, sf_dir):
     """Every (project, rule, candidate file)."""
     corpus = flagship_corpus(spark, sf_dir)

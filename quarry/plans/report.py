@@ -59,7 +59,8 @@ def template_order(records: DataFrame, template: dict | None) -> DataFrame:
 
 def coverage(per_file: DataFrame) -> DataFrame:
     """Per rule and project, with subtotals per project and overall:
-    readable candidate files tried, real hits, defaults used, misses."""
+    readable candidate files tried, real hits, defaults used, misses and the
+    share of files with a real hit."""
     r = F.col("rec")
     pf = per_file.filter(r.isNotNull())
     is_default = r["found"] & (F.coalesce(r["note"], F.lit("")) == DEFAULT_NOTE)
@@ -68,7 +69,8 @@ def coverage(per_file: DataFrame) -> DataFrame:
         F.count_if(r["found"] & ~is_default).alias("hits"),
         F.count_if(is_default).alias("defaults"),
         F.count_if(~r["found"]).alias("misses"),
-        F.grouping_id().cast("bigint").alias("level"))
+        F.grouping_id().cast("bigint").alias("level")) \
+        .withColumn("hit_rate", F.col("hits") / F.col("files_tried"))
 
 
 def manifest_fields(records: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ class Corpus:
         for wb in self.workbooks:
             b = wb.blocks()
             out = out.unionByName(b.select(*cols, F.exists("blocks", lambda x: F.exists(
-                F.flatten(x["rows"]), lambda v: v.rlike(R.NFKC_GATE))).alias("nfkc")))
+                F.flatten(x["rows"]), R.needs_nfkc)).alias("nfkc")))
         return out
 
 

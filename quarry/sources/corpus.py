@@ -24,17 +24,9 @@ BLOCK_TYPE = ("struct<block_no:int,kind:string,text:string,"
 TABLE_ROW_MARK = " | "
 
 
-_TABLES: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. The DataFrame (a plan, no data) is reused within a
-    session, so its schema is inferred from the parquet footers once."""
-    key = (id(spark), f"{sf_dir}/{name}.parquet")
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(key[1])
-    return df
+    """A driver table as it is now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _block(block_no, kind, text, rows, location) -> Column:
@@ -104,12 +96,12 @@ def with_text_blocks(df: DataFrame, text: str, out: str = "blocks") -> DataFrame
     return df.withColumn(out, number_blocks(kept)).drop("_lines", "_is_row", "_starts", "_raw")
 
 
-def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> one text file per row; project = source."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+def documents_files(spark: SparkSession, sf_dir: str, project: str = "source") -> DataFrame:
+    """documents -> one text file per row; the column ``project`` is its project."""
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", project, "text"))
     d = with_text_blocks(d, "text")
     return d.select(
-        F.col("source").alias("project_id"),
+        F.col(project).alias("project_id"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("label"),
         F.lit(".txt").alias("ext"),
         F.when(F.col("text").isNull(), F.lit("Could not read this file: no content.")).alias("problem"),

@@ -83,5 +83,11 @@ def load(df: DataFrame, item_id: str) -> dict | None:
 
 
 def export(df: DataFrame, path: str) -> None:
-    """Write rule sets or templates back as JSON, one file per item."""
-    df.drop("id").repartition(max(1, df.count())).write.mode("overwrite").json(path)
+    """Write rule sets or templates as JSON, one folder ``id=<id>`` per item."""
+    df.repartition("id").write.mode("overwrite").partitionBy("id").json(path)
+
+
+def read_exported(spark: SparkSession, path: str, schema: str = RULESET_SCHEMA) -> DataFrame:
+    """What ``export`` wrote, under the same ids."""
+    fields = schema.removesuffix(", _corrupt_record string")
+    return spark.read.schema(f"{fields}, id string").json(path)

@@ -180,10 +180,10 @@ class Workbook:
         normalised, as in R0): phrase, sheet, row_no, cells. A blank phrase is
         in every cell, so it gives every row."""
         from quarry.functions.nfkc import nfkc_strings
-        from quarry.functions.text import NFKC_GATE, normalize_py, normalize_tail
+        from quarry.functions.text import needs_nfkc, normalize_py, normalize_tail
         from quarry.operators.rules import sql_str
         rows = self.all_rows()
-        gate = F.exists("cells", lambda c: c.rlike(NFKC_GATE))
+        gate = F.exists("cells", needs_nfkc)
         rows = rows.withColumn("plain", nfkc_strings(F.col("cells"), gate)) \
             .withColumn("norm", F.transform("plain", normalize_tail))
         found = F.array(*[F.when(F.expr(f"exists(norm, c -> contains(c, {sql_str(normalize_py(p))}))"), F.lit(p))

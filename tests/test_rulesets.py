@@ -40,3 +40,15 @@ def test_templates(spark):
     assert [r.asDict() for r in RS.list_templates(df).collect()] == [
         {"id": "std", "name": "Study sheet", "sections": 4}]
     assert RS.load(df, "std")["title"] == "Field study at a glance"
+
+
+def test_export_round_trip(spark):
+    d, out = tempfile.mkdtemp(prefix="quarry-rs-"), tempfile.mkdtemp(prefix="quarry-out-")
+    for name, keyword in (("007", "x"), ("second set", "y")):
+        with open(os.path.join(d, f"{name}.json"), "w") as fh:
+            json.dump({"name": name, "fields": [{"name": "kw", "type": "around_keywords", "params": {"keyword": keyword}}]}, fh)
+    df = RS.read_rulesets(spark, d)
+    RS.export(df, out + "/sets")
+    back = RS.read_exported(spark, out + "/sets")
+    for item in ("007", "second set"):
+        assert RS.load(back, item) == RS.load(df, item) is not None
