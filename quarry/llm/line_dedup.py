@@ -18,7 +18,8 @@ earlier. Groups are only counted and reduced to their first place, by partial
 aggregation; they are never gathered, so a line that makes up a third of all
 lines is no harder than others.
 
-Later copies of at least ``MIN_WORDS`` words are deleted.
+Later copies of runs of any length are deleted if they hold a real line, one
+with a word in it; runs of blank lines alone stay.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.store import keep, release
 
-MIN_WORDS = 20
+#: Words of the shortest run that is deleted: any run with a word in it.
+MIN_WORDS = 1
 NO_ID = -(1 << 63)
 
 

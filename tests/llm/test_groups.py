@@ -133,6 +133,18 @@ def test_line_runs_odd_rows(spark):
     assert line_dedup.dedup(documents(spark, [(1, "a"), (2, "b")])).count() == 2
 
 
+def test_short_line_in_thousands_of_documents(spark):
+    texts = [(k, f"own line {k}\n\nShare this page\nown end {k}") for k in range(3000)]
+    rows = line_dedup.dedup(documents(spark, texts)).collect()
+    assert sum("Share this page" in r.text for r in rows) == 1
+    assert {r.doc_id: r.text for r in rows} == {0: texts[0][1]} | {k: f"own line {k}\nown end {k}" for k in range(1, 3000)}
+
+
+def test_blank_lines_are_no_real_lines(spark):
+    rows = line_dedup.dedup(documents(spark, [(1, "a\n\n \nb"), (2, "c\n\n \nd")])).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: "a\n\n \nb", 2: "c\n\n \nd"}
+
+
 def plain_tiles(item, doc, shortest):
     """Greedy tiling by looking at all places each time."""
     mi, md, out = [False] * len(item), [False] * len(doc), []
