@@ -14,9 +14,10 @@ million (``AT_80``).
 Equal sets are one class and are joined once. In a bucket no pairs are
 written out: first every class is held against one pivot of its buckets only
 and the links found make components. Then only pairs of classes in different
-components are compared, on signatures first, inside blocks of a bucket: the
-rows of the bucket's largest component are dealt over the blocks, the few
-others visit each block. Each class brings a bitmap of its shingles there (a
+components are compared, on signatures first. The rows of a bucket of more
+than ``BLOCK_ROWS`` are dealt over blocks, by whether they are of its largest
+component and by bands of set size, and every two blocks that can hold a link
+meet in a group of their own. Each class brings a bitmap of its shingles there (a
 hashed bit each). Bits that differ prove as many shingles that differ, which
 bounds the similarity of a pair from above; a pair that cannot reach it is
 not written. Links are confirmed on the shingle sets of the whole texts. A
@@ -281,8 +282,8 @@ def _first_key(x: np.ndarray, y: np.ndarray, layout: Layout = AT_85) -> np.ndarr
 
 def _across(rows: DataFrame, layout: Layout) -> DataFrame:
     """Pairs (a, b) of different components within the distance whose bitmaps allow
-    a link, from rows (key, block, rep, n, sig, bits, label, home, visits)
-    sorted by key and block. A pair is written once, in the bucket of the
+    a link, from rows (key, block, other, rep, n, sig, bits, label, home, visits)
+    sorted by key, block and other. A pair is written once, in the bucket of the
     first key it shares."""
     id_type = rows.schema["rep"].dataType.simpleString()
 
@@ -297,7 +298,7 @@ def _across(rows: DataFrame, layout: Layout) -> DataFrame:
             key = group.column("key")[0].as_py()
             left, right = np.flatnonzero(home), np.flatnonzero(visits)
             for r in right:
-                # two visitors meet in one order only; a resident meets every visitor
+                # rows that are both meet in one order only; one that is only at home meets every visitor
                 c = left[(label[left] != label[r]) & (~visits[left] | (rep[left] < rep[r]))]
                 c = c[100 * np.minimum(n[c], n[r]) >= layout.percent * np.maximum(n[c], n[r])]
                 c = c[_distance(sig[c], sig[r]) <= layout.distance] if len(c) else c
@@ -313,8 +314,8 @@ def _across(rows: DataFrame, layout: Layout) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            key, block = rest.column("key").to_numpy(), rest.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+            group = [rest.column(c).to_numpy() for c in ("key", "block", "other")]
+            cuts = [0, *(np.flatnonzero(np.any([g[1:] != g[:-1] for g in group], axis=0)) + 1).tolist()]
             for s, e in zip(cuts, cuts[1:]):
                 yield from (_pair_batch(*x) for x in pairs(rest.slice(s, e - s)))
             rest = rest.slice(cuts[-1])
@@ -329,27 +330,45 @@ def _across(rows: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _mixed(hits: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, rep, label, top, blocks) of the buckets that hold several
-    components; ``top`` is the largest of them."""
+    """(key, rep, label, top, heavy) of the buckets that hold several
+    components; ``top`` is the largest of them, ``heavy`` are buckets of more
+    rows than a block."""
     labelled = (hits.select("key", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
                 .select("key", "rep", F.coalesce("component", "rep").alias("label")))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
-    mixed = (sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"))
+    mixed = (sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("rows"))
              .filter("labels > 1")
-             .select("key", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / BLOCK_ROWS).cast("int").alias("blocks")))
+             .select("key", F.col("top.label").alias("top"), (F.col("rows") > BLOCK_ROWS).alias("heavy")))
     return labelled.join(mixed, "key")
 
 
-def _dealt(pool: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The rows of mixed buckets, dealt over their blocks and sorted."""
-    rows = (pool.join(sigs, "rep")
-            .withColumn("visits", F.col("label") != F.col("top"))
-            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .withColumn("block", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), F.col("blocks") - 1))
-                                           .otherwise(F.array("own"))))
-            .withColumn("home", F.col("block") == F.col("own"))
-            .select("key", "block", "rep", "n", "sig", "bits", "label", "home", "visits"))
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+def _dealt(pool: DataFrame, sigs: DataFrame, layout: Layout = AT_85) -> DataFrame:
+    """The rows of mixed buckets, dealt over groups (key, block, other) and
+    sorted. A light bucket is one group. Rows of a heavy one have a block of
+    about ``BLOCK_ROWS`` among those of their side (largest component or not)
+    and band of set size. Two blocks meet in one group unless both are of the
+    largest component or their bands are not next to each other, as sets of
+    such bands are too different in size. So a group holds two blocks at most."""
+    # wider than the sizes of a link can differ, so rounding moves no link two bands apart
+    band = F.floor(F.log("n") / F.log(F.lit(100 / (layout.percent - 1)))).cast("long")
+    side = (F.col("label") != F.col("top")).cast("long")
+    sized = pool.filter("heavy").join(sigs.select("rep", "n"), "rep")
+    cells = (sized.groupBy("key", side.alias("side"), band.alias("band"))
+             .agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+             .groupBy("key").agg(F.collect_list(F.struct("side", "band", "blocks")).alias("cells")))
+    number = "shiftleft({0}, 56) + shiftleft({1}, 40) + {2}"  # blocks in order: largest component, then the others
+    mine = "element_at(filter(cells, c -> c.side = side and c.band = band), 1).blocks"
+    meets = "filter(cells, c -> abs(c.band - band) <= 1 and (c.side = 1 or side = 1))"
+    rows = (pool.join(sigs, "rep").withColumn("side", side).withColumn("band", band).join(cells, "key", "left")
+            .withColumn("own", F.expr(f"if(heavy, {number.format('side', 'band', f'pmod(xxhash64(rep), {mine})')}, 0L)"))
+            .withColumn("met", F.explode(F.expr(
+                f"if(heavy, flatten(transform({meets}, c -> transform(sequence(0L, c.blocks - 1), "
+                f"k -> {number.format('c.side', 'c.band', 'k')}))), array(0L))")))
+            .withColumn("block", F.least("own", "met")).withColumn("other", F.greatest("own", "met"))
+            .withColumn("home", F.col("own") <= F.col("met"))
+            .withColumn("visits", (F.col("own") >= F.col("met")) & (F.col("side") == 1))
+            .select("key", "block", "other", "rep", "n", "sig", "bits", "label", "home", "visits"))
+    return rows.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = AT_85) -> DataFrame:
@@ -385,7 +404,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pool = keep(_mixed(hits, label), "mixed")
     full = classes.select("rep", "d1", "sig", F.col("n_shingles").alias("n")).join(
         _bitmaps(pool.select("rep").distinct(), texts), ["rep", "d1"])
-    rest = keep(_across(_dealt(pool, full), layout), "pairs")
+    rest = keep(_across(_dealt(pool, full, layout), layout), "pairs")
     final = keep(components(links.unionByName(_linked(rest, texts, layout))), "labels")
 
     of_class = (classes.join(final, classes["rep"] == final["node"], "left")

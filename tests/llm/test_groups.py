@@ -53,6 +53,32 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_components(texts)
 
 
+def test_no_group_holds_a_bucket_of_single_components(spark, monkeypatch):
+    """A bucket of documents that are not linked, and one component of 60."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 32)
+    rng = random.Random(6)
+    n = {k: rng.choice([1, 7, 100, 100, 100, 115, 117, 118, 400]) for k in range(500)}
+    label = {k: 0 if k < 60 else k for k in n}
+    hits = spark.createDataFrame([(5, k) for k in n] + [(6, k) for k in range(50, 70)], "key long, rep long")
+    labels = spark.createDataFrame([(k, 0) for k in range(60)], "node long, component long")
+    sigs = spark.createDataFrame([(k, m, b"", b"") for k, m in n.items()], "rep long, n long, sig binary, bits binary")
+    groups = {}
+    for r in neardup._dealt(neardup._mixed(hits, labels), sigs, neardup.AT_85).collect():
+        groups.setdefault((r.key, r.block, r.other), []).append(r)
+    assert max(map(len, groups.values())) <= 4 * 32  # two blocks, dealt by a hash
+    met = {}
+    for (key, *_), rows in groups.items():
+        for x in rows:
+            for y in rows:
+                if x.home and y.visits and x.label != y.label and (not x.visits or x.rep < y.rep):
+                    pair = (key, *sorted((x.rep, y.rep)))
+                    met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1}
+    want = {(key, a, b) for key, ids in ((5, n), (6, range(50, 70))) for a in ids for b in ids
+            if a < b and label[a] != label[b] and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b])}
+    assert want <= set(met)
+
+
 @pytest.mark.parametrize("layout", [neardup.AT_85, neardup.AT_80])
 def test_pigeonhole_keys(layout):
     rng = np.random.default_rng(1)
