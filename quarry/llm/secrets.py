@@ -3,7 +3,8 @@
 Every whole text is searched for three kinds of secrets. Then runs that look
 encoded (URL escapes, Unicode escapes, base64, and base64 of gzip or zlib
 data) are decoded into layers of their own, which are searched and decoded in
-turn until nothing new appears. Each character of a layer knows the span of
+turn until nothing new appears. A base64 run goes on over line ends, as far as
+it decodes; its lines are tried alone as well. Each character of a layer knows the span of
 the original text it came from, so a find in a nested layer is reported as a
 span of the text. A layer that has been seen for the same span is not opened
 again, which ends cycles. The work is row-local; there is no shuffle.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,8 +33,12 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")  # one of them is in e
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes that one compressed run may grow to; a larger one is reported as kind ``oversize`` instead.
+# The rest of a line end between two lines of one base64 run, and the line that follows.
+WRAP = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+#: Inflated data is scanned in blocks of so many bytes, each with the last
+#: ``OVERLAP`` characters of the one before, so the memory of a run is bounded.
 INFLATE_LIMIT = 64 << 20
+OVERLAP = 1 << 20
 
 Span = tuple[int, int]
 
@@ -51,7 +58,7 @@ class Layer:
     """A text whose character i came from ``spans[i]`` of the original; a
     layer without spans is the original."""
 
-    def __init__(self, text: str, spans: list[Span] | None, path: tuple[str, ...]):
+    def __init__(self, text: str, spans: list[Span] | Whole | None, path: tuple[str, ...]):
         self.text, self.spans, self.path = text, spans, path
 
     def origin(self, start: int, end: int) -> Span:
@@ -110,35 +117,153 @@ def _unescape(layer: Layer, m: re.Match) -> tuple[str, list[Span]] | None:
     return _characters(bytes(int(run[k + width - 2:k + width], 16) for k in range(0, len(run), width)), spans)
 
 
+class Whole:
+    """The spans of a text all of which came from one span; ``later`` are the
+    blocks of inflated data after the first."""
+
+    def __init__(self, span: Span, later: bool):
+        self.span, self.later = span, later
+
+    def __getitem__(self, at: slice) -> list[Span]:
+        return [self.span]
+
+
+def _inflated(data: bytes) -> Iterator[str]:
+    """Texts of gzip or zlib data, member after member, in blocks. A stream
+    that breaks off or is damaged gives what could be read."""
+    while _compressed(data):
+        z, tail = zlib.decompressobj(47), ""  # either header
+        utf8 = codecs.getincrementaldecoder("utf-8")()
+        feed = data
+        while True:
+            try:
+                plain = z.decompress(feed, INFLATE_LIMIT)
+                text = utf8.decode(plain, z.eof)
+            except (zlib.error, UnicodeDecodeError):
+                break
+            if text:
+                yield tail + text
+                tail = (tail + text)[-OVERLAP:]
+            feed = z.unconsumed_tail
+            if z.eof or not feed and not plain:
+                break
+        if not z.eof:
+            return
+        data = z.unused_data
+
+
+def _compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def _decoded(run: str) -> bytes | None:
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _runs(text: str) -> Iterator[list[Span]]:
+    """Base64 runs as spans of their lines: every run of a line alone, and
+    the run with the lines after it that it may go on over."""
+    ends, done = {}, 0  # of a chain's lines: the chain and the line's place in it; end of the last joined run
+    for m in BASE64_RUN.finditer(text):
+        yield [m.span()]
+        chain, k = ends.get(m.start()) or ([m.span()], 0)
+        if not k:
+            end = m.end()
+            while text[end - 1] != "=" and (n := WRAP.match(text, end)):
+                chain.append(n.span(1))
+                end = n.end()
+            ends |= {s: (chain, j) for j, (s, _) in enumerate(chain) if j}
+        if len(chain) - k > 1 and m.start() >= done and (last := _joined(text, chain, k)) > k:
+            yield chain[k:last + 1]
+            done = chain[last][1]
+
+
+def _stream_end(data: bytes) -> int:
+    """Bytes of compressed data at the start: up to the end of its last
+    member, all if it breaks off, none if it is damaged."""
+    rest = data
+    while _compressed(rest):
+        z, feed = zlib.decompressobj(47), rest
+        try:
+            while not z.eof and (z.decompress(feed, 1 << 20) or z.unconsumed_tail):
+                feed = z.unconsumed_tail
+        except zlib.error:
+            break
+        if not z.eof:
+            return len(data)
+        rest = z.unused_data
+    return len(data) - len(rest)
+
+
+def _joined(text: str, chain: list[Span], first: int) -> int:
+    """The last of the lines from ``first`` on that make up one run: those of
+    compressed data, which knows its end, else those that decode to text."""
+    utf8, rest, last = codecs.getincrementaldecoder("utf-8")(), "", first
+    if (head := _decoded(text[chain[first][0]:chain[first][0] + 4])) and _compressed(head):
+        run = "".join(text[s:e] for s, e in chain[first:]).rstrip("=")
+        end = _stream_end(_decoded(run[:-1] if len(run) % 4 == 1 else run) or b"")
+        for k in range(first, len(chain) if end else first):
+            end -= (chain[k][1] - chain[k][0]) * 3 / 4
+            if end <= 0 or k + 1 == len(chain):
+                return k
+    for k, (s, e) in enumerate(chain[first:], first):
+        rest += text[s:e].rstrip("=")
+        cut = len(rest) // 4 * 4
+        left = rest[cut:]
+        try:
+            data = _decoded(rest[:cut]) or b""
+            utf8.decode(data)
+            # does the text end with this line?
+            state, tail = utf8.getstate(), _decoded(left) if left else b""
+            fits = tail is not None and not any(b < 9 for b in tail) and _is_text(state[0] + tail)
+        except UnicodeDecodeError:
+            break
+        if any(b < 9 for b in data):
+            break
+        if fits:
+            last = k
+        rest = left
+    return last
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
     """A layer for every base64 run that holds text or compressed text."""
-    for m in BASE64_RUN.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for lines in _runs(layer.text):
+        run = "".join(layer.text[s:e] for s, e in lines).rstrip("=")
         if len(run) % 4 == 1:
+            run = run[:-1] if len(lines) > 1 else run  # a word after compressed data
+        data = _decoded(run)
+        if data is None:
             continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.origin(m.start(), m.end())
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-            z = zlib.decompressobj(47)  # either header
-            try:
-                plain = z.decompress(data, INFLATE_LIMIT)
-            except zlib.error:
-                continue
-            if z.unconsumed_tail:
-                yield Layer("", [whole], (*layer.path, "oversize"))
-                continue
-            try:
-                text = plain.decode("utf-8")
-            except UnicodeDecodeError:
+        if _compressed(data):
+            whole = layer.origin(lines[0][0], lines[-1][1])
+            k = -1
+            for k, text in enumerate(_inflated(data)):
+                yield Layer(text, Whole(whole, k > 0), (*layer.path, "base64", "compressed"))
+            if k >= 0:
                 continue
-            yield Layer(text, [whole] * len(text), (*layer.path, "base64", "compressed"))
-            continue
         if any(b < 9 for b in data):
             continue
-        spans = [layer.origin(m.start() + 4 * (k // 3), min(m.start() + 4 * (k // 3) + 4, m.end())) for k in range(len(data))]
+        if len(lines) == 1:
+            start, end = lines[0]
+            spans = [layer.origin(start + 4 * (k // 3), min(start + 4 * (k // 3) + 4, end)) for k in range(len(data))]
+        else:
+            at = [i for s, e in lines for i in range(s, e)]
+            spans = [layer.origin(at[4 * (k // 3)], at[min(4 * (k // 3) + 4, len(at)) - 1] + 1) for k in range(len(data))]
         if new := _characters(data, spans):
             yield Layer(*new, (*layer.path, "base64"))
 
@@ -148,25 +273,27 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
     way: ``base64>assign``."""
     out: set[tuple[str, int, int]] = set()
     seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), None)}
-    work = [Layer(text, None, ())]
+    work = [(Layer(text, None, ()), None)]
     while work:
-        layer = work.pop()
-        for new in (*_escapes(layer), *_base64(layer)):
-            if new.path[-1] == "oversize":
-                out.add((">".join(new.path), *new.spans[0]))
-                continue
+        layer, opened = work.pop()
+        opened = opened or itertools.chain(_escapes(layer), _base64(layer))
+        for new in opened:
             place = new.origin(0, len(new.text)) if new.text else None
             mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), place)
             if not new.text or mark in seen:
                 continue
             seen.add(mark)
-            work.append(new)
+            work.append((new, None))
             # what the parent layer shows as it stands is not found anew
             shown = {(k, *layer.origin(s, e)) for k, s, e in base_spans(layer.text)}
             for kind, s, e in base_spans(new.text):
                 at = new.origin(s, e)
                 if (kind, *at) not in shown:
                     out.add((">".join((*new.path, kind)), *at))
+            if isinstance(new.spans, Whole) and new.spans.later:
+                # a later block is opened before the next one is read, so blocks do not pile up
+                work.insert(-1, (layer, opened))
+                break
     ways: dict[tuple[str, int, int], str] = {(k, s, e): "" for k, s, e in base_spans(text)}
     for way, s, e in sorted(out, key=lambda x: (x[0].count(">"), x)):
         ways.setdefault((way.rpartition(">")[2], s, e), way)  # the shortest way to a find is enough

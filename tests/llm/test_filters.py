@@ -127,6 +127,51 @@ def test_secrets_in_nested_layers():
     assert secrets.masked(text, "url>assign:3:21") == "xx " + "*" * 18 + " yy"
 
 
+def kinds(text):
+    return {way for way, _, _ in secrets.added_spans(text)}
+
+
+def test_secrets_in_wrapped_base64():
+    rng = random.Random(6)
+    prose_of = lambda n: " ".join(prose(rng, n, 10**6)).encode()
+    body = prose_of(30) + "é".encode() * 40 + b" password=abcdefghij " + prose_of(30)
+    for width, gap in ((64, "\n"), (76, "\r\n"), (50, "\n  "), (61, "\n")):
+        code = base64.b64encode(body).decode()
+        lines = gap.join(code[k:k + width] for k in range(0, len(code), width))
+        text = f"-----BEGIN X-----\n{lines}\n-----END X-----\nand more"
+        (find,) = [x for x in secrets.added_spans(text) if x[0] == "base64>assign"]
+        assert "password=abcdefghij" in base64.b64decode("".join(text[find[1]:find[2]].split()) + "==").decode("utf-8", "replace")
+        zipped = base64.b64encode(gzip.compress(prose_of(90) + body)).decode()
+        lines = gap.join(zipped[k:k + width] for k in range(0, len(zipped), width))
+        assert "base64>compressed>assign" in kinds(f"x: {lines}\nand more")
+    # lines that are runs of their own, and words around
+    one, two = (base64.b64encode(x).decode().rstrip("=") for x in (b"token=abcdefghij;;;;;", b"secret=0123456789;;;;"))
+    assert len(secrets.added_spans(f"{one}\n{two}\nhello")) == 2
+    # compressed data ends inside a chain of lines, another run follows
+    first, second = (base64.b64encode(x).decode().rstrip("=") for x in (gzip.compress(prose_of(40)), body))
+    lines = [x[k:k + 64] for x in (first, second) for k in range(0, len(x), 64)]
+    assert "base64>assign" in kinds("\n".join(lines))
+
+
+def test_wrapped_base64_is_opened_once_for_its_lines():
+    code = base64.b64encode(b"plain words here and there " * 20000).decode()
+    runs = list(secrets._runs("\n".join(code[k:k + 76] for k in range(0, len(code), 76))))
+    assert sum(len(r) > 1 for r in runs) == 1 and len(runs) == -(-len(code) // 76) + 1
+
+
+def test_secrets_in_every_gzip_member():
+    data = gzip.compress(b"nothing here") + gzip.compress(b"more of it") + gzip.compress(b"password=abcdefghij")
+    assert kinds(base64.b64encode(data).decode()) == {"base64>compressed>assign"}
+
+
+def test_secrets_beyond_the_inflate_block(monkeypatch):
+    monkeypatch.setattr(secrets, "INFLATE_LIMIT", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for at in (0, 985, 995, 5000):
+        data = gzip.compress(b"." * at + b"password=abcdefghij" + b"." * 3000)
+        assert kinds(base64.b64encode(data).decode()) == {"base64>compressed>assign"}
+
+
 def test_secret_layers_end():
     text = "%25" * 40 + "41"
     for _ in range(3):
