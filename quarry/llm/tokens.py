@@ -28,15 +28,22 @@ REMEMBERED = 1_000_000
 
 class Encoder:
     """``ids(text)``: the text's ids as packed little-endian unsigned 32-bit
-    integers. Strings of special tokens are ordinary text; empty text has no
-    ids."""
+    integers. The vocabulary's added tokens inside a text get their own ids, and
+    the texts between them are encoded each alone; empty text has no ids."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         # the model merges one piece; its alphabet writes each byte as a character
-        self._model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self._model = whole.model
+        added = {t.content: (n, t) for n, t in whole.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take blanks or whole words are not supported")
+        self._added = {content: struct.pack("<I", n) for content, (n, _) in added.items()}
+        # of tokens that start alike the longest is taken
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self._bytes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
@@ -53,6 +60,11 @@ class Encoder:
                 self._known[p] = struct.pack(f"<{len(merged)}I", *[m.id for m in merged])
 
     def ids(self, text: str) -> bytes:
+        if any(content in text for content in self._added):
+            return b"".join(self._added[x] if k % 2 else self._plain_ids(x) for k, x in enumerate(self._cut(text)))
+        return self._plain_ids(text)
+
+    def _plain_ids(self, text: str) -> bytes:
         pieces = self._any(text) if self._odd(text) else self._plain(text)
         try:
             return b"".join(map(self._known.__getitem__, pieces))

@@ -51,6 +51,17 @@ def test_ids_are_the_tokenizers():
         assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_tokenizers():
+    """With the tokenizer in its default setting."""
+    whole = Tokenizer.from_file(tokens.default_path())
+    rng, encoder = random.Random(3), tokens.encoder(tokens.default_path())
+    pool = ["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "a", "word", " it's", "é", "٣", "🙂", "9"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>"]
+    for text in texts + ["".join(rng.choice(pool) for _ in range(rng.randint(0, 20))) for _ in range(400)]:
+        packed = encoder.ids(text)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_documents(spark):
     rng = random.Random(2)
     texts = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([0, 1, 5, 30, 30, 200])))) for i in range(60)]
