@@ -10,6 +10,10 @@ size (one row per known text) and are broadcast behind a check of that size.
 
 from __future__ import annotations
 
+import re
+import textwrap
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,51 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Known texts are broadcast up to this many; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
 
-# Public licence notices and short licence texts.
+# The patterns mean the same to Java and to RE2.
+COPYRIGHT = r"^[ \t>#*/;-]*(copyright|\(c\)|©)"
+RESERVED = r"^[ \t>#*/;-]*all rights reserved[. \t\r]*\z"
+OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+
+# Titles that stand above a text or not, wordings in use, and
+# the widths at which short texts are wrapped. A line that starts with the word
+# copyright has no canonical form, so the digest goes with the wrapping.
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+          "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+          "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"]}
+WORDINGS = {"COPYRIGHT HOLDER OR": ["COPYRIGHT OWNER OR", "COPYRIGHT HOLDERS OR"], "modify, and/or": ["modify, and"]}
+WIDTHS = range(60, 101)
+SHORT = 3000
+
+
+def _layouts(text: str) -> list[str]:
+    """The text as it stands, with a line for each paragraph, and, if it is
+    short, wrapped at the usual widths; one of those that lose the same lines."""
+    parts = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text)]
+    out = [text, "\n".join(parts)]
+    if len(text) <= SHORT:
+        out += ["\n".join("\n".join(textwrap.wrap(p, w)) for p in parts) for w in WIDTHS]
+    kept = lambda x: " ".join(y for y in x.lower().split("\n") if not re.match(COPYRIGHT, y)).split()
+    return list({tuple(kept(x)): x for x in reversed(out)}.values())
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the whole licences in ``known_licenses``, in their
+    usual variants."""
+    out = []
+    for path in sorted(Path(__file__).with_name("known_licenses").glob("*.txt")):
+        text = path.read_text("utf-8")
+        texts = [text, *(text.replace(old, new) for old, others in WORDINGS.items() if old in text for new in others)]
+        # without what follows the terms
+        texts += [text[:m.start()] for m in [re.search(r"^ *(APPENDIX: How|How to Apply These Terms|Appendix: How)", text, re.M | re.I)] if m]
+        for one in texts:
+            for title in ["", *TITLES.get(path.stem, [])]:
+                out += [(path.stem, f"{title}\n\n{x}".lstrip("\n") if title else x) for x in _layouts(one)]
+    return out
+
+
+# Whole licences, public licence notices and short licence texts.
 KNOWN = [
+    *full_texts(),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except '
                    "in compliance with the License."),
@@ -47,11 +94,6 @@ SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "lic
              ("merchantibility", "merchantability"), ("organisation", "organization"), ("noninfringement",
              "non infringement"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent")]
 
-# The patterns mean the same to Java and to RE2.
-COPYRIGHT = r"^[ \t>#*/;-]*(copyright|\(c\)|©)"
-RESERVED = r"^[ \t>#*/;-]*all rights reserved[. \t\r]*\z"
-OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-
 
 def line_forms(text: Column) -> Column:
     """Canonical forms of the text's lines, in order; null for null text."""

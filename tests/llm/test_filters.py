@@ -192,3 +192,21 @@ def test_licences(spark):
     assert rows[9].digest is None and rows[10].digest is not None
     assert licenses.scan(documents(spark, [])).collect() == []
     assert len(licenses.scan(documents(spark, [(1, mit), (1, mit)])).collect()) == 2
+
+
+def test_whole_licences(spark):
+    import textwrap
+    from pathlib import Path
+
+    folder, texts = Path(licenses.__file__).with_name("known_licenses"), []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"):
+        text = (folder / f"{name}.txt").read_text("utf-8")
+        texts += [(name, text), (name, "Copyright (c) 2021 Some Body\n\n" + text.replace("\n", "\r\n")),
+                  (name, text.replace("[yyyy] [name of copyright owner]", "2019 Another Holder"))]
+        if name in licenses.TITLES:
+            parts = [" ".join(p.split()) for p in text.split("\n\n")]
+            for width in (64, 72, 79, 95, 10**6):
+                body = "\n\n".join(textwrap.fill(p, width) for p in parts)
+                texts.append((name, f"{licenses.TITLES[name][0]}\n\nCopyright 2020, A. Holder\nAll rights reserved.\n\n{body}"))
+    rows = {r.doc_id: r.license_id for r in licenses.scan(documents(spark, [(k, t) for k, (_, t) in enumerate(texts)])).collect()}
+    assert [rows[k] for k in range(len(texts))] == [name for name, _ in texts]
