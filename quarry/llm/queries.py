@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (decontam, licenses, line_dedup, neardup, packing, quality, secrets, token_counts, tokens,
-                        url_filter, warc)
+from quarry.llm import (decontam, licenses, line_dedup, merkle, mixing, neardup, packing, quality, secrets, token_counts,
+                        tokens, url_filter, warc, whitening)
 from quarry.llm.store import keep, new_path, table
 
 #: A table of ids of up to this many rows is broadcast; a larger one is joined by a shuffle.
@@ -68,9 +68,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_url_filter, op3_near_dedup, op4_decontamination, op5_token_counts, op6_line_dedup, op7_warc,
-    op8_quality_rules, op9_secret_scan, op10_license_scan)}
+    op8_quality_rules, op9_secret_scan, op10_license_scan, op11_merkle_manifest, op12_source_mixing, op13_whitening)}
 
 
 # Stages of the pipeline: documents in, documents out (but for the last).
