@@ -9,7 +9,7 @@ from __future__ import annotations
 # The corpus rule set: every rule family, several match filters, a legacy
 # type name, a default, an unknown type and rules that can only miss.
 CORPUS_RULESET = {
-    "name": "Corpus intake",
+    "name": "Corpus rules",
     "description": "Every rule family over documents, conversations and the tpch workbook.",
     "fields": [
         {"name": "Secret token", "type": "between", "match": "doc_",
@@ -33,9 +33,9 @@ CORPUS_RULESET = {
         {"name": "Pattern", "type": "regex", "match": "", "default": "unused",
          "params": {"start": "x"}},
         {"name": "Sheet on text", "type": "sheet_cell", "match": "conv_1",
-         "params": {"sheet": "Budget", "cell": "P10"}},
+         "params": {"sheet": "Ledger", "cell": "C12"}},
         {"name": "Missing tab", "type": "sheet_cell", "match": "tpch",
-         "params": {"sheet": "Budget Summary", "cell": "P10"}},
+         "params": {"sheet": "Ledger", "cell": "C12"}},
         {"name": "Unmatched", "type": "table_contains", "match": "no-such-file",
          "params": {"contains": "x"}},
     ],
@@ -43,8 +43,8 @@ CORPUS_RULESET = {
 
 # Its report template: headings, fields, a repeated field, an unknown one.
 CORPUS_TEMPLATE = {
-    "name": "Corpus summary",
-    "title": "Corpus Intake Summary",
+    "name": "Corpus overview",
+    "title": "The corpus at a glance",
     "sections": [
         {"type": "heading", "text": "Text"},
         {"type": "field", "field": "Secret token"},

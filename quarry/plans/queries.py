@@ -175,7 +175,7 @@ SHEET_RULES = _rs(
     {"name": "past the end", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "region", "cell": "B99"}},
     {"name": "block", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "customer", "cell": "B10:D14"}},
     {"name": "empty block", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "nation", "cell": "G2:H3"}},
-    {"name": "no tab", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "Budget", "cell": "A1"}},
+    {"name": "no tab", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "Ledger", "cell": "A1"}},
     {"name": "bad ref", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "nation", "cell": "1A"}},
     {"name": "on text", "type": "sheet_cell", "match": "conv_4", "params": {"sheet": "nation", "cell": "A1"}},
 )

@@ -29,14 +29,14 @@ def _tc(text, span=1, vmerge=None):
 def write_docx(path):
     body = "".join([
         _para("Intro text"),
-        _para("3 Staff and roles", "Heading2"),
-        _para("Ann leads", bold=True),
-        "<w:tbl><w:tr>" + _tc("Organization: legal name", span=2) + _tc("Acme Ltd") + "</w:tr>"
+        _para("Goods in", "Heading2"),
+        _para("Two vans unloaded", bold=True),
+        "<w:tbl><w:tr>" + _tc("Haulier and depot", span=2) + _tc("Rhine Cargo") + "</w:tr>"
         "<w:tr>" + _tc("Total", vmerge="restart") + _tc("") + _tc("42") + "</w:tr>"
         "<w:tr>" + _tc("", vmerge="continue") + _tc("x") + _tc("43") + "</w:tr></w:tbl>",
         _para(""),
-        _para("4 Cost plan", "Heading2"),
-        _para("after budget"),
+        _para("Goods out", "Heading2"),
+        _para("nothing today"),
     ])
     styles = (f'<w:styles {W}><w:style w:styleId="Heading2"><w:name w:val="heading 2"/></w:style>'
               f'<w:style w:styleId="Normal"><w:name w:val="Normal"/></w:style></w:styles>')
@@ -78,11 +78,11 @@ def write_xlsx(path):
               '<row r="3"><c r="A3" t="inlineStr"><is><t>Total</t></is></c><c r="B3"><v>12.5</v></c>'
               '<c r="C3"><f>SUM(B3)</f></c></row>'
               "</sheetData></worksheet>")
-    sheet2 = f'<worksheet {S}><sheetData><row r="10"><c r="P10"><v>7</v></c></row></sheetData></worksheet>'
+    sheet2 = f'<worksheet {S}><sheetData><row r="6"><c r="F6"><v>7</v></c></row></sheetData></worksheet>'
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml",
                    f'<workbook {S} {R}><sheets><sheet name="Data" sheetId="1" r:id="rId1"/>'
-                   f'<sheet name="Cost sheet" sheetId="2" r:id="rId2"/></sheets></workbook>')
+                   f'<sheet name="Stock" sheetId="2" r:id="rId2"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels",
                    f'<Relationships {REL}><Relationship Id="rId1" Type="x/worksheet" Target="worksheets/sheet1.xml"/>'
                    f'<Relationship Id="rId2" Type="x/worksheet" Target="worksheets/sheet2.xml"/></Relationships>')
@@ -92,11 +92,11 @@ def write_xlsx(path):
 
 
 def write_folder(root):
-    proj = os.path.join(root, "grant")
+    proj = os.path.join(root, "depot")
     os.makedirs(proj, exist_ok=True)
-    write_docx(os.path.join(proj, "application.docx"))
-    write_pptx(os.path.join(proj, "pitch.pptx"))
-    write_xlsx(os.path.join(proj, "budget.xlsx"))
+    write_docx(os.path.join(proj, "day book.docx"))
+    write_pptx(os.path.join(proj, "tour.pptx"))
+    write_xlsx(os.path.join(proj, "stock.xlsx"))
     with open(os.path.join(proj, "broken.docx"), "wb") as fh:
         fh.write(b"not a zip")
     with open(os.path.join(proj, "old.doc"), "wb") as fh:
@@ -110,31 +110,29 @@ def _row(*cells):
     return "<w:tr>" + "".join(_tc(c) for c in cells) + "</w:tr>"
 
 
-def write_grant_folder(root):
-    """The worked example's three files: an application, a budget workbook
-    and an agreement, written so every one of its eight rules can answer."""
-    proj = os.path.join(root, "intake")
+def _row(*cells):
+    return "<w:tr>" + "".join(_tc(c) for c in cells) + "</w:tr>"
+
+
+def write_depot_folder(root):
+    """A day at a depot: a log with a table, a hand-over note and the stock workbook."""
+    proj = os.path.join(root, "tuesday")
     os.makedirs(proj, exist_ok=True)
-    app = "".join([
-        _para("Working title: Moon Base Alpha  File no.: 12-34"),
-        "<w:tbl>" + _row("Institute – name as registered: (“The Institute”)", "", "Cheddar Labs Inc.")
-        + _row("Abstract:  A cheese cave on the moon") + _row("Cost of the work (own means included)", "$1,200,000")
-        + "</w:tbl>",
-        _para("3 Staff and roles", "Heading2"),
-        _para("Dr. Gouda, lead"),
-        "<w:tbl>" + _row("Name", "Role") + _row("Brie", "Engineer") + "</w:tbl>",
-        _para("4 Cost plan in short", "Heading2"),
-        _para("See workbook."),
-    ])
-    agreement = "".join([
-        _para("A.2 Parties", "Heading2"),
-        "<w:tbl>" + _row("Partner share in total ($)", "450,000") + "</w:tbl>",
-        _para("A.3 Work plan and dates", "Heading2"),
+    log = "".join([
+        _para("Shift: early   Foreman: R. Okafor   Bay: 7"),
+        _para("Goods in", "Heading2"),
+        _para("Two vans unloaded"),
+        "<w:tbl>" + _row("Pallets", "", "31") + _row("Remarks: one pallet wet") + "</w:tbl>",
+        _para("Goods out", "Heading2"),
+        _para("Nothing left the yard"),
     ])
-    styles = (f'<w:styles {W}><w:style w:styleId="Heading2"><w:name w:val="heading 2"/></w:style></w:styles>')
-    for name, body in (("Grant application.docx", app), ("Partner agreement.docx", agreement)):
+    note = "".join([_para("Hand-over", "Heading1"), "<w:tbl>" + _row("Keys", "with the porter") + "</w:tbl>",
+                    _para("Forklift 2 needs oil"), _para("Gate code unchanged")])
+    styles = (f'<w:styles {W}><w:style w:styleId="Heading1"><w:name w:val="heading 1"/></w:style>'
+              f'<w:style w:styleId="Heading2"><w:name w:val="heading 2"/></w:style></w:styles>')
+    for name, body in (("Log 12.docx", log), ("Note 12.docx", note)):
         with zipfile.ZipFile(os.path.join(proj, name), "w") as z:
             z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
             z.writestr("word/styles.xml", styles)
-    write_xlsx(os.path.join(proj, "budget FY26.xlsx"))
+    write_xlsx(os.path.join(proj, "stock 12.xlsx"))
     return root

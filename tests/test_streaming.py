@@ -56,17 +56,17 @@ def test_incremental_office_drops(spark):
     root = tempfile.mkdtemp(prefix="quarry-x1o-")
     landing, state, ckpt = (os.path.join(root, n) for n in ("landing", "state", "ckpt"))
     os.makedirs(os.path.join(landing, "p2", "a1"))
-    write_xlsx(os.path.join(landing, "p2", "a1", "budget.xlsx"))
-    write_docx(os.path.join(landing, "p2", "a1", "application.docx"))
+    write_xlsx(os.path.join(landing, "p2", "a1", "stock.xlsx"))
+    write_docx(os.path.join(landing, "p2", "a1", "day book.docx"))
     rules = {"name": "o", "fields": [
-        {"name": "funding", "type": "sheet_cell", "match": "budget", "params": {"sheet": "Cost sheet", "cell": "P10"}},
-        {"name": "team", "type": "range", "match": "application",
-         "params": {"start": "3 Staff and roles", "end": "4 Cost plan"}},
+        {"name": "pallets", "type": "sheet_cell", "match": "stock", "params": {"sheet": "Stock", "cell": "F6"}},
+        {"name": "in", "type": "range", "match": "day book",
+         "params": {"start": "Goods in", "end": "Goods out"}},
     ]}
     x = IncrementalExtractor(spark, rules, landing, state)
     x.start(ckpt).awaitTermination()
     recs = {r["rule_no"]: r for r in x.records().collect()}
-    assert recs[0]["value_text"] == "7" and recs[0]["citation"] == "budget.xlsx — Cost sheet!P10"
+    assert recs[0]["value_text"] == "7" and recs[0]["citation"] == "stock.xlsx — Stock!F6"
     assert recs[1]["found"] and recs[1]["kind"] == "block"
 
 
