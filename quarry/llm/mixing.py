@@ -119,7 +119,9 @@ def fractions(docs: DataFrame, sources: DataFrame) -> DataFrame:
         stored.append(at)
         if not at.filter("open and need > 0").head(1):
             break
-    found = plan.join(at.select("sid", "below"), "sid")
+    # stored, so that Spark knows its size when it joins it with the documents
+    found = keep(plan.join(at.select("sid", "below"), "sid"), "plan")
+    stored.append(found)
     # what is still over or short is mended by the one document whose size is nearest to it
     taken = docs.join(found.select("sid", "below"), "sid").filter("__hash < below").groupBy("sid").agg(F.sum("size").alias("s"))
     found = keep(found.join(taken, "sid", "left").withColumn("over", F.coalesce("s", F.lit(0)) - F.col("need")).drop("s", "need"), "plan")
