@@ -27,8 +27,12 @@ from quarry.operators.compile import Rule
 
 ROWS_T = "array<array<string>>"
 VBLOCK_T = "array<struct<block_no:int,kind:string,text:string,rows:array<array<string>>>>"
+# A table of a sheet without bound, by reference: its rows and columns, the row
+# that was hit, whether rows without cells count, and the first row's texts.
+REF_T = ("struct<sheet:string,sheet_ord:int,row_lo:bigint,row_hi:bigint,col_lo:int,col_hi:int,hit_row:bigint,"
+         "fill:boolean,head:array<string>>")
 RAW_T = (f"struct<kind:string,value_text:string,value_rows:{ROWS_T},"
-         f"value_blocks:{VBLOCK_T},location:string,note:string>")
+         f"value_blocks:{VBLOCK_T},value_ref:{REF_T},location:string,note:string>")
 
 
 # ---------------------------------------------------------------------------
@@ -81,15 +85,6 @@ def prepare(files: DataFrame) -> DataFrame:
 # helpers
 # ---------------------------------------------------------------------------
 
-def _first(arr: Column) -> Column:
-    return F.try_element_at(arr, F.lit(1))
-
-
-def _vblocks(arr: Column) -> Column:
-    return F.transform(arr, lambda b: F.struct(b["block_no"].alias("block_no"), b["kind"].alias("kind"),
-                                               b["text"].alias("text"), b["rows"].alias("rows"))).cast(VBLOCK_T)
-
-
 def sql_str(v: str) -> str:
     """A Spark SQL string literal (backslash escapes)."""
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -110,11 +105,11 @@ def const(sql: str) -> Column:
 
 
 _FIELD_T = {"kind": "string", "value_text": "string", "value_rows": ROWS_T,
-            "value_blocks": VBLOCK_T, "location": "string", "note": "string"}
+            "value_blocks": VBLOCK_T, "value_ref": REF_T, "location": "string", "note": "string"}
 
 
 def raw_result(kind, value_text=None, value_rows=None, value_blocks=None, location=None, note=None) -> Column:
-    vals = dict(kind=kind, value_text=value_text, value_rows=value_rows, value_blocks=value_blocks,
+    vals = dict(kind=kind, value_text=value_text, value_rows=value_rows, value_blocks=value_blocks, value_ref=None,
                 location=location, note=note)
     if not any(isinstance(v, Column) for v in vals.values()):
         return const("named_struct(" + ", ".join(
@@ -134,11 +129,6 @@ def _miss(kind: str, note: str | None = None) -> Column:
     return raw_result(kind, note=note)
 
 
-def _contains(norm: Column, needle: str) -> Column:
-    """N2 against a needle already known to be truthy."""
-    return norm.contains(normalize_py(needle))
-
-
 # ---------------------------------------------------------------------------
 # rule builders: each returns (stage columns, raw result column)
 #
@@ -172,7 +162,7 @@ def _raw(kind: str, value_text="NULL", value_rows="NULL", value_blocks="NULL", l
          note: str | None = None) -> str:
     return (f"named_struct('kind', {sql_str(kind)}, 'value_text', CAST({value_text} AS STRING), "
             f"'value_rows', CAST({value_rows} AS {ROWS_T}), 'value_blocks', CAST({value_blocks} AS {VBLOCK_T}), "
-            f"'location', CAST({location} AS STRING), "
+            f"'value_ref', CAST(NULL AS {REF_T}), 'location', CAST({location} AS STRING), "
             f"'note', {sql_str(note) if note is not None else 'CAST(NULL AS STRING)'})")
 
 

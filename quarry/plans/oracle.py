@@ -135,24 +135,33 @@ def cell_sql(col: str, t: str) -> str:
     return f"CAST({col} AS VARCHAR)"
 
 
-def sheet_rows_sql(max_rows: int | None = 400, max_cols: int | None = 60) -> str:
+def sheet_rows_sql() -> str:
     parts = []
     for i, (name, key, cols) in enumerate(TPCH_SHEETS):
-        cols = cols[:max_cols]
         header = "[" + ", ".join(q(c) for c, _ in cols) + "]"
-        parts.append(f"SELECT {i} AS sheet_ord, {q(name)} AS sheet, 1 AS row_no, {header} AS cells")
+        parts.append(f"SELECT {i} AS sheet_ord, {q(name)} AS sheet, CAST(1 AS BIGINT) AS row_no, {header} AS cells")
         cells = "[" + ", ".join(f"coalesce({cell_sql(c, t)}, '')" for c, t in cols) + "]"
-        parts.append(f"SELECT {i}, {q(name)}, CAST({key} + 2 AS INTEGER), {cells} FROM {name}"
-                     + (f" WHERE {key} <= {max_rows - 2}" if max_rows else ""))
+        parts.append(f"SELECT {i}, {q(name)}, CAST({key} + 2 AS BIGINT), {cells} FROM {name}")
     return "\nUNION ALL\n".join(parts)
 
 
-WB_BLOCKS = f"""
+def norm_mid(x: str) -> str:
+    """N1 without the star at the end."""
+    s = x
+    for chars, to in ((NORMALISE_DASHES, "-"), (NORMALISE_SINGLE_QUOTES, "'"),
+                      (NORMALISE_DOUBLE_QUOTES, '"'), (NORMALISE_SPACES, " ")):
+        s = f"translate({s}, {q(chars)}, {q(to * len(chars))})"
+    return f"trim(regexp_replace(lower({s}), '{WS}+', ' ', 'g'))"
+
+
+# The sheets in long form: rows with their text and the next row's, and cells.
+WB_ROWS = f"""
 wb_rows AS ({sheet_rows_sql()}),
-wb_blocks AS (
-  SELECT 'tpch' AS project_id, 'tpch.xlsx' AS label, 'table' AS kind, CAST(NULL AS VARCHAR) AS text,
-         list(cells ORDER BY row_no) AS rows, sheet AS location, sheet_ord + 1 AS block_no
-  FROM wb_rows GROUP BY sheet_ord, sheet)"""
+wb_flat AS (SELECT *, {norm_mid("array_to_string(cells, ' ')")} AS flat FROM wb_rows),
+wb_next AS (SELECT *, lead(flat) OVER (PARTITION BY sheet_ord ORDER BY row_no) AS nxt FROM wb_flat),
+wb_ends AS (SELECT sheet_ord, max(row_no) AS n FROM wb_rows GROUP BY sheet_ord),
+wb_cells0 AS (SELECT sheet_ord, sheet, row_no, cells, unnest(cells) AS text, unnest(generate_series(1, len(cells))) AS col_no FROM wb_rows),
+wb_cells AS (SELECT *, {norm('text')} AS norm FROM wb_cells0)"""
 
 
 def blocks_ctes(collections=("doc", "conv", "wb")) -> str:
@@ -164,8 +173,7 @@ def blocks_ctes(collections=("doc", "conv", "wb")) -> str:
         parts.append(CONV_BLOCKS)
         unions.append("SELECT project_id, label, block_no, kind, text, rows, location FROM conv_blocks")
     if "wb" in collections:
-        parts.append(WB_BLOCKS)
-        unions.append("SELECT project_id, label, block_no, kind, text, rows, location FROM wb_blocks")
+        parts.append(WB_ROWS)
     if "page" in collections:
         parts.append(page_ctes())
         unions.append("SELECT project_id, label, block_no, kind, text, rows, location FROM page_blocks")
@@ -222,10 +230,127 @@ def first_row(sql: str, order: str) -> str:
             f"AS rn__ FROM ({sql})) WHERE rn__ = 1")
 
 
-def rule_raw_sql(rule) -> str:
-    """Per readable candidate file: label, kind, value, found, location, note."""
+def rule_raw_sql(rule, collections=("doc", "conv", "wb")) -> str:
+    """Per readable candidate file: label, kind, value, found, location, note, pv, value_ref, hit_row."""
+    files = f"SELECT *, CAST(NULL AS VARCHAR) AS value_ref, CAST(NULL AS BIGINT) AS hit_row FROM ({file_raw_sql(rule)})"
+    if "wb" not in collections or rule.match_key not in "tpch.xlsx":
+        return files
+    return f"{files} UNION ALL SELECT 'tpch', 'tpch.xlsx', kind, value, found, location, note, pv, value_ref, hit_row FROM ({wb_raw_sql(rule)})"
+
+
+def letters(n: int) -> str:
+    from quarry.functions.text import column_letters_py
+    return column_letters_py(n)
+
+
+def phrase_hit_sql(needle: str) -> str:
+    """The first row (sheet_ord, sheet, row_no) that holds a phrase, alone or with the start of the next row."""
+    p = normalize_py(needle)
+    test = f"contains(flat, {q(p)})"
+    for i, ch in enumerate(p):
+        if ch == " ":
+            test += f" OR (ends_with(flat, {q(p[:i])}) AND starts_with(nxt, {q(p[i + 1:])}))"
+    return f"SELECT sheet_ord, sheet, row_no FROM wb_next WHERE {test} ORDER BY sheet_ord, row_no LIMIT 1"
+
+
+def wb_raw_sql(rule) -> str:
+    """One row: what the rule gives on the workbook."""
+    none = "CAST(NULL AS VARCHAR)"
+
+    def miss(kind, note=None):
+        return (f"SELECT {q(kind)} AS kind, {none} AS value, false AS found, {none} AS location, "
+                f"{q(note) if note else none} AS note, {none} AS pv, {none} AS value_ref, CAST(NULL AS BIGINT) AS hit_row")
+
+    if rule.error is not None:
+        return miss("text", rule.error)
+    t = rule.type
+    if t == "sheet_cell":
+        return wb_cell_sql(rule)
+    if t == "between":
+        start, end = rule.p("start"), rule.p("end")
+        if not start or not end:
+            return miss("text")
+        v = strip_ws(f"regexp_extract(text, {between_pattern(start, end)}, 1)")
+        hit = (f"SELECT {v} AS v FROM wb_cells WHERE contains(norm, {q(normalize_py(start))}) AND contains(norm, "
+               f"{q(normalize_py(end))}) AND {v} <> '' ORDER BY sheet_ord, row_no, col_no LIMIT 1")
+        return (f"SELECT 'text' AS kind, (SELECT v FROM ({hit})) AS value, (SELECT v FROM ({hit})) IS NOT NULL AS found, "
+                f"CASE WHEN (SELECT v FROM ({hit})) IS NOT NULL THEN (SELECT sheet FROM ({phrase_hit_sql(start)})) END AS location, "
+                f"{none} AS note, (SELECT v FROM ({hit})) AS pv, {none} AS value_ref, CAST(NULL AS BIGINT) AS hit_row")
+    if t == "right_of":
+        label = rule.p("label")
+        if not label:
+            return miss("text")
+        strip_cls = "".join({"\t": "\\t", "\r": "\\r", "\n": "\\n"}.get(ch, ch) for ch in AFTER_LABEL_STRIP)
+        same = (f"nullif(regexp_replace(regexp_extract(text, {re2(loose_pattern(label) + '((?s:.*))', 'i')}, 1), "
+                f"'^[{strip_cls}]+|[{strip_cls}]+$', '', 'g'), '')")
+        right = f"list_filter(list_slice(cells, col_no + 1, len(cells)), lambda c: {strip_ws('c')} <> '')[1]"
+        hit = (f"SELECT sheet, coalesce({strip_ws(right)}, {same}, '') AS v FROM wb_cells WHERE contains(norm, {q(normalize_py(label))}) "
+               f"ORDER BY sheet_ord, row_no, col_no LIMIT 1")
+        return (f"SELECT 'text' AS kind, h.v AS value, coalesce(h.v <> '', false) AS found, h.sheet AS location, {none} AS note, "
+                f"h.v AS pv, {none} AS value_ref, CAST(NULL AS BIGINT) AS hit_row FROM (SELECT 1) LEFT JOIN ({hit}) h ON true")
+    key = "keyword" if t == "around_keywords" else "contains"
+    kind = "block" if t == "around_keywords" else "table"
+    if not rule.p(key):
+        return miss(kind)
+    width = "[" + ", ".join(q(letters(len(cols))) for _, _, cols in TPCH_SHEETS) + "]"
+    head = "[" + ", ".join(q(" / ".join(c for c, _ in cols)) for _, _, cols in TPCH_SHEETS) + "]"
+    return (f"SELECT CASE WHEN h.sheet IS NULL THEN {q(kind)} ELSE 'table' END AS kind, {none} AS value, h.sheet IS NOT NULL AS found, "
+            f"h.sheet AS location, {none} AS note, {head}[h.sheet_ord + 1] AS pv, "
+            f"h.sheet || '!A1:' || {width}[h.sheet_ord + 1] || e.n AS value_ref, h.row_no AS hit_row "
+            f"FROM (SELECT 1) LEFT JOIN ({phrase_hit_sql(rule.p(key))}) h ON true LEFT JOIN wb_ends e ON e.sheet_ord = h.sheet_ord")
+
+
+def rect_sql(rule):
+    """(sheet_ord, first row, first column, last row or None for the sheet's, last column) of a range."""
+    want = (rule.p("sheet") or "").strip().lower()
+    o = next((i for i, s in enumerate(TPCH_SHEETS) if s[0] == want), None)
+    if o is None or rule.sheet_ref[0] != "range":
+        return None
+    r1, c1, r2, c2 = rule.sheet_ref[1:]
+    r1, r2 = (1, None) if r1 is None else (min(r1, r2), max(r1, r2))
+    c1, c2 = (1, len(TPCH_SHEETS[o][2])) if c1 is None else (min(c1, c2), max(c1, c2))
+    return o, r1, c1, r2, c2
+
+
+def wb_cell_sql(rule) -> str:
+    name = rule.p("sheet")
+    ref = (rule.params.get("cell", "") or "").strip()
+    kind = "table" if ":" in ref else "text"
+    want = (name or "").strip().lower()
+    o = next((i for i, s in enumerate(TPCH_SHEETS) if s[0] == want), None)
+    none = "CAST(NULL AS VARCHAR)"
+    tail = f"{none} AS pv, {none} AS value_ref, CAST(NULL AS BIGINT) AS hit_row"
+    if o is None:
+        note = f"No tab named '{name}'. Tabs found: {', '.join(s[0] for s in TPCH_SHEETS)}."
+        loc = q(f"{name}!{ref}") if kind == "table" else none
+        return f"SELECT {q(kind)} AS kind, {none} AS value, false AS found, {loc} AS location, {q(note)} AS note, {tail}"
+    loc = q(f"{name}!{ref}")
+    if rule.sheet_ref[0] == "bad":
+        return f"SELECT {q(kind)} AS kind, {none} AS value, false AS found, {loc} AS location, {q(rule.sheet_ref[1])} AS note, {tail}"
+    if rule.sheet_ref[0] == "cell":
+        r, c = rule.sheet_ref[1:]
+        # an empty cell of a record is null, "" in the sheet's text: no driver table has one
+        v = f"(SELECT cells[{c}] FROM wb_rows WHERE sheet_ord = {o} AND row_no = {r})"
+        note = (f"Cell {ref} on '{name}' is empty, or holds a formula whose result was never saved "
+                f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
+        return (f"SELECT 'text' AS kind, {v} AS value, coalesce({v} <> '', false) AS found, {loc} AS location, "
+                f"CASE WHEN {v} IS NULL THEN {q(note)} END AS note, {v} AS pv, {none} AS value_ref, CAST(NULL AS BIGINT) AS hit_row")
+    o, r1, c1, r2, c2 = rect_sql(rule)
+    n = f"(SELECT n FROM wb_ends WHERE sheet_ord = {o})"
+    cut = f"list_slice(cells, {c1}, {c2})"
+    inside = f"FROM wb_rows WHERE sheet_ord = {o} AND row_no BETWEEN {r1} AND {r2 if r2 is not None else n}"
+    ok = f"coalesce((SELECT bool_or(len(list_filter({cut}, lambda c: trim(c) <> '')) > 0) {inside}), false)"
+    note = f"Range {ref} on '{name}' is empty, or holds formulas whose results were never saved by Excel."
+    pv = f"(SELECT array_to_string({cut}, ' / ') {inside} AND row_no = {r1})"
+    address = f"{q(f'{TPCH_SHEETS[o][0]}!{letters(c1)}{r1}:{letters(c2)}')} || {r2 if r2 is not None else n}"
+    return (f"SELECT 'table' AS kind, {none} AS value, {ok} AS found, {loc} AS location, CASE WHEN NOT {ok} THEN {q(note)} END AS note, "
+            f"{pv} AS pv, CASE WHEN {ok} THEN {address} END AS value_ref, CAST(NULL AS BIGINT) AS hit_row")
+
+
+def file_raw_sql(rule) -> str:
+    """What a rule gives on the files other than the workbook."""
     n = rule.rule_no
-    base = f"SELECT f.project_id, f.label FROM FILES f WHERE f.problem IS NULL AND {cand_sql(rule)}"
+    base = f"SELECT f.project_id, f.label FROM FILES f WHERE f.problem IS NULL AND f.label <> 'tpch.xlsx' AND {cand_sql(rule)}"
     none = (f"SELECT project_id, label, 'text' AS kind, CAST(NULL AS VARCHAR) AS value, false AS found, "
             f"CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS VARCHAR) AS pv "
             f"FROM ({base})")
@@ -340,69 +465,13 @@ SELECT c.project_id, c.label,
 FROM ({base}) c LEFT JOIN ({tab}) t ON t.label = c.label
 LEFT JOIN w{n} w ON w.label = c.label LEFT JOIN hl{n} hl ON hl.label = c.label"""
     if t == "sheet_cell":
-        return sheet_cell_sql(rule, base)
+        return miss("text", "This rule only applies to spreadsheet files.")
     raise ValueError(t)
 
 
-def sheet_cell_sql(rule, base: str) -> str:
-    sheet_name = rule.p("sheet")
-    ref = (rule.params.get("cell", "") or "").strip()
-    is_range = ":" in ref
-    loc = f"{sheet_name}!{ref}"
-    non_wb = (f"SELECT project_id, label, 'text' AS kind, CAST(NULL AS VARCHAR) AS value, false AS found, "
-              f"CAST(NULL AS VARCHAR) AS location, 'This rule only applies to spreadsheet files.' AS note, "
-              f"CAST(NULL AS VARCHAR) AS pv FROM ({base}) WHERE label NOT LIKE '%.xlsx'")
-    want = (sheet_name or "").strip().lower()
-    sheet = next((s for s in TPCH_SHEETS if s[0].strip().lower() == want), None)
-    wb = f"SELECT project_id, label FROM ({base}) WHERE label LIKE '%.xlsx'"
-    kind = "table" if is_range else "text"
-    if sheet is None:
-        names = ", ".join(s[0] for s in TPCH_SHEETS)
-        note = f"No tab named '{sheet_name}'. Tabs found: {names}."
-        w = (f"SELECT project_id, label, {q(kind)}, CAST(NULL AS VARCHAR), false, "
-             f"{q(loc) if is_range else 'CAST(NULL AS VARCHAR)'}, {q(note)}, CAST(NULL AS VARCHAR) FROM ({wb})")
-        return non_wb + " UNION ALL " + w
-    spec = rule.sheet_ref
-    name, key, cols = sheet
-    if spec[0] == "bad":
-        w = (f"SELECT project_id, label, {q(kind)}, CAST(NULL AS VARCHAR), false, {q(loc)}, {q(spec[1])}, "
-             f"CAST(NULL AS VARCHAR) FROM ({wb})")
-        return non_wb + " UNION ALL " + w
-
-    def cell_expr(r, c):
-        if c > len(cols):
-            return "CAST(NULL AS VARCHAR)"
-        if r == 1:
-            return q(cols[c - 1][0])
-        col, t = cols[c - 1]
-        return f"(SELECT {cell_sql(col, t)} FROM {name} WHERE {key} = {r - 2})"
-
-    if spec[0] == "cell":
-        r, c = spec[1], spec[2]
-        note = (f"Cell {ref} on '{sheet_name}' is empty, or holds a formula whose result was never saved "
-                f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
-        v = cell_expr(r, c)
-        w = (f"SELECT project_id, label, 'text', {v}, coalesce({v} <> '', false), {q(loc)}, "
-             f"CASE WHEN {v} IS NULL THEN {q(note)} END, {v} FROM ({wb})")
-        return non_wb + " UNION ALL " + w
-    r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
-    r1, r2 = min(r1, r2), max(r1, r2)
-    c1, c2 = min(c1, c2), max(c1, c2)
-    rows = []
-    for r in range(r1, r2 + 1):
-        rows.append("[" + ", ".join(f"coalesce({cell_expr(r, c)}, '')" for c in range(c1, c2 + 1)) + "]")
-    grid = "[" + ", ".join(rows) + "]"
-    note = f"Range {ref} on '{sheet_name}' is empty, or holds formulas whose results were never saved by Excel."
-    blank = f"NOT list_bool_or(list_transform(flatten({grid}), lambda v: trim(v) <> ''))"
-    w = (f"SELECT project_id, label, 'table', CASE WHEN {blank} THEN NULL ELSE {render_rows(grid)} END, "
-         f"NOT ({blank}), {q(loc)}, CASE WHEN {blank} THEN {q(note)} END, "
-         f"array_to_string({rows[0]}, ' / ') FROM ({wb})")
-    return non_wb + " UNION ALL " + w
-
-
-def per_file_sql(rule) -> str:
+def per_file_sql(rule, collections=("doc", "conv", "wb")) -> str:
     """P5-P8 on one rule's raw rows."""
-    raw = rule_raw_sql(rule)
+    raw = rule_raw_sql(rule, collections)
     if rule.default and rule.error is None:
         return f"""
 SELECT project_id, label, {rule.rule_no} AS rule_no,
@@ -413,19 +482,19 @@ SELECT project_id, label, {rule.rule_no} AS rule_no,
        WHEN location IS NOT NULL AND location <> '' THEN label || ' — ' || location ELSE label END AS citation,
   CASE WHEN found THEN note ELSE 'Nothing found; the rule''s default value was used.' END AS note,
   CASE WHEN found THEN location END AS location,
-  CASE WHEN found THEN pv ELSE {q(rule.default)} END AS pv
+  CASE WHEN found THEN pv ELSE {q(rule.default)} END AS pv, value_ref, hit_row
 FROM ({raw})"""
     return f"""
 SELECT project_id, label, {rule.rule_no} AS rule_no, kind,
   CASE WHEN found THEN value END AS value, found,
   CASE WHEN found AND location IS NOT NULL AND location <> '' THEN label || ' — ' || location ELSE label END AS citation,
-  note, location, CASE WHEN found THEN pv END AS pv
+  note, location, CASE WHEN found THEN pv END AS pv, value_ref, hit_row
 FROM ({raw})"""
 
 
 def file_records_sql(ruleset: dict, collections=("doc", "conv", "wb")) -> str:
     rules = compile_ruleset(ruleset)
-    body = "\nUNION ALL\n".join(f"SELECT * FROM ({per_file_sql(r)})" for r in rules)
+    body = "\nUNION ALL\n".join(f"SELECT * FROM ({per_file_sql(r, collections)})" for r in rules)
     return f"WITH {blocks_ctes(collections)},\nPF AS ({body})"
 
 
@@ -457,7 +526,7 @@ SELECT c.project_id, c.rule_no,
   CASE WHEN c.n_cand = 0 THEN 'No uploaded file name contains ''' || m.match || '''.'
        WHEN b.label IS NULL THEN 'The matching file could not be read.' ELSE b.note END AS note,
   CASE WHEN b.label IS NULL THEN m.raw_type ELSE m.rule_type END AS rule_type,
-  b.label AS file_label, b.pv AS pv
+  b.label AS file_label, b.pv AS pv, b.value_ref AS value_ref, b.hit_row AS hit_row
 FROM CANDS c JOIN META m ON m.rule_no = c.rule_no
 LEFT JOIN BEST b ON b.project_id = c.project_id AND b.rule_no = c.rule_no)"""
 
@@ -482,22 +551,37 @@ def anchor_hits_sql() -> str:
     return f"WITH {blocks_ctes(('doc',))}\n" + "\nUNION ALL\n".join(parts)
 
 
+def anchor_scan_sql() -> str:
+    from quarry.plans.queries import MANY_ANCHORS
+    return f"""WITH {blocks_ctes(('doc',))},
+AW AS (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n]+'), lambda x: x <> '') AS w FROM benchmark),
+AR AS (SELECT item_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS a
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM AW)),
+AF AS (SELECT a, row_number() OVER (ORDER BY k, i) - 1 AS anchor_no
+       FROM (SELECT a, min(item_id) AS k, arg_min(i, (item_id, i)) AS i FROM AR WHERE a <> '' GROUP BY a)
+       QUALIFY anchor_no < {MANY_ANCHORS}),
+AN AS (SELECT CAST(anchor_no AS BIGINT) AS anchor_no, {norm('a')} AS needle FROM AF)
+SELECT label, anchor_no, arg_min(location, block_no) AS first_location, count(*) AS n_blocks
+FROM B JOIN AN ON contains(B.norm, AN.needle) GROUP BY label, anchor_no"""
+
+
 def all_oracles() -> dict[str, str]:
     from quarry.fixtures import CORPUS_RULESET
     from quarry.plans import queries as Q
     rec = records_sql(CORPUS_RULESET)
-    pf = ("\nSELECT project_id, label, CAST(rule_no AS BIGINT) AS rule_no, kind, value, found, citation, note "
+    pf = ("\nSELECT project_id, label, CAST(rule_no AS BIGINT) AS rule_no, kind, value, value_ref, found, citation, note "
           "FROM PF")
     return {
         "blocks_text": _flat_blocks(DOC_BLOCKS, "doc_blocks"),
         "blocks_slides": _flat_blocks(CONV_BLOCKS, "conv_blocks"),
         "sheet_blocks": f"""WITH wb_rows AS ({sheet_rows_sql()})
-SELECT 'tpch.xlsx' AS label, sheet, CAST(sheet_ord + 1 AS BIGINT) AS block_no, CAST(row_no AS BIGINT) AS row_no,
+SELECT 'tpch.xlsx' AS label, sheet, CAST(sheet_ord + 1 AS BIGINT) AS block_no, row_no,
   array_to_string(cells, ' | ') AS cells FROM wb_rows""",
         "normalize_units": f"""WITH {blocks_ctes(('doc',))}
 SELECT label, CAST(block_no AS BIGINT) AS block_no, CAST(row_no AS BIGINT) AS row_no,
   CAST(col_no AS BIGINT) AS col_no, norm FROM U""",
         "anchor_hits": anchor_hits_sql(),
+        "anchor_scan": anchor_scan_sql(),
         "rules_between": file_records_sql(Q.BETWEEN_RULES) + pf,
         "rules_right_of": file_records_sql(Q.RIGHT_OF_RULES) + pf,
         "rules_around": file_records_sql(Q.AROUND_RULES) + pf,
@@ -505,7 +589,11 @@ SELECT label, CAST(block_no AS BIGINT) AS block_no, CAST(row_no AS BIGINT) AS ro
         "rules_sheet_cell": file_records_sql(Q.SHEET_RULES) + pf,
         "apply_ruleset": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, kind, found, citation, note, rule_type,
-  file_label, value FROM RECORDS""",
+  file_label, value, value_ref FROM RECORDS""",
+        "rules_sheets_deep": records_sql(Q.DEEP_RULES, ("doc", "wb")) + """
+SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, kind, found, citation, note, rule_type,
+  file_label, value, value_ref, coalesce(hit_row, 0) AS hit_row FROM RECORDS WHERE project_id = 'tpch'""",
+        "sheet_values": sheet_values_sql(),
         "missing_fields": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name FROM RECORDS WHERE NOT found""",
         "flagged_fields": rec + """
@@ -559,13 +647,15 @@ USED AS (SELECT DISTINCT project_id, text AS name FROM FLDS),
 REST AS (SELECT r.project_id, CAST({LEFTOVER_BASE} + r.rule_no AS BIGINT), 'field', r.name, CAST(r.rule_no AS BIGINT)
          FROM RECORDS r WHERE NOT EXISTS (SELECT 1 FROM USED u WHERE u.project_id = r.project_id AND u.name = r.name))
 SELECT * FROM HEADS UNION ALL SELECT * FROM FLDS UNION ALL SELECT * FROM REST""",
-        "coverage": file_records_sql(CORPUS_RULESET) + """
-SELECT *, hits / files_tried AS hit_rate FROM (SELECT project_id, CAST(coalesce(rule_no, -1) AS BIGINT) AS rule_no, count(*) AS files_tried,
+        "coverage": file_records_sql(CORPUS_RULESET) + f"""
+SELECT *, hits / files_tried AS hit_rate FROM (SELECT project_id, rule_type, CAST(coalesce(rule_no, -1) AS BIGINT) AS rule_no,
+  count(*) AS files_tried,
   count(*) FILTER (WHERE found AND coalesce(note, '') <> 'Nothing found; the rule''s default value was used.') AS hits,
   count(*) FILTER (WHERE found AND coalesce(note, '') = 'Nothing found; the rule''s default value was used.') AS defaults,
   count(*) FILTER (WHERE NOT found) AS misses,
-  CAST(GROUPING(project_id, rule_no) AS BIGINT) AS level
-FROM PF GROUP BY ROLLUP (project_id, rule_no))""",
+  CAST(GROUPING(project_id, rule_type, rule_no) AS BIGINT) AS level
+FROM (SELECT *, CASE rule_no {' '.join(f"WHEN {r.rule_no} THEN {q(r.type)}" for r in rules)} END AS rule_type FROM PF)
+GROUP BY GROUPING SETS ((project_id, rule_type, rule_no), (project_id, rule_type), (project_id), (rule_type), ()))""",
         "manifest_fields": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, rule_type AS rule, found, citation FROM RECORDS""",
         "file_fingerprint": """
@@ -711,13 +801,36 @@ WHERE NOT EXISTS (SELECT 1 FROM ALLOWED a WHERE a.ext = lower(regexp_extract(c.l
 
 def sheet_rows_containing_sql() -> str:
     from quarry.plans import queries as Q
-    rows = sheet_rows_sql(max_rows=None, max_cols=None)
+    rows = sheet_rows_sql()
     wanted = ", ".join(f"({q(p)}, {q(normalize_py(p))})" for p in Q.SHEET_PHRASES)
     return f"""WITH r AS ({rows}), w(phrase, norm) AS (VALUES {wanted})
 SELECT phrase, sheet, CAST(row_no AS BIGINT) AS row_no, array_to_string(cells, ' | ') AS cells
 FROM r JOIN w ON len(list_filter(cells, lambda c: contains(lower(trim(c)), norm))) > 0"""
 
 
+def sheet_values_sql() -> str:
+    """Rows of the tables that the deep rules give, each rule by itself."""
+    from quarry.plans.queries import DEEP_RULES
+    parts = []
+    for r in compile_ruleset(DEEP_RULES):
+        head = f"SELECT CAST({r.rule_no} AS BIGINT) AS rule_no, "
+        if r.type in ("around_keywords", "table_contains"):
+            needle = r.p("keyword" if r.type == "around_keywords" else "contains")
+            parts.append(f"{head}w.sheet, w.row_no, w.row_no BETWEEN h.row_no - ({r.before}) AND h.row_no + ({r.after}) AS near, "
+                         f"array_to_string(w.cells, ' | ') AS cells FROM wb_rows w JOIN ({phrase_hit_sql(needle)}) h ON w.sheet_ord = h.sheet_ord")
+        elif r.type == "sheet_cell" and rect_sql(r):
+            o, r1, c1, r2, c2 = rect_sql(r)
+            ends = f"(SELECT n FROM wb_ends WHERE sheet_ord = {o})" if r2 is None else str(r2)
+            cells = "[" + ", ".join(f"coalesce(w.cells[{c}], '')" for c in range(c1, c2 + 1)) + "]"
+            cut = f"list_slice(cells, {c1}, {c2})"
+            parts.append(f"{head}{q(TPCH_SHEETS[o][0])}, s.i, false, array_to_string({cells}, ' | ') "
+                         f"FROM (SELECT unnest(generate_series({r1}, {ends})) AS i) s "
+                         f"LEFT JOIN (SELECT * FROM wb_rows WHERE sheet_ord = {o}) w ON w.row_no = s.i "
+                         f"WHERE EXISTS (SELECT 1 FROM wb_rows WHERE sheet_ord = {o} AND row_no BETWEEN {r1} AND {ends} "
+                         f"AND len(list_filter({cut}, lambda c: trim(c) <> '')) > 0)")
+    return f"WITH {WB_ROWS}\n" + "\nUNION ALL\n".join(parts)
+
+
 def sheet_grid_sql(max_rows: int = 60, max_cols: int = 30) -> str:
     from quarry.functions.text import column_letters_py
     parts = []

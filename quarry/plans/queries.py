@@ -3,16 +3,16 @@ DataFrame whose columns match its DuckDB oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.fixtures import CORPUS_RULESET
-from quarry.functions.text import preview, render_value
+from quarry.functions.text import column_letters, preview, render_value
 from quarry.operators import rules as R
 from quarry.operators.compile import compile_ruleset
 from quarry.plans import run as RUN
 from quarry.sources import corpus as C
-from quarry.sources.sheets import Workbook
+from quarry.sources.sheets import WORKBOOK_LABEL, Workbook
 
 
 def flagship_corpus(spark: SparkSession, sf_dir: str) -> RUN.Corpus:
@@ -43,12 +43,10 @@ def blocks_html(spark, sf_dir):
 
 
 def sheet_blocks(spark, sf_dir):
-    wb = Workbook(spark, sf_dir)
-    b = wb.blocks().select("label", F.explode_outer("blocks").alias("b")).filter(F.col("b").isNotNull())
-    return b.select("label", F.col("b.location").alias("sheet"), F.col("b.block_no").cast("bigint").alias("block_no"),
-                    F.posexplode_outer("b.rows").alias("i", "r")).filter(F.col("r").isNotNull()).select(
-        "label", "sheet", "block_no", (F.col("i") + 1).cast("bigint").alias("row_no"),
-        F.array_join("r", " | ").alias("cells"))
+    """All rows of all sheets."""
+    return Workbook(spark, sf_dir).all_rows().select(
+        F.lit(WORKBOOK_LABEL).alias("label"), "sheet", (F.col("sheet_ord") + 1).cast("bigint").alias("block_no"), "row_no",
+        F.array_join("cells", " | ").alias("cells"))
 
 
 # Phrases sought in whole sheets: a name far down a sheet, a value of many
@@ -101,20 +99,38 @@ def anchor_hits(spark, sf_dir):
     return p.select("label", F.inline_outer(per_anchor)).filter("n_blocks > 0")
 
 
+# How many phrases of the benchmark are sought at once.
+MANY_ANCHORS = 1000
+
+
+def anchor_scan(spark, sf_dir, many: int = MANY_ANCHORS):
+    """R0/N2 with a thousand anchors as data: phrases of the benchmark in the documents."""
+    from quarry.operators import anchors as A
+    wanted = A.phrases(C.read_table(spark, sf_dir, "benchmark"), "item_id", "text", many)
+    return A.scan(C.documents_files(spark, sf_dir), wanted).select("label", "anchor_no", "first_location", "n_blocks")
+
+
+def ref_text(ref: Column) -> Column:
+    """A reference as an address: sheet!A1:C7."""
+    def at(row, col):
+        return F.concat(column_letters(col), row.cast("string"))
+    return F.concat(ref["sheet"], F.lit("!"), at(ref["row_lo"], ref["col_lo"]), F.lit(":"), at(ref["row_hi"], ref["col_hi"]))
+
+
 def _records_out(df: DataFrame) -> DataFrame:
     return df.select(
         "project_id", F.col("rule_no").cast("bigint").alias("rule_no"), "name", "kind", "found", "citation", "note",
-        "rule_type", "file_label",
+        "rule_type", "file_label", ref_text(F.col("value_ref")).alias("value_ref"),
         F.when(F.col("found"), render_value(F.col("kind"), F.col("value_text"), F.col("value_rows"),
                                            F.col("value_blocks"))).alias("value"))
 
 
-def records(spark, sf_dir, ruleset=CORPUS_RULESET, materialize: bool = False) -> DataFrame:
+def records(spark, sf_dir, ruleset=CORPUS_RULESET, materialize: bool = False, corpus_fn=flagship_corpus) -> DataFrame:
     """The run's records. Reports read them several times, so they ask for
     a materialised copy: a reliable checkpoint in the shared checkpoint
     folder (one row per project and rule, so small), which also cuts the
     lineage back to the corpus scan."""
-    recs = RUN.run_ruleset(spark, flagship_corpus(spark, sf_dir), ruleset)
+    recs = RUN.run_ruleset(spark, corpus_fn(spark, sf_dir), ruleset)
     if materialize:
         from quarry.session import checkpoint_dir
         checkpoint_dir(spark)
@@ -127,18 +143,12 @@ def apply_ruleset(spark, sf_dir):
 
 
 def per_file(spark, sf_dir, ruleset, corpus_fn=flagship_corpus) -> DataFrame:
-    corpus = corpus_fn(spark, sf_dir)
-    rules = compile_ruleset(ruleset)
-    pf = RUN.file_records(corpus.all_files(), rules)
-    sheets = RUN.sheet_records(spark, corpus.workbooks, rules)
-    if sheets is not None:
-        pf = pf.unionByName(sheets)
-    pf = pf.filter(F.col("rec").isNotNull())
+    pf = RUN.corpus_file_records(spark, corpus_fn(spark, sf_dir), compile_ruleset(ruleset)).filter(F.col("rec").isNotNull())
     r = F.col("rec")
     return pf.select(
         "project_id", "label", F.col("rule_no").cast("bigint").alias("rule_no"), r["kind"].alias("kind"),
         F.when(r["found"], render_value(r["kind"], r["value_text"], r["value_rows"], r["value_blocks"])).alias("value"),
-        r["found"].alias("found"), r["citation"].alias("citation"), r["note"].alias("note"))
+        ref_text(r["value_ref"]).alias("value_ref"), r["found"].alias("found"), r["citation"].alias("citation"), r["note"].alias("note"))
 
 
 def _rs(*fields):
@@ -201,6 +211,45 @@ def rules_sheet_cell(spark, sf_dir):
     return per_file(spark, sf_dir, SHEET_RULES)
 
 
+# Rules whose hits lie far down the sheets (no row of `orders` above 400 has
+# these dates), over cells and over the border of two rows, and rectangles of all kinds.
+DEEP_RULES = _rs(
+    {"name": "date and priority", "type": "around_keywords", "match": "tpch",
+     "params": {"keyword": "2000-10-08 00:00:00 2-HIGH", "before": 2, "after": 1}},
+    {"name": "date", "type": "table_contains", "match": "xlsx", "params": {"contains": "1998-03-01"}},
+    {"name": "its priority", "type": "right_of", "match": "", "params": {"label": "1998-03-01"}},
+    {"name": "over two rows", "type": "table_contains", "match": "xlsx", "params": {"contains": "Specified 770"}},
+    {"name": "customer", "type": "between", "match": "xlsx", "params": {"start": "Customer#", "end": "149"}},
+    {"name": "many cells", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "orders", "cell": "F16700:A1"}},
+    {"name": "whole column", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "part", "cell": "B:B"}},
+    {"name": "whole rows", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "supplier", "cell": "2:4"}},
+    {"name": "deep cell", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "orders", "cell": "D1200"}},
+    {"name": "beyond", "type": "sheet_cell", "match": "xlsx", "params": {"sheet": "region", "cell": "AAAA9:AAAB2000000"}},
+    {"name": "nowhere", "type": "table_contains", "match": "xlsx", "default": "none", "params": {"contains": "no such phrase"}},
+)
+
+
+def workbook_corpus(spark, sf_dir) -> RUN.Corpus:
+    return RUN.Corpus(C.documents_files(spark, sf_dir), [Workbook(spark, sf_dir)])
+
+
+def rules_sheets_deep(spark, sf_dir):
+    """R0-R5 on whole sheets: records with references to their tables."""
+    recs = records(spark, sf_dir, DEEP_RULES, corpus_fn=workbook_corpus).filter("project_id = 'tpch'")
+    return _records_out(recs).join(recs.select("project_id", "rule_no", F.coalesce("value_ref.hit_row", F.lit(0)).cast("bigint").alias("hit_row")),
+                                   ["project_id", "rule_no"])
+
+
+def sheet_values(spark, sf_dir):
+    """The rows behind all references of the deep rules."""
+    rules = compile_ruleset(DEEP_RULES)
+    corpus = workbook_corpus(spark, sf_dir)
+    around = spark.createDataFrame([(r.rule_no, r.before, r.after) for r in rules], "rule_no int, before int, after int")
+    recs = RUN.run_ruleset(spark, corpus, DEEP_RULES).join(F.broadcast(around), "rule_no")  # one row a rule
+    return RUN.sheet_values(corpus, recs).select(
+        F.col("rule_no").cast("bigint").alias("rule_no"), "sheet", "row_no", "near", F.array_join("cells", " | ").alias("cells"))
+
+
 def missing_fields(spark, sf_dir):
     """Names not found, per project, with their rule order."""
     r = records(spark, sf_dir)
@@ -223,7 +272,8 @@ def result_rows(spark, sf_dir):
     r = records(spark, sf_dir)
     return r.select("project_id", F.col("rule_no").cast("bigint").alias("rule_no"), "name", "found",
                     "citation", "note",
-                    preview(F.col("found"), F.col("kind"), F.col("value_text"), F.col("value_rows"),
+                    preview(F.col("found"), F.col("kind"), F.col("value_text"),
+                            F.coalesce(F.col("value_rows"), F.array("value_ref.head")),
                             F.col("value_blocks")).alias("preview"))
 
 
@@ -244,12 +294,9 @@ def template_order(spark, sf_dir):
 
 
 def coverage(spark, sf_dir):
-    corpus = flagship_corpus(spark, sf_dir)
-    rules = compile_ruleset(CORPUS_RULESET)
-    pf = RUN.file_records(corpus.all_files(), rules)
-    pf = pf.unionByName(RUN.sheet_records(spark, corpus.workbooks, rules))
-    return REP.coverage(pf).select("project_id", F.coalesce(F.col("rule_no"), F.lit(-1)).cast("bigint").alias("rule_no"),
-                                   "files_tried", "hits", "defaults", "misses", "level", "hit_rate")
+    pf = RUN.corpus_file_records(spark, flagship_corpus(spark, sf_dir), compile_ruleset(CORPUS_RULESET))
+    return REP.coverage(pf, compile_ruleset(CORPUS_RULESET)).select(
+        "project_id", "rule_type", F.coalesce(F.col("rule_no"), F.lit(-1)).cast("bigint").alias("rule_no"), "files_tried", "hits", "defaults", "misses", "level", "hit_rate")
 
 
 def manifest_fields(spark, sf_dir):

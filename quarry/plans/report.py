@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import md_table
+from quarry.operators.compile import Rule
 from quarry.plans.run import DEFAULT_NOTE
 
 # Report wording.
@@ -57,18 +58,23 @@ def template_order(records: DataFrame, template: dict | None) -> DataFrame:
     return heads.unionByName(fields).unionByName(rest)
 
 
-def coverage(per_file: DataFrame) -> DataFrame:
-    """Per rule and project, with subtotals per project and overall:
-    readable candidate files tried, real hits, defaults used, misses and the
-    share of files with a real hit."""
+def coverage(per_file: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Readable candidate files tried, real hits, defaults used, misses
+    and the share of files with a real hit, per project and rule, with
+    subtotals per project and rule type, per project, per type and overall: grouping sets of
+    one aggregate. ``level`` is the grouping id of (project, type, rule): 0, 1, 3, 5, 7."""
     r = F.col("rec")
-    pf = per_file.filter(r.isNotNull())
-    is_default = r["found"] & (F.coalesce(r["note"], F.lit("")) == DEFAULT_NOTE)
-    return pf.rollup("project_id", "rule_no").agg(
+    types = F.create_map(*[F.lit(x) for rule in rules for x in (rule.rule_no, rule.type)])
+    pf = per_file.filter(r.isNotNull()).select(
+        "project_id", types[F.col("rule_no")].alias("rule_type"), "rule_no", r["found"].alias("found"),
+        (r["found"] & (F.coalesce(r["note"], F.lit("")) == DEFAULT_NOTE)).alias("is_default"))
+    keys = [F.col(c) for c in ("project_id", "rule_type", "rule_no")]
+    project, rtype, _ = keys
+    return pf.groupingSets([keys, [project, rtype], [project], [rtype], []], *keys).agg(
         F.count("*").alias("files_tried"),
-        F.count_if(r["found"] & ~is_default).alias("hits"),
-        F.count_if(is_default).alias("defaults"),
-        F.count_if(~r["found"]).alias("misses"),
+        F.count_if(F.col("found") & ~F.col("is_default")).alias("hits"),
+        F.count_if("is_default").alias("defaults"),
+        F.count_if(~F.col("found")).alias("misses"),
         F.grouping_id().cast("bigint").alias("level")) \
         .withColumn("hit_rate", F.col("hits") / F.col("files_tried"))
 

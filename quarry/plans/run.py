@@ -5,16 +5,19 @@ Plan shape (P1-P8):
 1. one narrow pass over the file rows: every rule is a column expression,
    guarded by its candidate test (P1), so each file yields one small record
    per rule, and nothing but these records leaves the scan stage;
-2. one aggregation on (project, rule) with ``min_by(record, (not found,
-   label))``: the first found record in label order, else the first readable
-   candidate's miss (P2). It is partial (map-side) aggregation, so a project
-   holding a third of all files still shuffles one row per task and rule;
-3. the final projection turns empty groups into P3 and all-unreadable ones
+2. one aggregation on (project, rule) of ``min((not found, label))``: the
+   first found record in label order, else the first readable candidate's
+   miss (P2). It ranks flags and labels only, no value, and it is partial
+   (map-side), so a project holding a third of all files still shuffles one
+   row per task and rule;
+3. the winners (one row per project and rule) are stored; the files among
+   them, and no others, are read once more and give the winning records;
+4. the final projection turns empty groups into P3 and all-unreadable ones
    into P4 records, and attaches the rule's names from a literal table whose
    size is the rule set's.
 
-Sheet rules on workbooks (R5) read the cell rectangle each rule names and
-join the result in as extra per-file records before step 2.
+Workbooks have no bound, so their rules work on rows in long form
+(``operators.sheet_rules``) and add one small record per rule.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import rules as R
-from quarry.operators.compile import Rule, compile_ruleset
+from quarry.operators.compile import Rule, compile_rule, compile_ruleset
 from quarry.sources.sheets import Workbook
 
 # Texts of the records the run writes itself.
@@ -37,7 +40,7 @@ UNREADABLE_NOTE = "The matching file could not be read."
 FILE_REC_T = (
     "struct<found:boolean,kind:string,value_text:string,value_rows:array<array<string>>,"
     "value_blocks:array<struct<block_no:int,kind:string,text:string,rows:array<array<string>>>>,"
-    "location:string,citation:string,note:string>")
+    f"value_ref:{R.REF_T},location:string,citation:string,note:string>")
 
 
 @dataclass
@@ -50,14 +53,13 @@ class Corpus:
     cell_books: tuple | None = None
 
     def all_files(self) -> DataFrame:
+        """The files whose blocks are in their row; relational workbooks are not among them."""
         cols = ["project_id", "label", "ext", "problem", "blocks"]
-        out = self.files.select(*cols, "nfkc") if "nfkc" in self.files.columns else \
+        return self.files.select(*cols, "nfkc") if "nfkc" in self.files.columns else \
             self.files.select(*cols, F.lit(None).cast("boolean").alias("nfkc"))
-        for wb in self.workbooks:
-            b = wb.blocks()
-            out = out.unionByName(b.select(*cols, F.exists("blocks", lambda x: F.exists(
-                F.flatten(x["rows"]), R.needs_nfkc)).alias("nfkc")))
-        return out
+
+    def workbook_of(self, project: str, label: str):
+        return next((wb for wb in self.workbooks if (wb.project, wb.label) == (project, label)), None)
 
 
 def candidate(rule: Rule, label: Column) -> Column:
@@ -68,24 +70,29 @@ def candidate(rule: Rule, label: Column) -> Column:
     return F.lower(label).contains(rule.match_key)
 
 
+def found_sql(raw: str) -> str:
+    return (f"(CASE WHEN {raw}.kind = 'text' THEN coalesce({raw}.value_text <> '', false) "
+            f"WHEN {raw}.kind = 'table' THEN {raw}.value_rows IS NOT NULL OR {raw}.value_ref IS NOT NULL "
+            f"ELSE coalesce(size({raw}.value_blocks) > 0, false) END)")
+
+
 def finish_sql(rule: Rule, raw: str, label_sql: str = "label") -> str:
     """P5-P8 on one file's raw result, as one SQL expression over the raw
     result column ``raw`` (parsed once on the JVM instead of being built a
     column at a time from Python)."""
     nulls = (f"'value_rows', CAST(NULL AS {R.ROWS_T}), 'value_blocks', CAST(NULL AS {R.VBLOCK_T}), "
-             f"'location', CAST(NULL AS STRING)")
+             f"'value_ref', CAST(NULL AS {R.REF_T}), 'location', CAST(NULL AS STRING)")
     if rule.error is not None:
         return (f"named_struct('found', false, 'kind', 'text', 'value_text', CAST(NULL AS STRING), "
                 f"{nulls}, 'citation', {label_sql}, 'note', {R.sql_str(rule.error)})")
-    found = (f"(CASE WHEN {raw}.kind = 'text' THEN coalesce({raw}.value_text <> '', false) "
-             f"WHEN {raw}.kind = 'table' THEN {raw}.value_rows IS NOT NULL "
-             f"ELSE coalesce(size({raw}.value_blocks) > 0, false) END)")
+    found = found_sql(raw)
     cited = (f"CASE WHEN {found} AND {raw}.location IS NOT NULL AND {raw}.location <> '' "
              f"THEN concat({label_sql}, {R.sql_str(CITATION_SEP)}, {raw}.location) ELSE {label_sql} END")
     hit = (f"named_struct('found', {found}, 'kind', {raw}.kind, "
            f"'value_text', CASE WHEN {found} THEN {raw}.value_text END, "
            f"'value_rows', CASE WHEN {found} THEN {raw}.value_rows END, "
            f"'value_blocks', CASE WHEN {found} THEN {raw}.value_blocks END, "
+           f"'value_ref', CASE WHEN {found} THEN {raw}.value_ref END, "
            f"'location', {raw}.location, 'citation', {cited}, 'note', {raw}.note)")
     if not rule.default:
         return hit
@@ -95,15 +102,29 @@ def finish_sql(rule: Rule, raw: str, label_sql: str = "label") -> str:
     return f"CASE WHEN {found} THEN {hit} ELSE {dflt} END"
 
 
+def finish_sql_by_column(raw: str, error: str, fallback: str, label_sql: str) -> str:
+    """``finish_sql`` where the rule's error and default are columns (null: none), for rules that are rows."""
+    plain = compile_rule(0, {"type": "right_of"})
+    hit = finish_sql(plain, raw, label_sql)
+    nulls = (f"'value_rows', CAST(NULL AS {R.ROWS_T}), 'value_blocks', CAST(NULL AS {R.VBLOCK_T}), "
+             f"'value_ref', CAST(NULL AS {R.REF_T}), 'location', CAST(NULL AS STRING)")
+    failed = (f"named_struct('found', false, 'kind', 'text', 'value_text', CAST(NULL AS STRING), {nulls}, "
+              f"'citation', {label_sql}, 'note', {error})")
+    dflt = (f"named_struct('found', true, 'kind', 'text', 'value_text', {fallback}, {nulls}, "
+            f"'citation', concat({label_sql}, {R.sql_str(DEFAULT_CITATION_SUFFIX)}), 'note', {R.sql_str(DEFAULT_NOTE)})")
+    return (f"CASE WHEN {error} IS NOT NULL THEN {failed} WHEN {fallback} IS NOT NULL AND NOT {found_sql(raw)} THEN {dflt} "
+            f"ELSE {hit} END")
+
+
 def finished(df: DataFrame, rule: Rule, raw: Column, label_sql: str, cols: list) -> DataFrame:
     """Apply P5-P8 to a raw result column of ``df``."""
     return df.withColumn("_raw", raw).select(*cols, F.expr(finish_sql(rule, "_raw", label_sql)).alias("rec"))
 
 
-def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".xlsm")) -> DataFrame:
+def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".xlsm"), flags: bool = False) -> DataFrame:
     """Per (file, rule): the candidate flag and, for readable candidates,
-    the record. Sheet rules are left null on workbooks (filled by
-    ``sheet_records``)."""
+    the record, or with ``flags`` only whether it is a find (a default is
+    one). Sheet rules are left null on decoded workbooks (filled by ``cell_sheet_records``)."""
     files = R.prepare(files)
     readable = F.col("problem").isNull()
     is_wb = F.col("ext").isin(*workbook_exts)
@@ -130,8 +151,13 @@ def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".
             while len(levels) <= depth:
                 levels.append({})
             levels[depth][name] = F.when(active, expr)
+        if not flags:
+            last = F.expr(finish_sql(rule, raw_name)).alias("rec")
+        else:
+            last = (F.lit(False) if rule.error is not None else F.lit(True) if rule.default else
+                    F.expr(found_sql(raw_name))).alias("found")
         entries.append(F.struct(F.lit(rule.rule_no).alias("rule_no"), cand.alias("cand"),
-                                F.when(active, F.expr(finish_sql(rule, raw_name))).alias("rec")))
+                                F.when(active, last).alias("found" if flags else "rec")))
     # one projection per depth instead of one per column: every withColumn
     # re-analyses the whole plan on the driver
     for cols in levels:
@@ -139,87 +165,16 @@ def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".
     return files.select("project_id", "label", "problem", F.inline_outer(F.array(*entries)))
 
 
-def sheet_records(spark: SparkSession, workbooks: list[Workbook], rules: list[Rule]) -> DataFrame | None:
-    """R5a/R5b on workbooks: one record per (workbook, sheet rule)."""
-    parts = []
+def sheet_records(workbooks: list[Workbook], rules: list[Rule]) -> DataFrame | None:
+    """The records of relational workbooks: one per (workbook, rule)."""
+    from quarry.operators.sheet_rules import workbook_records
+    out = None
     for wb in workbooks:
-        for rule in rules:
-            if rule.type != "sheet_cell" or rule.error is not None:
-                continue
-            if rule.match_key and rule.match_key not in wb.label.lower():
-                continue
-            parts.append(_sheet_cell(spark, wb, rule))
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        recs = workbook_records(wb, rules)
+        out = recs if out is None else out.unionByName(recs)
     return out
 
 
-def _sheet_cell(spark: SparkSession, wb: Workbook, rule: Rule) -> DataFrame:
-    sheet_name = rule.p("sheet")
-    ref = (rule.params.get("cell", "") or "").strip()
-    is_range = ":" in ref
-    loc = f"{sheet_name}!{ref}"
-    label = F.lit(wb.label)
-
-    head = [F.lit(wb.project).alias("project_id"), label.alias("label"),
-            F.lit(None).cast("string").alias("problem"), F.lit(rule.rule_no).alias("rule_no"),
-            F.lit(True).alias("cand")]
-
-    def literal(raw: Column) -> DataFrame:
-        return finished(spark.range(1), rule, raw, R.sql_str(wb.label), head)
-
-    sheet = wb.find_sheet(sheet_name)
-    if sheet is None:
-        note = f"No tab named '{sheet_name}'. Tabs found: {', '.join(wb.sheet_names)}."
-        return literal(R.raw_result("table" if is_range else "text", location=loc if is_range else None, note=note))
-    spec = rule.sheet_ref
-    if spec[0] == "bad":
-        return literal(R.raw_result("table" if is_range else "text", location=loc, note=spec[1]))
-    if spec[0] == "cell":
-        r, c = spec[1], spec[2]
-        cells = sheet.cells(r, r, c, c)
-        value = F.lit(None).cast("string")
-        src = spark.range(1) if cells is None else cells.agg(F.max("value").alias("v"))
-        if cells is not None:
-            value = F.col("v")
-        note = (f"Cell {ref} on '{sheet_name}' is empty, or holds a formula whose result was never saved "
-                f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
-        raw = R.raw_result("text", value_text=value, location=loc, note=F.when(value.isNull(), F.lit(note)))
-        return finished(src, rule, raw, R.sql_str(wb.label), head)
-    r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
-    r1, r2 = min(r1, r2), max(r1, r2)
-    c1, c2 = min(c1, c2), max(c1, c2)
-    src = range_rows(spark, sheet.cells(r1, r2, c1, c2), r1, r2, c1, c2)
-    rows = F.col("grid")
-    blank = ~F.exists(F.flatten(rows), lambda v: F.trim(v) != "")
-    note = (f"Range {ref} on '{sheet_name}' is empty, or holds formulas whose results were never "
-            f"saved by Excel.")
-    raw = F.when(blank, R.raw_result("table", location=loc, note=note)) \
-        .otherwise(R.raw_result("table", value_rows=rows, location=loc))
-    return finished(src, rule, raw, R.sql_str(wb.label), head)
-
-
-def range_rows(spark: SparkSession, cells: DataFrame | None, r1: int, r2: int, c1: int, c2: int) -> DataFrame:
-    """One row ``grid``: the rectangle's rows of texts, "" where there is no
-    cell. Cells are grouped by sheet row, where one map of that row's cells is
-    probed, so the work is linear in the rectangle's rows; rows
-    without cells come from a range of row numbers."""
-    blank = F.array_repeat(F.lit(""), c2 - c1 + 1)
-    rows = spark.range(r1, r2 + 1).select(F.col("id").cast("int").alias("row_no"))
-    if cells is None:
-        rows = rows.withColumn("line", blank)
-    else:
-        by_row = cells.groupBy("row_no").agg(
-            F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("m"))
-        rows = rows.join(by_row, "row_no", "left").select("row_no", F.when(F.col("m").isNull(), blank).otherwise(
-            F.transform(F.sequence(F.lit(c1), F.lit(c2)), lambda c: F.coalesce(F.col("m")[c], F.lit("")))).alias("line"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("lines")).select(
-        F.transform("lines", lambda x: x["line"]).alias("grid"))
-
-
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The rule set as a literal table (size = the rule set's)."""
     return spark.createDataFrame(
@@ -229,18 +184,36 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
         "match string, is_error boolean")
 
 
-def pick(spark: SparkSession, per_file: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One record per (project, rule)."""
-    rec = F.col("rec")
-    agg = per_file.groupBy("project_id", "rule_no").agg(
+def winners(flags: DataFrame) -> DataFrame:
+    """Per (project, rule) the number of candidates, the first one's label
+    and ``best``, the label of the first find, else of the first readable candidate.
+    ``flags`` has project_id, label, rule_no, cand and found (null: not evaluated)."""
+    return flags.groupBy("project_id", "rule_no").agg(
         F.count_if(F.col("cand")).alias("n_cand"),
         F.min(F.when(F.col("cand"), F.col("label"))).alias("first_cand"),
-        F.min_by(F.struct(F.col("label").alias("label"), rec.alias("rec")),
-                 F.when(rec.isNotNull(), F.struct((~rec["found"]).alias("nf"), F.col("label")))).alias("best"),
-    )
+        F.min(F.when(F.col("found"), F.col("label"))).alias("hit"),
+        F.min(F.when(F.col("found").isNotNull(), F.col("label"))).alias("tried"),
+    ).select("project_id", "rule_no", "n_cand", "first_cand", F.coalesce("hit", "tried").alias("best"))
+
+
+def flags_of(per_file: DataFrame) -> DataFrame:
+    return per_file.select("project_id", "label", "rule_no", "cand", F.col("rec.found").alias("found"))
+
+
+def pick(spark: SparkSession, per_file: DataFrame, rules: list[Rule]) -> DataFrame:
+    """P2-P4 over a stored table of per-file records."""
+    won = winners(flags_of(per_file))
+    return picked(spark, won, per_file, rules)
+
+
+def picked(spark: SparkSession, won: DataFrame, per_file: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One record per (project, rule): the winners with their records out of
+    ``per_file``. A label names one file of its project (S2 keeps the newest version)."""
+    found = per_file.filter(F.col("rec").isNotNull()).select("project_id", "rule_no", F.col("label").alias("best"), "rec")
+    agg = won.join(found, ["project_id", "rule_no", "best"], "left").dropDuplicates(["project_id", "rule_no"])
     meta = F.broadcast(rules_table(spark, rules))
     j = agg.join(meta, "rule_no")
-    best = F.col("best.rec")
+    best = F.col("rec")
     none = F.col("n_cand") == 0
     unreadable = F.col("best").isNull()
     no_file_cite = F.concat(F.lit("(no uploaded file matched '"), F.col("match"), F.lit("')"))
@@ -252,36 +225,66 @@ def pick(spark: SparkSession, per_file: DataFrame, rules: list[Rule]) -> DataFra
         F.when(~(none | unreadable), best["value_text"]).alias("value_text"),
         F.when(~(none | unreadable), best["value_rows"]).alias("value_rows"),
         F.when(~(none | unreadable), best["value_blocks"]).alias("value_blocks"),
+        F.when(~(none | unreadable), best["value_ref"]).alias("value_ref"),
         F.when(none, no_file_cite).when(unreadable, F.col("first_cand"))
          .otherwise(best["citation"]).alias("citation"),
         F.when(none | unreadable, F.lit(False)).otherwise(best["found"]).alias("found"),
         F.when(none, no_file_note).when(unreadable, F.lit(UNREADABLE_NOTE))
          .otherwise(best["note"]).alias("note"),
         F.when(none | unreadable, F.col("raw_type")).otherwise(F.col("rule_type")).alias("rule_type"),
-        F.when(~(none | unreadable), F.col("best.label")).alias("file_label"),
+        F.when(~(none | unreadable), F.col("best")).alias("file_label"),
         F.when(~(none | unreadable), best["location"]).alias("location"),
     )
 
 
-def corpus_file_records(spark: SparkSession, corpus: Corpus, rules: list[Rule]) -> DataFrame:
-    """Per (file, rule) records of the whole corpus, sheet rules included."""
-    files = corpus.all_files()
-    per_file = file_records(files, rules)
-    sheets = sheet_records(spark, corpus.workbooks, rules)
-    if sheets is not None:
-        per_file = per_file.unionByName(sheets)
+def _book_records(corpus: Corpus, rules: list[Rule]) -> DataFrame | None:
+    """Records of all workbooks' sheets: one small row per workbook and rule."""
+    out = sheet_records(corpus.workbooks, rules)
     if corpus.cell_books is not None:
-        book_sheets, cells = corpus.cell_books
-        decoded = cell_sheet_records(files, book_sheets, cells, rules)
+        decoded = cell_sheet_records(corpus.all_files(), *corpus.cell_books, rules)
         if decoded is not None:
-            per_file = per_file.unionByName(decoded)
-    return per_file
+            out = decoded if out is None else out.unionByName(decoded)
+    return out
+
+
+def corpus_file_records(spark: SparkSession, corpus: Corpus, rules: list[Rule]) -> DataFrame:
+    """Per (file, rule) records of the whole corpus, workbooks included."""
+    per_file, books = file_records(corpus.all_files(), rules), _book_records(corpus, rules)
+    return per_file if books is None else per_file.unionByName(books)
+
+
+def corpus_flags(corpus: Corpus, rules: list[Rule]) -> DataFrame:
+    """``corpus_file_records`` without the records: only whether each is a find."""
+    flags, books = file_records(corpus.all_files(), rules, flags=True).drop("problem"), _book_records(corpus, rules)
+    return flags if books is None else flags.unionByName(flags_of(books))
 
 
 def run_ruleset(spark: SparkSession, corpus: Corpus, ruleset: dict) -> DataFrame:
-    """The records of one rule set over every project of the corpus."""
+    """The records of one rule set over every project of the corpus, in two
+    passes: the first ranks flags and labels, the second builds records for the
+    winning files only. The winners are stored between the passes, so Spark
+    knows their size when it plans the join with the files."""
+    from quarry.session import keep
     rules = compile_ruleset(ruleset)
-    return pick(spark, corpus_file_records(spark, corpus, rules), rules)
+    flags, books = file_records(corpus.all_files(), rules, flags=True).drop("problem"), _book_records(corpus, rules)
+    if books is not None:
+        books = keep(books, "books")
+        flags = flags.unionByName(flags_of(books))
+    won = keep(winners(flags), "winners")
+    files = corpus.all_files()
+    again = file_records(files.join(won.select("project_id", F.col("best").alias("label")).distinct(),
+                                    ["project_id", "label"], "left_semi").select(*files.columns), rules)
+    return picked(spark, won, again if books is None else again.unionByName(books), rules)
+
+
+def sheet_values(corpus: Corpus, records: DataFrame) -> DataFrame | None:
+    """The rows behind the references of ``records``: project_id, rule_no, sheet, row_no, near, cells."""
+    from quarry.operators.sheet_rules import sheet_values as rows_of
+    out = None
+    for wb in corpus.workbooks:
+        rows = rows_of(wb, records)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, rules: list[Rule]) -> DataFrame | None:
@@ -329,16 +332,26 @@ def cell_sheet_records(files: DataFrame, sheets: DataFrame, cells: DataFrame, ru
             raw = F.when(F.col("target").isNull(), missing).otherwise(R.raw_result(
                 "text", value_text=F.col("value"), location=loc, note=F.when(F.col("value").isNull(), F.lit(note))))
         else:
-            r1, c1, r2, c2 = spec[1], spec[2], spec[3], spec[4]
-            r1, r2, c1, c2 = min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
-            rect = cells.filter(F.col("row_no").between(r1, r2) & F.col("col_no").between(c1, c2)) \
+            r1, c1, r2, c2 = spec[1:]
+            in_rect = F.lit(True)
+            if r1 is not None:
+                r1, r2 = min(r1, r2), max(r1, r2)
+                in_rect = in_rect & F.col("row_no").between(r1, r2)
+            if c1 is not None:
+                c1, c2 = min(c1, c2), max(c1, c2)
+                in_rect = in_rect & F.col("col_no").between(c1, c2)
+            # whole columns and rows reach to the last row and column of the sheet
+            ends = cells.groupBy("project_id", "label", F.col("sheet").alias("target")).agg(
+                F.max("row_no").alias("nr"), F.max("col_no").alias("nc"))
+            rect = cells.filter(in_rect) \
                 .groupBy("project_id", "label", F.col("sheet").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct(
                     F.struct(F.col("row_no").alias("r"), F.col("col_no").alias("c")), F.col("value")))).alias("m"))
-            j = base.join(rect, ["project_id", "label", "target"], "left")
+            j = base.join(rect, ["project_id", "label", "target"], "left").join(ends, ["project_id", "label", "target"], "left")
             m = F.coalesce(F.col("m"), F.create_map().cast("map<struct<r:int,c:int>,string>"))
-            grid = F.transform(F.sequence(F.lit(r1), F.lit(r2)), lambda rr: F.transform(
-                F.sequence(F.lit(c1), F.lit(c2)),
-                lambda cc: F.coalesce(m[F.struct(rr.alias("r"), cc.alias("c"))], F.lit(""))))
+            row_nos = F.sequence(F.lit(r1), F.lit(r2)) if r1 is not None else F.sequence(F.lit(1), F.coalesce("nr", F.lit(1)))
+            col_nos = F.sequence(F.lit(c1), F.lit(c2)) if c1 is not None else F.sequence(F.lit(1), F.coalesce("nc", F.lit(1)))
+            grid = F.transform(row_nos, lambda rr: F.transform(
+                col_nos, lambda cc: F.coalesce(m[F.struct(rr.alias("r"), cc.alias("c"))], F.lit(""))))
             blank = ~F.exists(F.flatten(grid), lambda v: F.trim(v) != "")
             note = (f"Range {ref} on '{sheet_name}' is empty, or holds formulas whose results were never "
                     f"saved by Excel.")

@@ -58,3 +58,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return spark.sparkContext.getCheckpointDir()
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def keep(df, what: str = "table"):
+    """Write ``df`` once to the shared folder and read it back: the lineage
+    ends here, a lost executor costs a re-read, and Spark knows the table's size."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/quarry/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -354,16 +354,15 @@ def sheet_list(events: DataFrame) -> DataFrame:
                                                           F.col("part").alias("sheet_ord"))
 
 
-def workbook_files(events: DataFrame, max_rows: int = 400, max_cols: int = 60) -> DataFrame:
+def workbook_files(events: DataFrame) -> DataFrame:
     """S10 for decoded workbooks: one table block per sheet over rows
-    1..min(max_row, 400) and columns 1..min(max_column, 60), empty = ""."""
+    1..max_row and columns 1..max_column, empty = "". A decoded file is one row, as a
+    document is, so its sheets are as large as the file that was decoded."""
     ev = events.filter(F.col("ext").isin(".xlsx", ".xlsm"))
     files = ev.filter(F.col("kind") == "file").select("project_id", "label", "ext", "problem")
     cells = sheet_cells(ev)
-    dims = cells.groupBy("project_id", "label", "sheet_ord").agg(F.least(F.max("row_no"), F.lit(max_rows)).alias("nr"),
-                                                   F.least(F.max("col_no"), F.lit(max_cols)).alias("nc"))
-    inside = cells.filter((F.col("row_no") <= max_rows) & (F.col("col_no") <= max_cols))
-    grid = inside.groupBy("project_id", "label", "sheet_ord").agg(F.map_from_entries(F.collect_list(F.struct(
+    dims = cells.groupBy("project_id", "label", "sheet_ord").agg(F.max("row_no").alias("nr"), F.max("col_no").alias("nc"))
+    grid = cells.groupBy("project_id", "label", "sheet_ord").agg(F.map_from_entries(F.collect_list(F.struct(
         F.struct("row_no", "col_no"), "value"))).alias("m"))
     sheets = sheet_list(ev).join(dims, ["project_id", "label", "sheet_ord"], "left").join(
         grid, ["project_id", "label", "sheet_ord"], "left")

@@ -2,10 +2,10 @@
 
 A workbook here is a set of tables: sheet = table, row 1 = column names,
 column c = the c-th column, and the row of a record is ``key + 2`` (keys are
-dense from 0), so no global numbering pass is needed. Cells are never
-materialised for a whole sheet: a lookup turns its A1 rectangle into a key
-range and a column list on the driver, so the parquet scan gets the pushed
-filter and reads only those columns.
+dense from 0), so no global numbering pass is needed. A sheet is never one
+row or one group: its rows stay rows (``all_rows``), and a lookup turns its
+rectangle into a key range and a column list on the driver, so the parquet
+scan gets the pushed filter and reads only those columns.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.sources.corpus import BLOCK_TYPE, number_blocks, read_table
+from quarry.functions.text import needs_nfkc
+from quarry.sources.corpus import read_table
 
-# The bounds of a sheet seen as a table block by the rules.
-SHEET_BLOCK_ROWS = 400
-SHEET_BLOCK_COLS = 60
 # The bounds of the grid preview.
 GRID_ROWS = 60
 GRID_COLS = 30
@@ -120,71 +118,75 @@ class Workbook:
         folded = {s.name.strip().lower(): s for s in reversed(self.sheets)}
         return folded.get((name or "").strip().lower())
 
-    def blocks(self) -> DataFrame:
-        """One table block per sheet, at most 400 rows x 60 columns,
-        empty cells "", location = sheet name, tab order kept. A record
-        is already a row, so its cells are one array; the key filter is
-        pushed to the scan and each sheet's block is bounded (400 rows)."""
-        from quarry.operators.rules import sql_str
+    def _texts(self, sh: Sheet, cols: list[str], blank: bool) -> str:
+        """SQL of a record's cells as texts; ``blank``: "" for an empty cell, else null."""
         tz = self.spark.conf.get("spark.sql.session.timeZone")
+        types = {f.name: f.dataType for f in sh.df.schema.fields}
+        cells = [cell_text_sql(c, types[c], tz) for c in cols]
+        return "array(" + ", ".join(f"coalesce({c}, '')" if blank else c for c in cells) + ")"
+
+    def _rows(self, sh: Sheet, body: DataFrame | None, header: bool, cols: list[str], blank: bool, first_col: int = 1) -> DataFrame | None:
+        from quarry.operators.rules import sql_str
+        head = [f"{sh.ord} AS sheet_ord", f"{sql_str(sh.name)} AS sheet", f"{first_col} AS first_col"]
         parts = []
-        for sh in self.sheets:
-            cols = sh.columns[:SHEET_BLOCK_COLS]
-            types = dict((f.name, f.dataType) for f in sh.df.schema.fields)
-            # written as SQL: one parse per sheet instead of a driver round
-            # trip per column expression
-            header = self.spark.range(1).selectExpr(
-                f"{sh.ord} AS sheet_ord", "1 AS row_no",
-                "array(" + ", ".join(sql_str(c) for c in cols) + ") AS cells")
-            body = sh.df.where(f"`{sh.key}` <= {SHEET_BLOCK_ROWS - 2}").selectExpr(
-                f"{sh.ord} AS sheet_ord", f"CAST(`{sh.key}` + 2 AS INT) AS row_no",
-                "array(" + ", ".join(f"coalesce({cell_text_sql(c, types[c], tz)}, '')" for c in cols) + ") AS cells")
-            parts.append(header.unionByName(body))
-        allrows = parts[0]
-        for p in parts[1:]:
-            allrows = allrows.unionByName(p)
-        names = F.array(*[F.lit(sh.name) for sh in self.sheets])
-        sheets = (allrows.groupBy("sheet_ord")
-                  .agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
-                  .select("sheet_ord", F.struct(
-                      F.lit(0).alias("block_no"), F.lit("table").alias("kind"),
-                      F.lit(None).cast("string").alias("text"),
-                      F.transform("r", lambda x: x["cells"]).alias("rows"),
-                      F.element_at(names, F.col("sheet_ord") + 1).alias("location")).alias("b")))
-        return sheets.agg(F.array_sort(F.collect_list(F.struct("sheet_ord", "b"))).alias("sb")).select(
-            F.lit(self.project).alias("project_id"), F.lit(self.label).alias("label"),
-            F.lit(".xlsx").alias("ext"), F.lit(None).cast("string").alias("problem"),
-            number_blocks(F.transform("sb", lambda x: x["b"]).cast(f"array<{BLOCK_TYPE}>")).alias("blocks"))
+        if header:
+            names = "array(" + ", ".join(sql_str(c) for c in cols) + ")"
+            parts.append(self.spark.range(0, 1, 1, 1).selectExpr(*head, "CAST(1 AS BIGINT) AS row_no", names + " AS cells")
+                         .withColumn("gate", needs_nfkc(F.concat_ws(" ", "cells"))))
+        if body is not None:
+            # numbers and dates hold nothing that NFKC could change
+            texts = [F.col(f"`{f.name}`") for f in sh.df.schema.fields if f.name in cols and isinstance(f.dataType, T.StringType)]
+            gate = needs_nfkc(F.concat_ws(" ", *texts)) if texts else F.lit(False)
+            parts.append(body.select(*[F.expr(x) for x in head], F.expr(f"CAST(`{sh.key}` AS BIGINT) + 2 AS row_no"),
+                                     F.expr(self._texts(sh, cols, blank) + " AS cells"), gate.alias("gate")))
+        return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def all_rows(self) -> DataFrame:
-        """Every row of every sheet in long form: sheet, row_no, cells (texts
-        in column order, "" where empty). Nothing is gathered, so a sheet of
-        any size is read by as many tasks as its table has splits."""
-        from quarry.operators.rules import sql_str
-        tz = self.spark.conf.get("spark.sql.session.timeZone")
-        out = None
+        """Every row of every sheet in long form: sheet_ord, sheet,
+        row_no, cells (texts in column order, "" where empty), gate (NFKC may
+        change the row). Nothing is gathered, so a sheet of any size is read by as many tasks as its
+        table has splits."""
+        heads = [(sh.ord, sh.name, 1, sh.columns) for sh in self.sheets]
+        out = self.spark.createDataFrame(heads, "sheet_ord int, sheet string, row_no bigint, cells array<string>").coalesce(1) \
+            .withColumn("gate", needs_nfkc(F.concat_ws(" ", "cells")))
         for sh in self.sheets:
-            types = {f.name: f.dataType for f in sh.df.schema.fields}
-            header = self.spark.range(1).selectExpr(
-                f"{sql_str(sh.name)} AS sheet", "CAST(1 AS BIGINT) AS row_no",
-                "array(" + ", ".join(sql_str(c) for c in sh.columns) + ") AS cells")
-            body = sh.df.selectExpr(
-                f"{sql_str(sh.name)} AS sheet", f"CAST(`{sh.key}` AS BIGINT) + 2 AS row_no",
-                "array(" + ", ".join(f"coalesce({cell_text_sql(c, types[c], tz)}, '')" for c in sh.columns) + ") AS cells")
-            both = header.unionByName(body)
-            out = both if out is None else out.unionByName(both)
+            out = out.unionByName(self._rows(sh, sh.df, False, sh.columns, True).drop("first_col"))
         return out
 
+    def rows_of(self, sh: Sheet, row_lo: int, row_hi: int, col_lo: int, col_hi: int) -> DataFrame | None:
+        """The rows of a rectangle: sheet_ord, row_no, first_col, cells (null
+        where empty). The rows become a pushed-down key filter and only the
+        rectangle's columns are read."""
+        cols = sh.columns[col_lo - 1:col_hi]
+        if not cols:
+            return None
+        body = sh.df.where(F.col(sh.key).between(max(row_lo, 2) - 2, row_hi - 2)) if row_hi >= 2 else None
+        rows = self._rows(sh, body, row_lo <= 1, cols, False, col_lo)
+        return None if rows is None else rows.drop("sheet", "gate")
+
+    def some_rows(self, sh: Sheet, row_nos: list[int]) -> DataFrame:
+        """Single rows, by a pushed-down key filter: sheet_ord, row_no, cells."""
+        keys = [r - 2 for r in row_nos if r >= 2]
+        body = sh.df.where(F.col(sh.key).isin(keys)) if keys else None
+        return self._rows(sh, body, 1 in row_nos, sh.columns, True).drop("first_col", "sheet")
+
+    def sizes(self) -> dict[int, int]:
+        """Last row of every sheet, from the tables' own statistics."""
+        out = None
+        for sh in self.sheets:
+            n = sh.df.agg(F.max(sh.key).cast("bigint").alias("k")).select(F.lit(sh.ord).alias("o"), "k")
+            out = n if out is None else out.unionByName(n)
+        return {r["o"]: 1 if r["k"] is None else r["k"] + 2 for r in out.collect()}
+
     def rows_containing(self, phrases: list[str]) -> DataFrame:
         """Rows of whole sheets with a cell that contains a phrase (both
         normalised, as in R0): phrase, sheet, row_no, cells. A blank phrase is
         in every cell, so it gives every row."""
         from quarry.functions.nfkc import nfkc_strings
-        from quarry.functions.text import needs_nfkc, normalize_py, normalize_tail
+        from quarry.functions.text import normalize_py, normalize_tail
         from quarry.operators.rules import sql_str
-        rows = self.all_rows()
-        gate = F.exists("cells", needs_nfkc)
-        rows = rows.withColumn("plain", nfkc_strings(F.col("cells"), gate)) \
+        rows = self.all_rows().drop("sheet_ord")
+        rows = rows.withColumn("plain", nfkc_strings(F.col("cells"), F.col("gate"))) \
             .withColumn("norm", F.transform("plain", normalize_tail))
         found = F.array(*[F.when(F.expr(f"exists(norm, c -> contains(c, {sql_str(normalize_py(p))}))"), F.lit(p))
                           for p in phrases])
