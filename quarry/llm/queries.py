@@ -107,7 +107,15 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    """One document of each group of near duplicates. Line removal leaves of a
+    later near copy only the lines that differ, so copies are told first by the
+    texts that ``sf_dir`` has under the ids that are still there, then by what is left of them.
+    Documents without an id only take part in the second step."""
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
+    whole = keep(table(spark, sf_dir, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi"), "whole-texts")
+    copies = (neardup.near_duplicates(whole, layout=neardup.AT_80).filter("not kept")
+              .select(F.col("doc_id").alias("__copy")).distinct())
+    return neardup.keep_one(keep(docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti"), "no-copies"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,3 +323,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen["line_dedup"]) - set(seen["near_dedup"]) == {20}
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {24}
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == set(seen["decontamination"])
+
+
+def test_pipeline_drops_near_copies_of_many_lines(spark, tmp_path):
+    """Line removal leaves remnants of later near copies; none of them is there
+    after the near-duplicate stage, and documents that share less stay."""
+    import corpus_pipeline as P
+
+    from .brute import near_components
+
+    rng = random.Random(21)
+    texts, copies = [], set()
+    shared = [" ".join(prose(rng, 12, 10**6)) for _ in range(4)]  # boilerplate of all documents
+    for k in range(6):
+        lines = [" ".join(prose(rng, 12, 10**6)) for _ in range(40)]
+        texts.append((k, "\n".join(lines + shared)))
+        for c in range(3):
+            changed = list(lines)
+            for at in rng.sample(range(40), 2):
+                changed[at] = " ".join(prose(rng, 12, 10**6))
+            texts.append((100 + 10 * k + c, "\n".join(changed + shared)))
+            copies.add(100 + 10 * k + c)
+    documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    parts = near_components(texts, 80)
+    assert {i for i, (_, c) in parts.items() if i != c} == copies
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(P.STAGES[:3]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "line_dedup":
+            assert copies & {r.doc_id for r in docs.collect()}  # as remnants
+    assert {r.doc_id for r in docs.collect()} == set(range(6))
