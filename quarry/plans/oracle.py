@@ -659,7 +659,10 @@ GROUP BY GROUPING SETS ((project_id, rule_type, rule_no), (project_id, rule_type
         "manifest_fields": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, rule_type AS rule, found, citation FROM RECORDS""",
         "file_fingerprint": """
-SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, sha256(text) AS sha256 FROM documents""",
+SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, sha256(text) AS sha256 FROM documents
+UNION ALL
+SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), 'page_' || page_id || '.html', sha256(html) FROM pages""",
+        "run_warnings": run_warnings_sql(),
         "files_register": f"""
 WITH F0 AS (
   SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents
@@ -709,6 +712,16 @@ FROM (SELECT 'page' AS kind, CAST(page_id AS BIGINT) AS id, url AS given FROM pa
       UNION ALL SELECT 'item', CAST(item_id AS BIGINT), text FROM benchmark)"""
 
 
+def run_warnings_sql() -> str:
+    from quarry.plans.queries import BETWEEN_RULES, UNREADABLE_LANG
+    picked = " OR ".join(cand_sql(r) for r in compile_ruleset(BETWEEN_RULES))
+    return f"""
+WITH FL AS (SELECT lang AS project_id, 'doc_' || doc_id || '.txt' AS label,
+    CASE WHEN lang = {q(UNREADABLE_LANG)} THEN 'damaged' WHEN text IS NULL THEN 'Could not read this file: no content.' END AS problem
+  FROM documents)
+SELECT project_id, label, label || ': ' || problem AS warning FROM FL f WHERE problem IS NOT NULL AND ({picked})"""
+
+
 def unreadable_files_sql() -> str:
     from quarry.plans.queries import BETWEEN_RULES, UNREADABLE_LANG
     given = f""",

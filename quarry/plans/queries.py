@@ -35,7 +35,11 @@ def blocks_text(spark, sf_dir):
 
 
 def blocks_slides(spark, sf_dir):
-    return flat_blocks(C.conversations_files(spark, sf_dir))
+    """Block numbers from counts of pieces, without gathering a deck."""
+    b = C.deck_blocks(C.read_table(spark, sf_dir, "conversations"))
+    return b.select(F.lit(C.CONVERSATIONS_PROJECT).alias("project_id"),
+                    F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pptx")).alias("label"),
+                    F.col("block_no").cast("bigint").alias("block_no"), "kind", "location", "text", F.lit(0).cast("bigint").alias("n_rows"))
 
 
 def blocks_html(spark, sf_dir):
@@ -304,12 +308,19 @@ def manifest_fields(spark, sf_dir):
 
 
 def file_fingerprint(spark, sf_dir):
-    """S5 over the document texts (the file's bytes)."""
-    d = C.read_table(spark, sf_dir, "documents")
-    files = d.select(F.col("source").alias("project_id"),
-                     F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("label"),
-                     F.col("text").alias("content"))
-    return REP.file_manifest(files)
+    """S5 over the texts of documents and pages (the files' bytes)."""
+    d = C.read_table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("label"),
+        F.col("text").alias("content"))
+    p = C.read_table(spark, sf_dir, "pages").select(
+        C.page_host(F.col("url")).alias("project_id"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("label"),
+        F.col("html").alias("content"))
+    return REP.file_manifest(d.unionByName(p))
+
+
+def run_warnings(spark, sf_dir):
+    """The warnings of a run over the files of the unreadable language and all others."""
+    return REP.run_warnings(unreadable_corpus(spark, sf_dir).all_files(), compile_ruleset(BETWEEN_RULES))
 
 
 def files_register(spark, sf_dir):
@@ -349,11 +360,15 @@ def safe_names(spark, sf_dir):
 UNREADABLE_LANG = "de"
 
 
-def unreadable_files(spark, sf_dir):
-    """Records of a run in which all files of one project are unreadable."""
+def unreadable_corpus(spark, sf_dir) -> RUN.Corpus:
     files = C.documents_files(spark, sf_dir, project="lang").withColumn(
         "problem", F.when(F.col("project_id") == UNREADABLE_LANG, F.lit("damaged")).otherwise(F.col("problem")))
-    recs = RUN.run_ruleset(spark, RUN.Corpus(files, []), BETWEEN_RULES)
+    return RUN.Corpus(files, [])
+
+
+def unreadable_files(spark, sf_dir):
+    """Records of a run in which all files of one project are unreadable."""
+    recs = RUN.run_ruleset(spark, unreadable_corpus(spark, sf_dir), BETWEEN_RULES)
     return recs.select("project_id", F.col("rule_no").cast("bigint").alias("rule_no"), "name", "found", "citation", "note")
 
 

@@ -89,6 +89,17 @@ def file_manifest(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.select("project_id", "label", F.sha2(F.col(content_col), 256).alias("sha256"))
 
 
+def run_warnings(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """P11, the warnings: project_id, label, warning of every file that some
+    rule's filter picks and that cannot be read. A table of its own, as a project may have any number of files."""
+    from quarry.plans.run import candidate
+    picked = F.lit(False)
+    for r in rules:
+        picked = picked | candidate(r, F.col("label"))
+    return files.filter(F.col("problem").isNotNull() & picked).select(
+        "project_id", "label", F.concat("label", F.lit(": "), "problem").alias("warning"))
+
+
 def manifest_json(records: DataFrame, ruleset: dict, template: dict | None, run_stamp: str,
                   enrichment: str = "none") -> DataFrame:
     """P11 as one JSON document per project (fields in rule order)."""

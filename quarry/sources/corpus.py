@@ -14,7 +14,7 @@ one grouping shuffle on the file key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import needs_nfkc, py_strip
@@ -113,15 +113,8 @@ def documents_files(spark: SparkSession, sf_dir: str, project: str = "source") -
 CONVERSATIONS_PROJECT = "conversations"
 
 
-def conversations_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S7 re-aimed: a conversation is a deck, turn t is 'Slide t+1'.
-
-    Each non-blank line of a turn is a paragraph (stripped). A system turn
-    is that slide's speaker notes: one block at 'Slide n (notes)'. Turns
-    live in separate input rows, so the deck is assembled by one grouping
-    on conv_id; each deck is bounded by its own size.
-    """
-    c = read_table(spark, sf_dir, "conversations")
+def turn_blocks(c: DataFrame) -> DataFrame:
+    """conv_id, turn, nfkc and tb, the blocks of one turn (not yet numbered)."""
     slide = F.concat(F.lit("Slide "), (F.col("turn") + 1).cast("string"))
     para_blocks = F.transform(
         F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda l: py_strip(l) != ""),
@@ -130,9 +123,42 @@ def conversations_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes_blocks = F.when(notes_text != "", F.array(
         _block(F.lit(0), "paragraph", notes_text, F.lit(None),
                F.concat(slide, F.lit(" (notes)"))))).otherwise(F.array().cast(f"array<{BLOCK_TYPE}>"))
-    turns = c.select(
+    return c.select(
         "conv_id", "turn", needs_nfkc(F.col("text")).alias("nfkc"),
         F.when(F.col("role") == "system", notes_blocks).otherwise(para_blocks).alias("tb"))
+
+
+#: Turns of a deck that are numbered together.
+TURN_PIECE = 1024
+
+
+def deck_blocks(conversations: DataFrame) -> DataFrame:
+    """S7 in long form: conv_id, block_no, kind, text, location of every block.
+
+    Block numbers need the blocks before a turn, not the turns: a deck is cut
+    into pieces of turn numbers, pieces are counted, and a turn's first number
+    is its piece's offset plus the turns before it in the piece. So a deck
+    with a third of all turns is spread over as many tasks as it has pieces."""
+    turns = turn_blocks(conversations).withColumn("piece", F.floor(F.col("turn") / TURN_PIECE)).withColumn("n", F.size("tb"))
+    # a row a piece, not a turn
+    counts = turns.groupBy("conv_id", "piece").agg(F.sum("n").alias("n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("conv_id", "piece", F.coalesce(F.sum("n").over(
+        before.partitionBy("conv_id").orderBy("piece")), F.lit(0)).alias("first"))
+    inside = turns.withColumn("at", F.coalesce(F.sum("n").over(before.partitionBy("conv_id", "piece").orderBy("turn")), F.lit(0)))
+    blocks = inside.join(offsets, ["conv_id", "piece"]).select("conv_id", "first", "at", F.posexplode("tb").alias("i", "b"))
+    return blocks.select("conv_id", (F.col("first") + F.col("at") + F.col("i") + 1).alias("block_no"), "b.kind", "b.text", "b.location")
+
+
+def conversations_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 re-aimed: a conversation is a deck, turn t is 'Slide t+1'.
+
+    Each non-blank line of a turn is a paragraph (stripped). A system turn
+    is that slide's speaker notes: one block at 'Slide n (notes)'. Turns
+    live in separate input rows, so the deck is assembled by one grouping
+    on conv_id; each deck is bounded by its own size.
+    """
+    turns = turn_blocks(read_table(spark, sf_dir, "conversations"))
     decks = (turns.groupBy("conv_id")
              .agg(F.array_sort(F.collect_list(F.struct("turn", "tb"))).alias("turns"),
                   F.bool_or("nfkc").alias("nfkc")))

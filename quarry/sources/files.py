@@ -9,6 +9,8 @@ labels, skipped when none are chosen.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def problem_for(ext: Column) -> Column:
                                                   F.lit("'. Supported: " + ", ".join(SUPPORTED) + "."))))
 
 
+def below(path: Column, root: str) -> Column:
+    """What comes after the folder ``root`` in a file's path; the scheme may differ, no character of the folder is a pattern."""
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    plain = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", root).rstrip("/") + "/"
+    return F.when(bare.startswith(plain), F.substring(bare, len(plain) + 1, 1 << 30)).otherwise(bare)
+
+
 def list_folder(spark: SparkSession, path: str, project_from_dir: bool = True) -> DataFrame:
     """Every regular file under ``path``; project = first folder
     below ``path`` (or the folder itself); a re-upload with the same label
@@ -39,7 +48,7 @@ def list_folder(spark: SparkSession, path: str, project_from_dir: bool = True) -
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     label = F.regexp_extract("path", "([^/]+)$", 1)
     root = path.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), "^(file:)?" + root.replace(".", "\\.") + "/?", "")
+    rel = below(F.col("path"), root)
     project = F.when(F.lit(project_from_dir) & rel.contains("/"), F.substring_index(rel, "/", 1)) \
         .otherwise(F.lit(root.rsplit("/", 1)[-1]))
     files = raw.select(project.alias("project_id"), label.alias("label"), "path", "modificationTime",

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from quarry.operators.compile import compile_ruleset
 from quarry.plans import run as RUN
 from quarry.sources.corpus import BLOCK_TYPE, with_html_blocks, with_text_blocks
-from quarry.sources.files import extension, problem_for
+from quarry.sources.files import below, extension, problem_for
 from quarry.sources.office import (OFFICE_EXTS, office_events, office_files, sheet_cells, sheet_list,
                                    workbook_files)
 
@@ -56,12 +56,10 @@ class IncrementalExtractor:
         self.rules = compile_ruleset(ruleset)
         self.results_path = f"{self.state}/file_results"
         self.records_path = f"{self.state}/records"
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
     # -- reading -------------------------------------------------------------
     def _arrivals(self, raw: DataFrame) -> DataFrame:
-        rel = F.regexp_replace("path", "^(file:)?" + self.landing + "/", "")
-        parts = F.split(rel, "/")
+        parts = F.split(below(F.col("path"), self.landing), "/")
         return raw.select(
             F.element_at(parts, 1).alias("project_id"),
             F.element_at(parts, -1).alias("label"),
@@ -135,7 +133,8 @@ class IncrementalExtractor:
             .select("project_id", "label", F.col("a.arrival").alias("arrival"))
         cur = res.join(latest, ["project_id", "label", "arrival"])
         recs = RUN.pick(self.spark, cur.select("project_id", "label", "problem", "rule_no", "cand", "rec"), self.rules)
-        recs.repartition("project_id").write.mode("overwrite").partitionBy("project_id").parquet(self.records_path)
+        (recs.repartition("project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("project_id").parquet(self.records_path))
 
     # -- running ---------------------------------------------------------------
     def start(self, checkpoint: str, available_now: bool = True):
