@@ -16,8 +16,12 @@ from quarry.sources.sheets import WORKBOOK_LABEL, Workbook
 
 
 def flagship_corpus(spark: SparkSession, sf_dir: str) -> RUN.Corpus:
-    files = C.documents_files(spark, sf_dir).unionByName(C.conversations_files(spark, sf_dir))
-    return RUN.Corpus(files, [Workbook(spark, sf_dir)])
+    def files(only=None):
+        decks = C.conversations_files(spark, sf_dir)
+        if only is not None:
+            decks = decks.join(only, ["project_id", "label"], "left_semi").select(*decks.columns)
+        return C.documents_files(spark, sf_dir, only=only).unionByName(decks)
+    return RUN.Corpus(files(), [Workbook(spark, sf_dir)], narrowed=files)
 
 
 def flat_blocks(files: DataFrame) -> DataFrame:
@@ -234,7 +238,8 @@ DEEP_RULES = _rs(
 
 
 def workbook_corpus(spark, sf_dir) -> RUN.Corpus:
-    return RUN.Corpus(C.documents_files(spark, sf_dir), [Workbook(spark, sf_dir)])
+    return RUN.Corpus(C.documents_files(spark, sf_dir), [Workbook(spark, sf_dir)],
+                      narrowed=lambda only: C.documents_files(spark, sf_dir, only=only))
 
 
 def rules_sheets_deep(spark, sf_dir):

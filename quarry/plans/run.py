@@ -22,7 +22,8 @@ Workbooks have no bound, so their rules work on rows in long form
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ class Corpus:
     files: DataFrame
     workbooks: list
     cell_books: tuple | None = None
+    #: (project_id, label) -> ``files`` limited to these, where the source can
+    #: leave the others out before it builds their blocks
+    narrowed: Callable[[DataFrame], DataFrame] | None = None
 
     def all_files(self) -> DataFrame:
         """The files whose blocks are in their row; relational workbooks are not among them."""
@@ -58,8 +62,12 @@ class Corpus:
         return self.files.select(*cols, "nfkc") if "nfkc" in self.files.columns else \
             self.files.select(*cols, F.lit(None).cast("boolean").alias("nfkc"))
 
-    def workbook_of(self, project: str, label: str):
-        return next((wb for wb in self.workbooks if (wb.project, wb.label) == (project, label)), None)
+    def only(self, labels: DataFrame) -> DataFrame:
+        """The named files."""
+        if self.narrowed:
+            return replace(self, files=self.narrowed(labels)).all_files()
+        files = self.all_files()
+        return files.join(labels, ["project_id", "label"], "left_semi").select(*files.columns)
 
 
 def candidate(rule: Rule, label: Column) -> Column:
@@ -271,9 +279,7 @@ def run_ruleset(spark: SparkSession, corpus: Corpus, ruleset: dict) -> DataFrame
         books = keep(books, "books")
         flags = flags.unionByName(flags_of(books))
     won = keep(winners(flags), "winners")
-    files = corpus.all_files()
-    again = file_records(files.join(won.select("project_id", F.col("best").alias("label")).distinct(),
-                                    ["project_id", "label"], "left_semi").select(*files.columns), rules)
+    again = file_records(corpus.only(won.select("project_id", F.col("best").alias("label"))), rules)
     return picked(spark, won, again if books is None else again.unionByName(books), rules)
 
 

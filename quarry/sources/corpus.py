@@ -96,13 +96,18 @@ def with_text_blocks(df: DataFrame, text: str, out: str = "blocks") -> DataFrame
     return df.withColumn(out, number_blocks(kept)).drop("_lines", "_is_row", "_starts", "_raw")
 
 
-def documents_files(spark: SparkSession, sf_dir: str, project: str = "source") -> DataFrame:
-    """documents -> one text file per row; the column ``project`` is its project."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", project, "text"))
-    d = with_text_blocks(d, "text")
+def documents_files(spark: SparkSession, sf_dir: str, project: str = "source", only: DataFrame | None = None) -> DataFrame:
+    """documents -> one text file per row; the column ``project`` is its
+    project. ``only`` (project_id, label) leaves the named files, before any block is built."""
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col(project).alias("project_id"), "text",
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("label"))
+    if only is not None:
+        d = d.join(only, ["project_id", "label"], "left_semi")
+    d = with_text_blocks(spread(d), "text")
     return d.select(
-        F.col(project).alias("project_id"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("label"),
+        "project_id",
+        "label",
         F.lit(".txt").alias("ext"),
         F.when(F.col("text").isNull(), F.lit("Could not read this file: no content.")).alias("problem"),
         F.col("blocks"),
