@@ -87,10 +87,13 @@ class Rollup:
         revises known ones, whatever has changed; ``deletes`` (doc_id) removes
         documents. Deleting an unknown document changes nothing; a document in
         both is revised. Rows of one id within a batch add up. Batches are
-        committed in the order of their ids."""
+        committed in the order of their ids: a new batch before one that is
+        there, or after one that broke off, is refused (ValueError), as its
+        changes would rest on the wrong documents. Repeating the batch that broke off mends it."""
         ledger, totals = self._folder("ledger", batch), self._folder("totals", batch)
         done = self._complete(totals)
         if not self._complete(ledger):
+            self._in_order(batch)
             self._changes(batch, upserts, deletes).write.mode("overwrite").parquet(ledger)
         if not done:
             (self.spark.read.schema(LEDGER).parquet(ledger).groupBy(*GROUP)
@@ -98,6 +101,16 @@ class Rollup:
              .write.mode("overwrite").parquet(totals))
         return not done
 
+    def _in_order(self, batch: int) -> None:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ledger")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        for other in sorted(int(n[6:]) for n in names if n.startswith("batch=")):
+            if other > batch:
+                raise ValueError(f"batch {batch} comes after batch {other}, which is there already")
+            if other < batch and not self._complete(self._folder("ledger", other)):
+                raise ValueError(f"batch {other} broke off; commit it again before batch {batch}")
+
     def _changes(self, batch: int, upserts: DataFrame | None, deletes: DataFrame | None) -> DataFrame:
         known = self._read("ledger", LEDGER, batch)
         new = counted(upserts, self.tokenizers) if upserts is not None else None

@@ -292,6 +292,41 @@ def test_token_rollup_after_a_break(spark):
     assert rollup.commit(1, docs) and [r.n_tokens for r in rollup.totals().collect()] == [2]
 
 
+def test_token_rollup_refuses_batches_out_of_order(spark):
+    import itertools
+    import os
+
+    docs = {1: [(1, "a b", "s", "en"), (2, "c", "s", "en")], 2: [(1, "a b c d", "s", "en")], 3: [(2, "x y", "t", "en"), (3, "z", "t", "en")]}
+    for order in itertools.permutations((1, 2, 3)):
+        path = new_path(spark, "rollup")
+        rollup, there = token_counts.Rollup(spark, path, {"words": token_counts.word_counter()}), {}
+        for batch in order:
+            late = any(b > batch for b in there.values())
+            if late:
+                with pytest.raises(ValueError):
+                    rollup.commit(batch, spark.createDataFrame(docs[batch], COUNT_SCHEMA))
+                continue
+            assert rollup.commit(batch, spark.createDataFrame(docs[batch], COUNT_SCHEMA))
+            there |= {r[0]: batch for r in docs[batch]}
+            there.setdefault("last", batch)
+        state = {}
+        for batch in [b for k, b in enumerate(order) if all(b > x for x in order[:k])]:
+            state |= {i: (src, len(t.split())) for i, t, src, _ in docs[batch]}
+        want = {}
+        for src, n in state.values():
+            d, t = want.get(src, (0, 0))
+            want[src] = (d + 1, t + n)
+        assert {r.source: (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == want
+    # a batch that broke off while its ledger was written
+    path = new_path(spark, "rollup")
+    rollup = token_counts.Rollup(spark, path, {"words": token_counts.word_counter()})
+    os.makedirs(rollup._folder("ledger", 1).removeprefix("file://").removeprefix("file:") + "/_temporary")
+    with pytest.raises(ValueError):
+        rollup.commit(2, spark.createDataFrame(docs[2], COUNT_SCHEMA))
+    assert rollup.commit(1, spark.createDataFrame(docs[1], COUNT_SCHEMA)) and rollup.commit(2, spark.createDataFrame(docs[2], COUNT_SCHEMA))
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(2, 5)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
