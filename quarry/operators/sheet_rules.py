@@ -32,13 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.nfkc import nfkc_strings
-from quarry.functions.text import (after_label, needs_nfkc, normalize_mid, normalize_py, normalize_tail, py_strip,
+from quarry.functions.text import (after_label, normalize_mid, normalize_py, normalize_tail, py_strip,
                                    text_between)
 from quarry.operators import rules as R
 from quarry.operators.compile import Rule
 
 #: Rows of a sheet that share a key in an interval join.
 BUCKET = 4096
+#: A range that reaches beyond this row is first cut to the sheet's own rows.
+FAR = 1000 * BUCKET
 HITS_T = "rule_no int, sheet_ord int, row_no bigint"
 FACTS_T = (f"rule_no int, kind string, location string, miss_note string, ref {R.REF_T}, needs_ok boolean, no_hit boolean, "
            "cand boolean, error string, fallback string")
@@ -172,10 +174,15 @@ def buckets(lo: Column, hi: Column) -> Column:
     return F.sequence(F.floor(lo / BUCKET), F.floor(hi / BUCKET))
 
 
-def _rectangle_facts(wb, asked: list[tuple[Rule, object, tuple]]) -> DataFrame | None:
+def _rectangle_facts(wb, asked: list[tuple[Rule, object, tuple]], sizes: dict[int, int]) -> DataFrame | None:
     """rule_no, v (the first cell's text), head (the first row's texts), ok
-    (some cell is not blank) of every rectangle that has rows in its sheet."""
+    (some cell is not blank) of every rectangle that has rows in its sheet.
+    ``sizes`` (last rows, where known) keeps a far-reaching range from spanning buckets without rows."""
     spark, out = wb.spark, None
+    asked = [(rule, sheet, (r1, c1, min(r2, sizes.get(sheet.ord, r2)), c2)) for rule, sheet, (r1, c1, r2, c2) in asked]
+    asked = [x for x in asked if x[2][0] <= x[2][2]]
+    if not asked:
+        return None
     rects = spark.createDataFrame([(rule.rule_no, sheet.ord, *map(int, rect)) for rule, sheet, rect in asked],
                                   "rule_no int, sheet_ord int, r1 bigint, c1 int, r2 bigint, c2 int")
     rects = rects.withColumn("bucket", F.explode(buckets(F.col("r1"), F.col("r2"))))
@@ -229,7 +236,9 @@ def workbook_records(wb, rules: list[Rule]) -> DataFrame:
 
     facts, reads, rects = [], [], []
     open_ended = any(r.sheet_ref and r.sheet_ref[0] == "range" and r.sheet_ref[1] is None for r in live)
-    sizes = wb.sizes() if open_ended or any(r.type in ("around_keywords", "table_contains") for r in live) else {}
+    far = any(r.sheet_ref and r.sheet_ref[0] == "range" and r.sheet_ref[1] is not None and
+              max(r.sheet_ref[1], r.sheet_ref[3]) > FAR for r in live)
+    sizes = wb.sizes() if open_ended or far or any(r.type in ("around_keywords", "table_contains") for r in live) else {}
     for r in rules:
         n, kind, location, note, ref, needs_ok, no_hit = r.rule_no, "text", None, None, None, False, True
         if r.error is not None:
@@ -278,7 +287,7 @@ def workbook_records(wb, rules: list[Rule]) -> DataFrame:
 
     table = spark.createDataFrame(facts, FACTS_T)
     got = _read(wb, {r.rule_no: r for r in live}, reads)
-    boxes = _rectangle_facts(wb, rects) if rects else None
+    boxes = _rectangle_facts(wb, rects, sizes) if rects else None
     if boxes is not None:
         got = boxes if got is None else got.unionByName(boxes)
     if got is None:

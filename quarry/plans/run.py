@@ -261,12 +261,6 @@ def corpus_file_records(spark: SparkSession, corpus: Corpus, rules: list[Rule])
     return per_file if books is None else per_file.unionByName(books)
 
 
-def corpus_flags(corpus: Corpus, rules: list[Rule]) -> DataFrame:
-    """``corpus_file_records`` without the records: only whether each is a find."""
-    flags, books = file_records(corpus.all_files(), rules, flags=True).drop("problem"), _book_records(corpus, rules)
-    return flags if books is None else flags.unionByName(flags_of(books))
-
-
 def run_ruleset(spark: SparkSession, corpus: Corpus, ruleset: dict) -> DataFrame:
     """The records of one rule set over every project of the corpus, in two
     passes: the first ranks flags and labels, the second builds records for the
