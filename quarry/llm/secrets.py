@@ -4,7 +4,9 @@ Every whole text is searched for three kinds of secrets. Then runs that look
 encoded (URL escapes, Unicode escapes, base64, and base64 of gzip or zlib
 data) are decoded into layers of their own, which are searched and decoded in
 turn until nothing new appears. A base64 run goes on over line ends, as far as
-it decodes; its lines are tried alone as well. Each character of a layer knows the span of
+it decodes; its lines are tried alone as well. Bytes that are no text become
+replacement characters, so they hide nothing around them; bytes that look like
+UTF-16 are read as such. Each character of a layer knows the span of
 the original text it came from, so a find in a nested layer is reported as a
 span of the text. A layer that has been seen for the same span is not opened
 again, which ends cycles. The work is row-local; there is no shuffle.
@@ -20,6 +22,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,11 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 # The rest of a line end between two lines of one base64 run, and the line that follows.
-WRAP = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+# A line end may be written as an escape, as in JSON.
+WRAP = re.compile(r"(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_-]+={0,2})")
+# The shortest find has 14 characters in a row; bytes without them are no layer.
+READABLE = re.compile(rb"[\x09-\x0d\x20-\x7e]{14}")
+WIDE = re.compile(rb"(?P<le>(?:[\x09-\x0d\x20-\x7e]\0){14})|(?:\0[\x09-\x0d\x20-\x7e]){14}")
 #: Inflated data is scanned in blocks of so many bytes, each with the last
 #: ``OVERLAP`` characters of the one before, so the memory of a run is bounded.
 INFLATE_LIMIT = 64 << 20
@@ -61,24 +68,39 @@ class Layer:
     def __init__(self, text: str, spans: list[Span] | Whole | None, path: tuple[str, ...]):
         self.text, self.spans, self.path = text, spans, path
 
+    @cached_property
+    def shown(self) -> set[tuple[str, int, int]]:
+        """Finds of the layer as it stands, as spans of the original."""
+        return {(k, *self.origin(s, e)) for k, s, e in base_spans(self.text)}
+
     def origin(self, start: int, end: int) -> Span:
         if self.spans is None:
             return start, end
         return min(s for s, _ in self.spans[start:end]), max(e for _, e in self.spans[start:end])
 
 
-def _characters(data: bytes, spans: list[Span]) -> tuple[str, list[Span]] | None:
-    """UTF-8 bytes with a span each, to characters with a span each."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _wide(data: bytes) -> tuple[str, int] | None:
+    """The kind of UTF-16 that some of the bytes look like, and the first
+    byte (0 or 1) of its units."""
+    m = WIDE.search(data)
+    return m and ("utf-16-le" if m["le"] else "utf-16-be", m.start() % 2)
+
+
+def _characters(data: bytes, spans: list[Span], wide: tuple[str, int] | None = None) -> tuple[str, list[Span]]:
+    """Bytes with a span each, to characters with a span each. What is no
+    UTF-8 or UTF-16 becomes a replacement character for each byte or unit."""
+    if wide:
+        spans = spans[wide[1]:]
+        raw = data[wide[1]:(len(data) - wide[1]) // 2 * 2 + wide[1]].decode(wide[0], "surrogatepass")
+        lengths = [4 if ord(c) > 0xFFFF else 2 for c in raw]
+    else:
+        raw = data.decode("utf-8", "surrogateescape")
+        lengths = [1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode("utf-8")) for c in raw]
     out, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        out.append((spans[at][0], spans[at + n - 1][1]))
-        at += n
-    return text, out
+    for n in lengths:
+        out.append((spans[at][0], spans[min(at + n, len(spans)) - 1][1]))
+        at = min(at + n, len(spans) - 1)
+    return re.sub("[\ud800-\udfff]", "\ufffd", raw), out
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -90,8 +112,6 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         parts, spans, at, changed = [], [], 0, False
         for m in pattern.finditer(layer.text):
             new = _unescape(layer, m)
-            if new is None:
-                continue
             changed = True
             parts += [layer.text[at:m.start()], new[0]]
             spans += [layer.origin(i, i + 1) for i in range(at, m.start())] + new[1]
@@ -102,7 +122,7 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
             yield Layer("".join(parts), spans, (*layer.path, name))
 
 
-def _unescape(layer: Layer, m: re.Match) -> tuple[str, list[Span]] | None:
+def _unescape(layer: Layer, m: re.Match) -> tuple[str, list[Span]]:
     run, width = m.group(), {"%": 3, "\\u": 6, "\\x": 4}["%" if m.group()[0] == "%" else m.group()[:2]]
     spans = [layer.origin(m.start() + k, m.start() + k + width) for k in range(0, len(run), width)]
     if width == 6:
@@ -129,29 +149,54 @@ class Whole:
 
 
 def _inflated(data: bytes) -> Iterator[str]:
-    """Texts of gzip or zlib data, member after member, in blocks. A stream
-    that breaks off or is damaged gives what could be read."""
+    """Texts of gzip or zlib data, member after member, in blocks, with
+    replacement characters for what is no text. A stream that breaks off or is
+    damaged gives what could be read."""
     while _compressed(data):
         z, tail = zlib.decompressobj(47), ""  # either header
-        utf8 = codecs.getincrementaldecoder("utf-8")()
+        decoder = None
         feed = data
         while True:
-            try:
-                plain = z.decompress(feed, INFLATE_LIMIT)
-                text = utf8.decode(plain, z.eof)
-            except (zlib.error, UnicodeDecodeError):
-                break
+            plain, damaged = _plain(z, feed)
+            if decoder is None:
+                wide = None if READABLE.search(plain) else _wide(plain)
+                decoder = codecs.getincrementaldecoder(wide[0] if wide else "utf-8")("replace")
+                plain = plain[wide[1]:] if wide else plain
+            text = decoder.decode(plain, z.eof or damaged)
             if text:
                 yield tail + text
                 tail = (tail + text)[-OVERLAP:]
             feed = z.unconsumed_tail
-            if z.eof or not feed and not plain:
+            if damaged or z.eof or not feed and not plain:
                 break
         if not z.eof:
             return
         data = z.unused_data
 
 
+def _plain(z, feed: bytes) -> tuple[bytes, bool]:
+    """The next block, and whether the stream is damaged; of a damaged block
+    what comes before the fault."""
+    before = z.copy()
+    try:
+        return z.decompress(feed, INFLATE_LIMIT), False
+    except zlib.error:
+        pass
+    out = bytearray()
+    # halve the steps, so the bytes before the fault are found in few tries
+    step, at = max(1, len(feed) // 2), 0
+    while step:
+        trial = before.copy()
+        try:
+            out += trial.decompress(feed[at:at + step], INFLATE_LIMIT - len(out))
+            before, at = trial, at + step
+            if at >= len(feed) or trial.unconsumed_tail:
+                break
+        except zlib.error:
+            step //= 2
+    return bytes(out), True
+
+
 def _compressed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0
 
@@ -184,34 +229,44 @@ def _runs(text: str) -> Iterator[list[Span]]:
             done = chain[last][1]
 
 
-def _stream_end(data: bytes) -> int:
-    """Bytes of compressed data at the start: up to the end of its last
-    member, all if it breaks off, none if it is damaged."""
-    rest = data
-    while _compressed(rest):
-        z, feed = zlib.decompressobj(47), rest
-        try:
-            while not z.eof and (z.decompress(feed, 1 << 20) or z.unconsumed_tail):
-                feed = z.unconsumed_tail
-        except zlib.error:
-            break
-        if not z.eof:
-            return len(data)
-        rest = z.unused_data
-    return len(data) - len(rest)
+def _stream_line(text: str, chain: list[Span], first: int) -> int | None:
+    """The line in which compressed data that starts with line ``first`` ends:
+    that of its last member's end, of a fault after some output, or the last
+    line. None if nothing can be read. Lines are read one after the other and no
+    further than the data goes."""
+    z, rest, pending, end, some = zlib.decompressobj(47), "", b"", None, False
+    for k, (s, e) in enumerate(chain[first:], first):
+        rest += text[s:e].rstrip("=")
+        cut = len(rest) // 4 * 4 if k + 1 < len(chain) else len(rest) - (len(rest) % 4 == 1)
+        pending += _decoded(rest[:cut]) or b""
+        rest = rest[cut:]
+        while pending:
+            if z is None:
+                if len(pending) < 2 and pending[:1] in (b"\x1f", b"\x78") and k + 1 < len(chain):
+                    break
+                if not _compressed(pending):
+                    return end
+                z = zlib.decompressobj(47)
+            try:
+                some = bool(z.decompress(pending, 1 << 20)) or some
+            except zlib.error:
+                return end if end is not None else k if some else None
+            if z.eof:
+                pending, z, end = z.unused_data, None, k
+            else:
+                pending = z.unconsumed_tail
+    return len(chain) - 1 if z is not None else end
 
 
 def _joined(text: str, chain: list[Span], first: int) -> int:
     """The last of the lines from ``first`` on that make up one run: those of
-    compressed data, which knows its end, else those that decode to text."""
-    utf8, rest, last = codecs.getincrementaldecoder("utf-8")(), "", first
-    if (head := _decoded(text[chain[first][0]:chain[first][0] + 4])) and _compressed(head):
-        run = "".join(text[s:e] for s, e in chain[first:]).rstrip("=")
-        end = _stream_end(_decoded(run[:-1] if len(run) % 4 == 1 else run) or b"")
-        for k in range(first, len(chain) if end else first):
-            end -= (chain[k][1] - chain[k][0]) * 3 / 4
-            if end <= 0 or k + 1 == len(chain):
-                return k
+    compressed data, which knows its end; else those that decode to text;
+    with bytes that are no text, the lines of one width and the one after them."""
+    rest, last = "", first
+    if ((head := _decoded(text[chain[first][0]:chain[first][0] + 4])) and _compressed(head)
+            and (end := _stream_line(text, chain, first)) is not None):
+        return end
+    utf8 = codecs.getincrementaldecoder("utf-8")()
     for k, (s, e) in enumerate(chain[first:], first):
         rest += text[s:e].rstrip("=")
         cut = len(rest) // 4 * 4
@@ -223,15 +278,23 @@ def _joined(text: str, chain: list[Span], first: int) -> int:
             state, tail = utf8.getstate(), _decoded(left) if left else b""
             fits = tail is not None and not any(b < 9 for b in tail) and _is_text(state[0] + tail)
         except UnicodeDecodeError:
-            break
+            return max(last, _width_line(chain, first))
         if any(b < 9 for b in data):
-            break
+            return max(last, _width_line(chain, first))
         if fits:
             last = k
         rest = left
     return last
 
 
+def _width_line(chain: list[Span], first: int) -> int:
+    """The last line of a block of one width, the shorter line after it included."""
+    width, k = chain[first][1] - chain[first][0], first
+    while k + 1 < len(chain) and chain[k + 1][1] - chain[k + 1][0] == width:
+        k += 1
+    return k + (k + 1 < len(chain) and chain[k + 1][1] - chain[k + 1][0] < width)
+
+
 def _is_text(data: bytes) -> bool:
     try:
         data.decode("utf-8")
@@ -241,7 +304,7 @@ def _is_text(data: bytes) -> bool:
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    """A layer for every base64 run that holds text or compressed text."""
+    """A layer for every base64 run that holds something readable or compressed."""
     for lines in _runs(layer.text):
         run = "".join(layer.text[s:e] for s, e in lines).rstrip("=")
         if len(run) % 4 == 1:
@@ -256,7 +319,8 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 yield Layer(text, Whole(whole, k > 0), (*layer.path, "base64", "compressed"))
             if k >= 0:
                 continue
-        if any(b < 9 for b in data):
+        wide, narrow = _wide(data), _is_text(data) or READABLE.search(data)
+        if not wide and not narrow:
             continue
         if len(lines) == 1:
             start, end = lines[0]
@@ -264,8 +328,8 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         else:
             at = [i for s, e in lines for i in range(s, e)]
             spans = [layer.origin(at[4 * (k // 3)], at[min(4 * (k // 3) + 4, len(at)) - 1] + 1) for k in range(len(data))]
-        if new := _characters(data, spans):
-            yield Layer(*new, (*layer.path, "base64"))
+        for way in ([None] if narrow else []) + ([wide] if wide else []):
+            yield Layer(*_characters(data, spans, way), (*layer.path, "base64"))
 
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
@@ -284,11 +348,10 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
                 continue
             seen.add(mark)
             work.append((new, None))
-            # what the parent layer shows as it stands is not found anew
-            shown = {(k, *layer.origin(s, e)) for k, s, e in base_spans(layer.text)}
             for kind, s, e in base_spans(new.text):
                 at = new.origin(s, e)
-                if (kind, *at) not in shown:
+                # what the parent layer shows as it stands is not found anew
+                if (kind, *at) not in layer.shown:
                     out.add((">".join((*new.path, kind)), *at))
             if isinstance(new.spans, Whole) and new.spans.later:
                 # a later block is opened before the next one is read, so blocks do not pile up
