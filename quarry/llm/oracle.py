@@ -37,23 +37,36 @@ def _spellings(column: str) -> str:
     return column
 
 
+# The clause in patterns of its own: where it begins, who is named, where it ends.
+_BEGINS = r"(?:(?:copyright[ \t:]*)?©|copyright[ \t:]*\(c\)|(?:copyright|\(c\))[ \t:]*[<{(\[]?(?:1[0-9]{3}|2[0-9]{3}|yyyy|year))"
+_THEN = "|".join(["all rights reserved", "permission (?:is|to)", "redistribution and", "(?:licensed|released) under",
+                  "this (?:file|program|software|source|work)"])
+_CUT = rf"(?m)^[-;/*#> \t]*{_BEGINS}[^\n]{{0,200}}?(\.[ \t]|\.?\r?$|[ \t]+(?:{_THEN}))"
+_FSF = r"copyright[ \t\r\n]+\(c\)[-,0-9 \t\r\n]+free[ \t\r\n]+software[ \t\r\n]+foundation"
+
 LICENSES = f"""
 with known(license_id, text) as (values {', '.join(f'({_q(i)}, {_q(t)})' for i, t in L.KNOWN)}),
-texts as (select row_number() over () as r, doc_id, cast(null as varchar) as license_id, text from documents
-          union all select null, null, license_id, text from known),
-shown as (select r, doc_id, license_id, array_to_string(list_transform(
-            string_split(translate(text, '{L.UPPER}', '{L.LOWER}'), chr(10)),
-            lambda x: case when regexp_matches(x, {_q(L.COPYRIGHT)}) or regexp_matches(x, {_q(L.RESERVED)}) then ''
-                      else ' ' || regexp_replace(x, {_q(L.OTHER)}, ' ', 'g') || ' ' end), chr(10)) as s from texts),
+texts as (select row_number() over () as r, doc_id, cast(null as varchar) as license_id,
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+          union all select null, null, license_id,
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from known),
+clean as (select r, doc_id, license_id, regexp_replace(
+            case when contains(t, 'copyright') or contains(t, '(c)') or contains(t, '©')
+                 then regexp_replace(regexp_replace(regexp_replace(t, '\\b([a-z]|co|corp|inc|jr|ltd)\\.', '\\1 ', 'g'),
+                                     {_q(_FSF)}, ' free software foundation', 'g'), {_q(_CUT)}, ' \\1', 'g')
+                 else t end, 'all[ \t\r\n]+rights[ \t\r\n]+reserved', ' ', 'g') as t from texts),
+shown as (select r, doc_id, license_id, array_to_string(list_transform(string_split(t, chr(10)),
+            lambda x: ' ' || regexp_replace(x, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' '), chr(10)) as s from clean),
 spelt as (select r, doc_id, license_id, {_spellings('s')} as s from shown),
-forms as (select r, doc_id, license_id,
-                 list_transform(string_split(regexp_replace(s, ' +', ' ', 'g'), chr(10)), lambda x: trim(x)) as f from spelt),
+forms as (select r, doc_id, license_id, list_filter(list_transform(
+            string_split(regexp_replace(s, ' +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as f from spelt),
 whole as (select r, doc_id, license_id, f,
-                 case when array_to_string(list_filter(f, lambda x: x <> ''), ' ') <> ''
-                      then sha256(array_to_string(list_filter(f, lambda x: x <> ''), ' ')) end as digest from forms),
+                 case when len(f) > 0 then sha256(array_to_string(f, ' ')) end as digest from forms),
 k as (select digest as kd, min(license_id) as known_id from whole where r is null and digest is not null group by 1),
+places as (select r, f, unnest(range(1, len(f) + 1)) as i from whole where r is not null),
 lines as (select r, string_agg(distinct known_id, ',' order by known_id) as line_licenses
-          from (select r, unnest(f) as x from whole where r is not null) join k on x <> '' and sha256(x) = kd group by r)
+          from (select r, array_to_string(f[i:i + n - 1], ' ') as x from places, (values (1), (2), (3)) as w(n)
+                where i + n - 1 <= len(f)) join k on sha256(x) = kd group by r)
 select doc_id, digest, known_id as license_id, coalesce(line_licenses, '') as line_licenses
 from whole left join k on digest = kd left join lines using (r) where whole.r is not null
 """

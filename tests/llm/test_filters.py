@@ -179,6 +179,45 @@ def test_secret_layers_end():
     assert secrets.added_spans(text) == []
 
 
+def test_secrets_behind_bytes_that_are_no_text():
+    """Every way of wrapping, in two levels, with and without bad bytes around: the find is there and covers the run."""
+    find, rng = b"password=abcdefghij", random.Random(8)
+    around = [b"", b"\xff\xfe\xc3 ", b"\x00\x01\x02 ", b"\xe2\x82"]
+    code = lambda x: base64.b64encode(x)
+    wrapped = lambda x: b"\n".join(code(x)[k:k + 64] for k in range(0, len(code(x)), 64))
+    escaped = lambda x: "".join(f"%{b:02x}" for b in x).encode()
+    ways = [code, wrapped, lambda x: wrapped(x).replace(b"\n", rb"\n"), escaped, lambda x: code(gzip.compress(x + rng.randbytes(40)))]
+    for inner in ways:
+        for outer in [None, *ways]:
+            for a in around:
+                run = inner(a + b"some words and " + find + b" to go " + a)
+                run = outer(b"- " + run + b" -") if outer else run
+                text = f"é <{run.decode()}> end"
+                found = secrets.added_spans(text)
+                assert any(w.endswith(">assign") and 3 <= s < e <= len(text) - 5 for w, s, e in found), (a, text)
+    for kind in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert kinds(code(find.decode().encode(kind)).decode()) == {"base64>assign"}
+        assert kinds(code(gzip.compress((find.decode() + " and more").encode(kind))).decode()) == {"base64>compressed>assign"}
+
+
+def test_damaged_streams_give_what_comes_before_the_fault():
+    plain = b"password=abcdefghij " + b" ".join(str(random.Random(k).random()).encode() for k in range(300))
+    data = bytearray(gzip.compress(plain))
+    data[-60] ^= 255
+    assert any(w == "base64>compressed>assign" for w, _, _ in secrets.added_spans(base64.b64encode(bytes(data)).decode()))
+
+
+def test_lines_that_look_compressed_take_linear_time():
+    import time
+
+    def seconds(n):
+        rng, start = random.Random(3), time.process_time()
+        secrets.find("\n".join(base64.b64encode(b"\x78\x9c" + rng.randbytes(40)).decode()[:56] for _ in range(n)))
+        return time.process_time() - start
+
+    assert seconds(4000) < 10 * seconds(1000) + 1
+
+
 def test_licences(spark):
     mit, bsd = "Released under the MIT License.", licenses.KNOWN[-1][1]
     texts = [None, "", mit, "  released UNDER the  mit licence!! ", "Copyright (c) 2020 Someone\n" + mit, f"prose here\n{mit}\nmore",
@@ -203,10 +242,27 @@ def test_whole_licences(spark):
         text = (folder / f"{name}.txt").read_text("utf-8")
         texts += [(name, text), (name, "Copyright (c) 2021 Some Body\n\n" + text.replace("\n", "\r\n")),
                   (name, text.replace("[yyyy] [name of copyright owner]", "2019 Another Holder"))]
-        if name in licenses.TITLES:
-            parts = [" ".join(p.split()) for p in text.split("\n\n")]
-            for width in (64, 72, 79, 95, 10**6):
-                body = "\n\n".join(textwrap.fill(p, width) for p in parts)
-                texts.append((name, f"{licenses.TITLES[name][0]}\n\nCopyright 2020, A. Holder\nAll rights reserved.\n\n{body}"))
+        parts = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text)]
+        for width in (40, 64, 72, 79, 95, 120, 10**6):
+            body = "\n\n".join(textwrap.fill(p, width) for p in parts)
+            title = licenses.TITLES.get(name, [""])[0]
+            texts.append((name, f"{title}\n\nCopyright 2020, A. Holder\nAll rights reserved.\n\n{body}"))
     rows = {r.doc_id: r.license_id for r in licenses.scan(documents(spark, [(k, t) for k, (_, t) in enumerate(texts)])).collect()}
     assert [rows[k] for k in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_altered_licences_and_notices(spark):
+    from pathlib import Path
+
+    apache = Path(licenses.__file__).with_name("known_licenses").joinpath("Apache-2.0.txt").read_text("utf-8")
+    assert "(c) You must retain" in apache
+    notice = "Released under the MIT License."
+    texts = [re.sub(r"\(c\) You must retain.*?(?=\(d\))", "(c) You owe the author ten dollars; and\n\n", apache, flags=re.S),
+             apache.replace("copyright license to reproduce", "copyright fee to reproduce"),
+             f"Copyright (c) 2020 Some Body, Inc. {notice}", f"Copyright 2020 Some Body {notice}", "Released under\nthe MIT\nLicense.",
+             f"(c) You owe the author ten dollars. {notice}", f"copyright notice of ours\n{notice}",
+             "Released\nunder\nthe MIT\nLicense.", f"Copyright 2020 A\nCopyright (c) 2021 B\n© C\nAll rights\nreserved. {notice}",
+             "prose\n# Released under\n# the MIT License.\nprose"]
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, list(enumerate(texts)))).collect()}
+    assert [rows[k].license_id for k in range(len(texts))] == [None, None, "MIT", "MIT", "MIT", None, None, "MIT", "MIT", None]
+    assert [rows[k].line_licenses for k in range(2, len(texts))] == [["MIT"]] * 3 + [[]] + [["MIT"], [], ["MIT"], ["MIT"]]
