@@ -23,6 +23,10 @@ LEGACY_DOC_PROBLEM = ("Legacy '.doc' files cannot be read. Open in Word and use
                       "Word Document (.docx), then re-upload.")
 
 
+#: Paths of older versions up to this many are broadcast.
+BROADCAST_PATHS = 200_000
+
+
 def extension(label: Column) -> Column:
     return F.lower(F.regexp_extract(label, "(\\.[^./\\\\]*)$", 1))
 
@@ -44,21 +48,34 @@ def below(path: Column, root: str) -> Column:
 def list_folder(spark: SparkSession, path: str, project_from_dir: bool = True) -> DataFrame:
     """Every regular file under ``path``; project = first folder
     below ``path`` (or the folder itself); a re-upload with the same label
-    keeps the latest modification."""
+    keeps the latest modification, of equal times the greatest path.
+
+    Versions are chosen on paths and times alone, which ``binaryFile`` lists
+    without opening a file. The paths of older versions, which are few, are
+    left out before bytes are read, so bytes pass no shuffle (beyond
+    ``BROADCAST_PATHS`` older versions they do)."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     label = F.regexp_extract("path", "([^/]+)$", 1)
     root = path.rstrip("/")
     rel = below(F.col("path"), root)
     project = F.when(F.lit(project_from_dir) & rel.contains("/"), F.substring_index(rel, "/", 1)) \
         .otherwise(F.lit(root.rsplit("/", 1)[-1]))
-    files = raw.select(project.alias("project_id"), label.alias("label"), "path", "modificationTime",
-                       F.col("length").alias("size"), "content").filter(~F.col("label").startswith("~$"))
-    latest = files.groupBy("project_id", "label").agg(
-        F.max_by(F.struct("path", "size", "content"), "modificationTime").alias("f"))
+    files = raw.withColumns({"project_id": project, "label": label}).filter(~F.col("label").startswith("~$"))
+    older = older_versions(files.select("project_id", "label", "path", "modificationTime"))
+    n = older.limit(BROADCAST_PATHS + 1).count()
+    if n:
+        files = files.join(F.broadcast(older) if n <= BROADCAST_PATHS else older, "path", "left_anti")
     ext = extension(F.col("label"))
-    return latest.select("project_id", "label", "f.path", "f.size", ext.alias("ext"),
-                         ext.isin(*SUPPORTED).alias("supported"), problem_for(ext).alias("problem"),
-                         F.sha2(F.col("f.content"), 256).alias("sha256"), "f.content")
+    return files.select("project_id", "label", "path", F.col("length").alias("size"), ext.alias("ext"),
+                        ext.isin(*SUPPORTED).alias("supported"), problem_for(ext).alias("problem"),
+                        F.sha2("content", 256).alias("sha256"), "content")
+
+
+def older_versions(listed: DataFrame) -> DataFrame:
+    """Paths of files that another one with the same project and label supersedes."""
+    newest = (listed.groupBy("project_id", "label").agg(F.max(F.struct("modificationTime", "path")).alias("f"), F.count("*").alias("n"))
+              .filter("n > 1").select("project_id", "label", F.col("f.path").alias("newest")))
+    return listed.join(newest, ["project_id", "label"]).filter("path <> newest").select("path")
 
 
 def choose(files: DataFrame, labels: list[str] | None) -> DataFrame:
