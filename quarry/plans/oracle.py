@@ -663,6 +663,7 @@ SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, sha256(text) A
 UNION ALL
 SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), 'page_' || page_id || '.html', sha256(html) FROM pages""",
         "run_warnings": run_warnings_sql(),
+        "report_lines": report_lines_sql(),
         "files_register": f"""
 WITH F0 AS (
   SELECT source AS project_id, 'doc_' || doc_id || '.txt' AS label, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents
@@ -722,16 +723,46 @@ WITH FL AS (SELECT lang AS project_id, 'doc_' || doc_id || '.txt' AS label,
 SELECT project_id, label, label || ': ' || problem AS warning FROM FL f WHERE problem IS NOT NULL AND ({picked})"""
 
 
-def unreadable_files_sql() -> str:
+def unreadable_records_sql() -> str:
     from quarry.plans.queries import BETWEEN_RULES, UNREADABLE_LANG
     given = f""",
 FL AS (SELECT lang AS project_id, 'doc_' || doc_id || '.txt' AS label FROM documents),
 PL AS (SELECT PF.* REPLACE (FL.project_id AS project_id) FROM PF JOIN FL ON FL.label = PF.label
        WHERE FL.project_id IS DISTINCT FROM {q(UNREADABLE_LANG)})"""
-    return records_sql(BETWEEN_RULES, ("doc",), given, "FL", "PL") + """
+    return records_sql(BETWEEN_RULES, ("doc",), given, "FL", "PL")
+
+
+def unreadable_files_sql() -> str:
+    return unreadable_records_sql() + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, found, citation, note FROM RECORDS"""
 
 
+def report_lines_sql() -> str:
+    from quarry.plans.queries import LANGUAGE_TEMPLATE, RUN_STAMP
+    from quarry.plans.report import FLAG_TEXT, LEFTOVER_BASE, NOT_FOUND
+    secs = ", ".join(f"({i}, {q(s['type'])}, {q(s.get('text') or s.get('field'))})"
+                     for i, s in enumerate(LANGUAGE_TEMPLATE["sections"]))
+    return unreadable_records_sql() + f""",
+SECS(no, type, text) AS (VALUES {secs}),
+PROJECTS AS (SELECT DISTINCT project_id FROM RECORDS),
+PLACED AS (SELECT r.*, s.no AS place FROM SECS s JOIN RECORDS r ON s.type = 'field' AND s.text = r.name
+           UNION ALL SELECT *, {LEFTOVER_BASE} + rule_no FROM RECORDS WHERE name NOT IN (SELECT text FROM SECS WHERE type = 'field')),
+LINES AS (
+SELECT project_id, 0 AS part, k AS key, '' AS name, line FROM PROJECTS,
+  (VALUES (0, {q('# ' + LANGUAGE_TEMPLATE['title'])}), (1, ''), (2, {q(f'*Generated {RUN_STAMP}*')}), (3, '')) AS h(k, line)
+UNION ALL SELECT project_id, 1, 0, label, '- ' || label FROM FL
+UNION ALL SELECT project_id, 2, 0, label, '- Warning: ' || warning FROM ({run_warnings_sql()})
+UNION ALL SELECT project_id, 3, rule_no, name, '> - **' || name || '**: ' || coalesce(note, {q(FLAG_TEXT)})
+  FROM RECORDS WHERE NOT found OR note IS NOT NULL
+UNION ALL SELECT project_id, 4, 4 * no, '', '## ' || text FROM SECS, PROJECTS WHERE type = 'heading'
+UNION ALL SELECT project_id, 4, 4 * place, '', '### ' || name FROM PLACED
+UNION ALL SELECT project_id, 4, 4 * place + 1, '', CASE WHEN found THEN coalesce(value, '')
+    ELSE '**' || coalesce(note, {q(NOT_FOUND)}) || '**' END FROM PLACED
+UNION ALL SELECT project_id, 4, 4 * place + 2, '', '*Note: ' || note || '*' FROM PLACED WHERE found AND note IS NOT NULL
+UNION ALL SELECT project_id, 4, 4 * place + 3, '', '`Source: ' || citation || '`' FROM PLACED)
+SELECT project_id, CAST(part AS BIGINT) AS part, CAST(key AS BIGINT) AS key, name, line FROM LINES WHERE line IS NOT NULL"""
+
+
 def page_ctes() -> str:
     """Page blocks (S8) as CTEs ending in ``page_blocks``."""
     from quarry.sources.corpus import HTML_BLOCK_TAG, HTML_DROP, HTML_ENTITIES, HTML_OPENERS

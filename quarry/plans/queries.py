@@ -421,6 +421,21 @@ def report_json(spark, sf_dir):
     return REP.report_json(records(spark, sf_dir, materialize=True), CORPUS_TEMPLATE, RUN_STAMP, _file_counts(spark, sf_dir))
 
 
+# A report over languages, one of which cannot be read: two fields in places of their own, one left over.
+LANGUAGE_TEMPLATE = {"name": "Languages", "title": "Documents by language", "sections": [
+    {"type": "heading", "text": "Spans"}, {"type": "field", "field": "span"}, {"type": "field", "field": "token"},
+    {"type": "heading", "text": "Others"}, {"type": "field", "field": "no such field"}]}
+
+
+def report_lines(spark, sf_dir):
+    """Reports with all file names and warnings, as ordered lines."""
+    corpus = unreadable_corpus(spark, sf_dir)
+    recs = records(spark, sf_dir, BETWEEN_RULES, materialize=True, corpus_fn=unreadable_corpus)
+    files = corpus.all_files()
+    return REP.report_lines(recs, LANGUAGE_TEMPLATE, RUN_STAMP, files.select("project_id", "label"),
+                            REP.run_warnings(files, compile_ruleset(BETWEEN_RULES)))
+
+
 # ---------------------------------------------------------------------------
 # merged cells (S9) and the rule lint
 # ---------------------------------------------------------------------------

@@ -4,8 +4,9 @@ Markdown (T1-T4, P9-P13).
 A project's records number one per rule, so grouping them into one report
 row per project is bounded by the rule set. A project's file list is not
 bounded (a project can hold a third of the corpus), so it never goes into a
-report row: reports state the file count, and the per-file fingerprints are
-their own table (``file_manifest``), written partitioned by project.
+report row: the one-row reports state the file count, the per-file fingerprints
+are their own table (``file_manifest``), written partitioned by project, and
+``report_lines`` gives a report of any length as ordered rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import md_table
+from quarry.functions.text import md_table, render_value
 from quarry.operators.compile import Rule
 from quarry.plans.run import DEFAULT_NOTE
 
@@ -209,6 +210,61 @@ def report_json(records: DataFrame, template: dict | None, run_stamp: str, file_
     return doc
 
 
+# The parts of a report in order: title, files, warnings, things to check, fields.
+PARTS = ("head", "file", "warning", "check", "item")
+
+
+def report_lines(records: DataFrame, template: dict | None, run_stamp: str, files: DataFrame,
+                 warnings: DataFrame) -> DataFrame:
+    """T3/P11 as ordered lines: project_id, part (its place in ``PARTS``), key,
+    name, line. A project's lines are ordered by part, key and name, so nothing
+    is gathered and a report may name any number of files and warnings. Values
+    are lines of plain text (rows with ' | ' between cells).
+
+    ``files`` has project_id and label, ``warnings`` project_id, label and
+    warning. Only projects with records have a report; a null label is left out."""
+    def rows(df: DataFrame, part: str, key: Column, name: Column, line: Column) -> DataFrame:
+        return df.select("project_id", F.lit(PARTS.index(part)).cast("long").alias("part"), key.cast("long").alias("key"),
+                         name.alias("name"), line.alias("line"))
+
+    title, none = (template or {}).get("title", DEFAULT_TITLE), F.lit("")
+    projects = records.select("project_id").distinct()
+    head = projects.select("project_id", F.posexplode(F.array(
+        F.lit(f"# {title}"), F.lit(""), F.lit(f"*Generated {run_stamp}*"), F.lit(""))).alias("k", "line"))
+    known = projects.select(F.col("project_id").alias("__project"))
+
+    def ours(df: DataFrame) -> DataFrame:
+        return df.filter("label is not null").join(known, df["project_id"].eqNullSafe(known["__project"]), "left_semi")
+
+    flags = records.filter(~F.col("found") | F.col("note").isNotNull())
+    fields = records.select("project_id", "rule_no", "found", "note", "citation", render_value(
+        F.col("kind"), F.col("value_text"), F.col("value_rows"), F.col("value_blocks")).alias("value"))
+    order = template_order(records, template).withColumnRenamed("project_id", "__project").withColumnRenamed("rule_no", "__rule")
+    items = order.join(fields, F.col("__project").eqNullSafe(F.col("project_id")) & (F.col("__rule") == F.col("rule_no")), "left")
+    value = F.when(F.col("found"), F.coalesce("value", none)).otherwise(
+        F.concat(F.lit("**"), F.coalesce("note", F.lit(NOT_FOUND)), F.lit("**")))
+    field = F.array(F.concat(F.lit("### "), "text"), value,
+                    F.when(F.col("found") & F.col("note").isNotNull(), F.concat(F.lit("*Note: "), "note", F.lit("*"))),
+                    F.concat(F.lit("`Source: "), "citation", F.lit("`")))
+    body = items.select(F.col("__project").alias("project_id"), "sort_key", F.posexplode(
+        F.when(F.col("item_type") == "heading", F.array(F.concat(F.lit("## "), "text"))).otherwise(field)).alias("k", "line"))
+    return (rows(head, "head", F.col("k"), none, F.col("line"))
+            .unionByName(rows(ours(files), "file", F.lit(0), F.col("label"), F.concat(F.lit("- "), "label")))
+            .unionByName(rows(ours(warnings), "warning", F.lit(0), F.col("label"), F.concat(F.lit("- Warning: "), "warning")))
+            .unionByName(rows(flags, "check", F.col("rule_no"), F.col("name"), F.concat(
+                F.lit("> - **"), "name", F.lit("**: "), F.coalesce("note", F.lit(FLAG_TEXT)))))
+            .unionByName(rows(body.filter("line is not null"), "item", F.col("sort_key") * 4 + F.col("k"), none, F.col("line"))))
+
+
+def write_report_lines(lines: DataFrame, path: str) -> None:
+    """Sink: the lines of each project in order under ``path/project_id=<id>/``.
+    A range partition is a task, and a project that spans several has several
+    files, whose names are in order; so a report of any length is written by many tasks."""
+    keys = ["project_id", "part", "key", "name"]
+    (lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("project_id", F.col("line").alias("value"))
+     .write.mode("overwrite").partitionBy("project_id").text(path))
+
+
 def write_reports(reports: DataFrame, column: str, path: str) -> None:
     """Sink: one text file per project under ``path/project_id=<id>/``."""
     (reports.select("project_id", column).repartition("project_id")
