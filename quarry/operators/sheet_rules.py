@@ -11,7 +11,9 @@ only then reads what it needs there:
    filter, and the value is cut out of them;
 3. a table is not copied into the record. The record carries a reference
    (sheet, rows, columns, the row that was hit, the first row's texts), and
-   ``sheet_values`` gives the rows of all references by an interval join.
+   ``sheet_values`` gives the rows of all references by an interval join. A
+   range whose rows the rule itself names is bounded by the rule, so a caller
+   may ask for its rows in the record beside the reference.
 
 Cell addresses and ranges (R5) are rectangles: all rectangles of a rule set
 are rows of one table, joined with the sheets' rows by intervals, one scan for
@@ -174,17 +176,19 @@ def buckets(lo: Column, hi: Column) -> Column:
     return F.sequence(F.floor(lo / BUCKET), F.floor(hi / BUCKET))
 
 
-def _rectangle_facts(wb, asked: list[tuple[Rule, object, tuple]], sizes: dict[int, int]) -> DataFrame | None:
+def _rectangle_facts(wb, asked: list[tuple[Rule, object, tuple]], sizes: dict[int, int], range_values: bool = False) -> DataFrame | None:
     """rule_no, v (the first cell's text), head (the first row's texts), ok
-    (some cell is not blank) of every rectangle that has rows in its sheet.
+    (some cell is not blank) of every rectangle that has rows in its sheet;
+    with ``range_values`` also grid, all rows of each range whose rows its rule names.
     ``sizes`` (last rows, where known) keeps a far-reaching range from spanning buckets without rows."""
     spark, out = wb.spark, None
+    named = {rule.rule_no: rect[2] for rule, _, rect in asked if rule.sheet_ref[0] == "range" and rule.sheet_ref[1] is not None}
     asked = [(rule, sheet, (r1, c1, min(r2, sizes.get(sheet.ord, r2)), c2)) for rule, sheet, (r1, c1, r2, c2) in asked]
     asked = [x for x in asked if x[2][0] <= x[2][2]]
     if not asked:
         return None
-    rects = spark.createDataFrame([(rule.rule_no, sheet.ord, *map(int, rect)) for rule, sheet, rect in asked],
-                                  "rule_no int, sheet_ord int, r1 bigint, c1 int, r2 bigint, c2 int")
+    rects = spark.createDataFrame([(rule.rule_no, sheet.ord, *map(int, rect), named.get(rule.rule_no)) for rule, sheet, rect in asked],
+                                  "rule_no int, sheet_ord int, r1 bigint, c1 int, r2 bigint, c2 int, named bigint")
     rects = rects.withColumn("bucket", F.explode(buckets(F.col("r1"), F.col("r2"))))
     by_sheet: dict[int, list[tuple]] = {}
     for _, sheet, rect in asked:
@@ -199,11 +203,24 @@ def _rectangle_facts(wb, asked: list[tuple[Rule, object, tuple]], sizes: dict[in
     # the rectangles are the rule set's own, a row for each bucket of rows they span
     cut = F.slice("cells", F.greatest(F.col("c1") - F.col("first_col") + 1, F.lit(1)), F.col("c2") - F.col("c1") + 1)
     inside = (out.withColumn("bucket", F.floor(F.col("row_no") / BUCKET)).join(rects, ["sheet_ord", "bucket"])
-              .filter("row_no between r1 and r2").select("rule_no", "row_no", "r1", cut.alias("line")))
-    return inside.groupBy("rule_no").agg(
+              .filter("row_no between r1 and r2")
+              .select("rule_no", "row_no", "r1", cut.alias("line"), "named", (F.col("c2") - F.col("c1") + 1).alias("width")))
+    facts = inside.groupBy("rule_no").agg(
         F.max(F.when(F.col("row_no") == F.col("r1"), F.get("line", F.lit(0)))).alias("v"),
         F.max(F.when(F.col("row_no") == F.col("r1"), F.transform("line", lambda c: F.coalesce(c, F.lit(""))))).alias("head"),
         F.bool_or(F.exists("line", lambda c: F.coalesce(F.trim(c) != "", F.lit(False)))).alias("ok"))
+    if not range_values:
+        return facts
+    # rows of the range that the sheet has not come as blank ones
+    texts = F.transform("line", lambda c: F.coalesce(c, F.lit("")))
+    lines = inside.filter("named is not null").select("rule_no", "row_no", F.concat(
+        texts, F.array_repeat(F.lit(""), F.col("width") - F.size("line"))).alias("line"))
+    blank = (rects.filter("named is not null").select("rule_no", "r1", "named", (F.col("c2") - F.col("c1") + 1).alias("width")).distinct()
+             .select("rule_no", F.explode(F.sequence("r1", "named")).alias("row_no"), F.array_repeat(F.lit(""), F.col("width")).alias("line"))
+             .join(lines, ["rule_no", "row_no"], "left_anti"))
+    grids = lines.unionByName(blank).groupBy("rule_no").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]).alias("grid"))
+    return facts.join(grids, "rule_no", "left")
 
 
 # ---------------------------------------------------------------------------
@@ -215,9 +232,10 @@ def _ref(sheet, row_lo: int, row_hi: int, col_lo: int, col_hi: int, hit: int | N
     return (sheet.name, sheet.ord, row_lo, row_hi, col_lo, col_hi, hit, fill, None)
 
 
-def workbook_records(wb, rules: list[Rule]) -> DataFrame:
+def workbook_records(wb, rules: list[Rule], range_values: bool = False) -> DataFrame:
     """One row for each rule: project_id, label, problem, rule_no, cand, and
-    rec where the workbook's label passes the rule's filter."""
+    rec where the workbook's label passes the rule's filter. With ``range_values``
+    the records of ranges hold their rows, where the rule names these."""
     from quarry.plans.run import finish_sql_by_column  # the record's shape is the run's
 
     spark: SparkSession = wb.spark
@@ -287,17 +305,19 @@ def workbook_records(wb, rules: list[Rule]) -> DataFrame:
 
     table = spark.createDataFrame(facts, FACTS_T)
     got = _read(wb, {r.rule_no: r for r in live}, reads)
-    boxes = _rectangle_facts(wb, rects, sizes) if rects else None
+    boxes = _rectangle_facts(wb, rects, sizes, range_values) if rects else None
     if boxes is not None:
-        got = boxes if got is None else got.unionByName(boxes)
+        got = boxes if got is None else got.unionByName(boxes, allowMissingColumns=True)
     if got is None:
         got = spark.createDataFrame([], "rule_no int, v string, head array<string>, ok boolean")
+    if "grid" not in got.columns:
+        got = got.withColumn("grid", F.lit(None).cast(R.ROWS_T))
     j = table.join(got, "rule_no", "left")
     ok = ~F.col("no_hit") & (~F.col("needs_ok") | F.coalesce("ok", F.lit(False)))
     blank_cell = (F.col("kind") == "text") & F.col("v").isNull()
     raw = F.struct(
         F.col("kind"), F.when(ok & (F.col("kind") == "text"), F.col("v")).alias("value_text"),
-        F.lit(None).cast(R.ROWS_T).alias("value_rows"), F.lit(None).cast(R.VBLOCK_T).alias("value_blocks"),
+        F.when(ok, F.col("grid")).alias("value_rows"), F.lit(None).cast(R.VBLOCK_T).alias("value_blocks"),
         F.when(ok & F.col("ref").isNotNull(), F.col("ref").withField("head", F.coalesce("head", F.col("ref.head")))).alias("value_ref"),
         F.col("location"), F.when(~ok | blank_cell, F.col("miss_note")).alias("note")).cast(R.RAW_T)
     # an exploded column is not copied into the expressions that read its fields

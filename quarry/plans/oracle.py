@@ -230,12 +230,12 @@ def first_row(sql: str, order: str) -> str:
             f"AS rn__ FROM ({sql})) WHERE rn__ = 1")
 
 
-def rule_raw_sql(rule, collections=("doc", "conv", "wb")) -> str:
+def rule_raw_sql(rule, collections=("doc", "conv", "wb"), range_values: bool = False) -> str:
     """Per readable candidate file: label, kind, value, found, location, note, pv, value_ref, hit_row."""
     files = f"SELECT *, CAST(NULL AS VARCHAR) AS value_ref, CAST(NULL AS BIGINT) AS hit_row FROM ({file_raw_sql(rule)})"
     if "wb" not in collections or rule.match_key not in "tpch.xlsx":
         return files
-    return f"{files} UNION ALL SELECT 'tpch', 'tpch.xlsx', kind, value, found, location, note, pv, value_ref, hit_row FROM ({wb_raw_sql(rule)})"
+    return f"{files} UNION ALL SELECT 'tpch', 'tpch.xlsx', kind, value, found, location, note, pv, value_ref, hit_row FROM ({wb_raw_sql(rule, range_values)})"
 
 
 def letters(n: int) -> str:
@@ -253,7 +253,7 @@ def phrase_hit_sql(needle: str) -> str:
     return f"SELECT sheet_ord, sheet, row_no FROM wb_next WHERE {test} ORDER BY sheet_ord, row_no LIMIT 1"
 
 
-def wb_raw_sql(rule) -> str:
+def wb_raw_sql(rule, range_values: bool = False) -> str:
     """One row: what the rule gives on the workbook."""
     none = "CAST(NULL AS VARCHAR)"
 
@@ -265,7 +265,7 @@ def wb_raw_sql(rule) -> str:
         return miss("text", rule.error)
     t = rule.type
     if t == "sheet_cell":
-        return wb_cell_sql(rule)
+        return wb_cell_sql(rule, range_values)
     if t == "between":
         start, end = rule.p("start"), rule.p("end")
         if not start or not end:
@@ -312,7 +312,24 @@ def rect_sql(rule):
     return o, r1, c1, r2, c2
 
 
-def wb_cell_sql(rule) -> str:
+def cell_value_sql(o: int, r: int, c: int) -> str:
+    """A cell of a sheet's table itself, null where it is empty or not there."""
+    name, key, cols = TPCH_SHEETS[o]
+    if c > len(cols):
+        return "CAST(NULL AS VARCHAR)"
+    return q(cols[c - 1][0]) if r == 1 else f"(SELECT max({cell_sql(*cols[c - 1])}) FROM {name} WHERE {key} = {r - 2})"
+
+
+def range_value_sql(o: int, r1: int, c1: int, r2: int, c2: int) -> str:
+    """All rows of a range as one text; rows and cells that the sheet has not are blank."""
+    cells = "[" + ", ".join(f"coalesce(w.cells[{c}], '')" for c in range(c1, c2 + 1)) + "]"
+    return (f"(SELECT string_agg(array_to_string({cells}, ' | '), {NL} ORDER BY s.i, {cells}) "
+            f"FROM (SELECT unnest(generate_series({r1}, {r2})) AS i) s "
+            f"LEFT JOIN (SELECT * FROM wb_rows WHERE sheet_ord = {o}) w ON w.row_no = s.i)")
+
+
+def wb_cell_sql(rule, range_values: bool = False) -> str:
+    """R5 on the workbook; with ``range_values`` a range whose rows the rule names gives their texts."""
     name = rule.p("sheet")
     ref = (rule.params.get("cell", "") or "").strip()
     kind = "table" if ":" in ref else "text"
@@ -330,7 +347,7 @@ def wb_cell_sql(rule) -> str:
     if rule.sheet_ref[0] == "cell":
         r, c = rule.sheet_ref[1:]
         # an empty cell of a record is null, "" in the sheet's text: no driver table has one
-        v = f"(SELECT cells[{c}] FROM wb_rows WHERE sheet_ord = {o} AND row_no = {r})"
+        v = cell_value_sql(o, r, c) if range_values else f"(SELECT cells[{c}] FROM wb_rows WHERE sheet_ord = {o} AND row_no = {r})"
         note = (f"Cell {ref} on '{name}' is empty, or holds a formula whose result was never saved "
                 f"by Excel. Open the workbook in Excel, let it recalculate, save, and retry.")
         return (f"SELECT 'text' AS kind, {v} AS value, coalesce({v} <> '', false) AS found, {loc} AS location, "
@@ -343,7 +360,8 @@ def wb_cell_sql(rule) -> str:
     note = f"Range {ref} on '{name}' is empty, or holds formulas whose results were never saved by Excel."
     pv = f"(SELECT array_to_string({cut}, ' / ') {inside} AND row_no = {r1})"
     address = f"{q(f'{TPCH_SHEETS[o][0]}!{letters(c1)}{r1}:{letters(c2)}')} || {r2 if r2 is not None else n}"
-    return (f"SELECT 'table' AS kind, {none} AS value, {ok} AS found, {loc} AS location, CASE WHEN NOT {ok} THEN {q(note)} END AS note, "
+    value = f"CASE WHEN {ok} THEN {range_value_sql(o, r1, c1, r2, c2)} END" if range_values and r2 is not None else none
+    return (f"SELECT 'table' AS kind, {value} AS value, {ok} AS found, {loc} AS location, CASE WHEN NOT {ok} THEN {q(note)} END AS note, "
             f"{pv} AS pv, CASE WHEN {ok} THEN {address} END AS value_ref, CAST(NULL AS BIGINT) AS hit_row")
 
 
@@ -469,9 +487,9 @@ LEFT JOIN w{n} w ON w.label = c.label LEFT JOIN hl{n} hl ON hl.label = c.label""
     raise ValueError(t)
 
 
-def per_file_sql(rule, collections=("doc", "conv", "wb")) -> str:
+def per_file_sql(rule, collections=("doc", "conv", "wb"), range_values: bool = False) -> str:
     """P5-P8 on one rule's raw rows."""
-    raw = rule_raw_sql(rule, collections)
+    raw = rule_raw_sql(rule, collections, range_values)
     if rule.default and rule.error is None:
         return f"""
 SELECT project_id, label, {rule.rule_no} AS rule_no,
@@ -492,9 +510,9 @@ SELECT project_id, label, {rule.rule_no} AS rule_no, kind,
 FROM ({raw})"""
 
 
-def file_records_sql(ruleset: dict, collections=("doc", "conv", "wb")) -> str:
+def file_records_sql(ruleset: dict, collections=("doc", "conv", "wb"), range_values: bool = False) -> str:
     rules = compile_ruleset(ruleset)
-    body = "\nUNION ALL\n".join(f"SELECT * FROM ({per_file_sql(r, collections)})" for r in rules)
+    body = "\nUNION ALL\n".join(f"SELECT * FROM ({per_file_sql(r, collections, range_values)})" for r in rules)
     return f"WITH {blocks_ctes(collections)},\nPF AS ({body})"
 
 
@@ -586,7 +604,7 @@ SELECT label, CAST(block_no AS BIGINT) AS block_no, CAST(row_no AS BIGINT) AS ro
         "rules_right_of": file_records_sql(Q.RIGHT_OF_RULES) + pf,
         "rules_around": file_records_sql(Q.AROUND_RULES) + pf,
         "rules_table_contains": file_records_sql(Q.TABLE_RULES) + pf,
-        "rules_sheet_cell": file_records_sql(Q.SHEET_RULES) + pf,
+        "rules_sheet_cell": file_records_sql(Q.SHEET_RULES, range_values=True) + pf,
         "apply_ruleset": rec + """
 SELECT project_id, CAST(rule_no AS BIGINT) AS rule_no, name, kind, found, citation, note, rule_type,
   file_label, value, value_ref FROM RECORDS""",

@@ -150,8 +150,8 @@ def apply_ruleset(spark, sf_dir):
     return _records_out(records(spark, sf_dir))
 
 
-def per_file(spark, sf_dir, ruleset, corpus_fn=flagship_corpus) -> DataFrame:
-    pf = RUN.corpus_file_records(spark, corpus_fn(spark, sf_dir), compile_ruleset(ruleset)).filter(F.col("rec").isNotNull())
+def per_file(spark, sf_dir, ruleset, corpus_fn=flagship_corpus, range_values: bool = False) -> DataFrame:
+    pf = RUN.corpus_file_records(spark, corpus_fn(spark, sf_dir), compile_ruleset(ruleset), range_values).filter(F.col("rec").isNotNull())
     r = F.col("rec")
     return pf.select(
         "project_id", "label", F.col("rule_no").cast("bigint").alias("rule_no"), r["kind"].alias("kind"),
@@ -216,7 +216,8 @@ def rules_table_contains(spark, sf_dir):
 
 
 def rules_sheet_cell(spark, sf_dir):
-    return per_file(spark, sf_dir, SHEET_RULES)
+    """R5 with the texts of each range, and its reference."""
+    return per_file(spark, sf_dir, SHEET_RULES, range_values=True)
 
 
 # Rules whose hits lie far down the sheets (no row of `orders` above 400 has

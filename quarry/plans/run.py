@@ -173,12 +173,12 @@ def file_records(files: DataFrame, rules: list[Rule], workbook_exts=(".xlsx", ".
     return files.select("project_id", "label", "problem", F.inline_outer(F.array(*entries)))
 
 
-def sheet_records(workbooks: list[Workbook], rules: list[Rule]) -> DataFrame | None:
+def sheet_records(workbooks: list[Workbook], rules: list[Rule], range_values: bool = False) -> DataFrame | None:
     """The records of relational workbooks: one per (workbook, rule)."""
     from quarry.operators.sheet_rules import workbook_records
     out = None
     for wb in workbooks:
-        recs = workbook_records(wb, rules)
+        recs = workbook_records(wb, rules, range_values)
         out = recs if out is None else out.unionByName(recs)
     return out
 
@@ -245,9 +245,9 @@ def picked(spark: SparkSession, won: DataFrame, per_file: DataFrame, rules: list
     )
 
 
-def _book_records(corpus: Corpus, rules: list[Rule]) -> DataFrame | None:
+def _book_records(corpus: Corpus, rules: list[Rule], range_values: bool = False) -> DataFrame | None:
     """Records of all workbooks' sheets: one small row per workbook and rule."""
-    out = sheet_records(corpus.workbooks, rules)
+    out = sheet_records(corpus.workbooks, rules, range_values)
     if corpus.cell_books is not None:
         decoded = cell_sheet_records(corpus.all_files(), *corpus.cell_books, rules)
         if decoded is not None:
@@ -255,9 +255,10 @@ def _book_records(corpus: Corpus, rules: list[Rule]) -> DataFrame | None:
     return out
 
 
-def corpus_file_records(spark: SparkSession, corpus: Corpus, rules: list[Rule]) -> DataFrame:
-    """Per (file, rule) records of the whole corpus, workbooks included."""
-    per_file, books = file_records(corpus.all_files(), rules), _book_records(corpus, rules)
+def corpus_file_records(spark: SparkSession, corpus: Corpus, rules: list[Rule], range_values: bool = False) -> DataFrame:
+    """Per (file, rule) records of the whole corpus, workbooks included. With
+    ``range_values`` ranges of sheets hold their rows beside the reference."""
+    per_file, books = file_records(corpus.all_files(), rules), _book_records(corpus, rules, range_values)
     return per_file if books is None else per_file.unionByName(books)
 
 
