@@ -32,6 +32,8 @@ from quarry.llm.store import new_path
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
+#: zlib level of the archives: deflating took most of the time, and a lower level costs little space.
+LEVEL = "THREE"
 #: Header-line fields of both versions, in order.
 FIELDS = {1: ("url", "ip", "date", "type", "length"),
           2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length")}
@@ -134,7 +136,7 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def _write(records: DataFrame, path: str, separator: str) -> None:
     # bytes as they are: a cast from binary to string keeps them
     (records.select(F.col("record").cast("string")).write.option("lineSep", separator)
-     .option("compression", "gzip").text(path))
+     .option("compression", "gzip").option("zlib.compress.level", LEVEL).text(path))
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:

@@ -390,3 +390,18 @@ def test_pipeline_drops_near_copies_of_many_lines(spark, tmp_path):
         if name == "line_dedup":
             assert copies & {r.doc_id for r in docs.collect()}  # as remnants
     assert {r.doc_id for r in docs.collect()} == set(range(6))
+
+
+def test_archives_are_written_at_a_fast_level(spark, tmp_path):
+    import glob
+    import gzip
+    import zlib
+
+    rng = random.Random(32)
+    pages = spark.createDataFrame([(k, "u", " ".join(prose(rng, 3000, 500))) for k in range(20)], "page_id long, url string, html string")
+    warc.write_arc(pages.coalesce(1), f"{tmp_path}/arc")
+    (part,) = glob.glob(f"{tmp_path}/arc/part-*.gz")
+    data = open(part, "rb").read()
+    whole = gzip.decompress(data)
+    assert len(list(warc.read_arc(io.BytesIO(whole)))) == 20
+    assert len(data) > 1.02 * len(zlib.compress(whole, 6))
