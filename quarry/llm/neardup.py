@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.store import keep
+from quarry.llm.store import keep, release
 
 SHINGLE = 5
 
@@ -371,24 +371,29 @@ def _dealt(pool: DataFrame, sigs: DataFrame, layout: Layout = AT_85) -> DataFram
     return rows.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = AT_85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = AT_85,
+                    among: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept. Linked
     are sets alike to ``layout.percent`` or more.
 
     ``doc_id`` is an integer. Rows that share an id count as one document with
     several texts. A row without an id links with nothing: its component_id is
     null and it is kept. Null, empty and blank texts have no shingles and are
-    components of their own."""
-    signed = keep(_sign(docs, id_col, text_col, layout), "signatures")
+    components of their own. ``among`` (distinct ``doc_id``) names the documents
+    that take part, where others are to be left out. ``docs`` is read twice: for
+    signatures, and for the texts of documents that share a bucket with another;
+    only these pass a shuffle or are stored."""
+    signed = _sign(docs, id_col, text_col, layout)
+    signed = keep(signed if among is None else signed.join(among, "doc_id", "left_semi"), "signatures")
     classes = keep(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles")
                    .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
     keys = _keys(classes, layout)
-    # buckets of two or more classes, each with its smallest class as pivot
-    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).filter("m > 1").drop("m")
-    hits = keep(keys.join(shared, "key"), "buckets")
+    # buckets of two or more documents, each with its smallest one as pivot; texts of one document need no link
+    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").drop("last")
+    hits = keep(keys.join(shared, "key").dropDuplicates(["key", "rep"]), "buckets")
     sigs = classes.select("rep", "sig", F.col("n_shingles").alias("n"))
     texts = keep(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-                 .join(hits.select("rep").distinct(), "rep", "left_semi"), "texts")
+                 .join(hits.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "text"]), "texts")
 
     # first: every class against the nearest pivot of its buckets
     near = (hits.filter("rep <> pivot").select("rep", "pivot").distinct().join(sigs, "rep")
@@ -406,6 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _bitmaps(pool.select("rep").distinct(), texts), ["rep", "d1"])
     rest = keep(_across(_dealt(pool, full, layout), layout), "pairs")
     final = keep(components(links.unionByName(_linked(rest, texts, layout))), "labels")
+    release(hits, texts, links, label, pool, rest)
 
     of_class = (classes.join(final, classes["rep"] == final["node"], "left")
                 .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")))

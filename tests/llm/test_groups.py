@@ -392,6 +392,31 @@ def test_pipeline_drops_near_copies_of_many_lines(spark, tmp_path):
     assert {r.doc_id for r in docs.collect()} == set(range(6))
 
 
+def test_near_dedup_stage_stores_no_texts_that_need_no_link(spark, tmp_path, monkeypatch):
+    """What line removal leaves of a document shares buckets with its own whole
+    text only. Of 40 documents, only the two that are near copies are stored."""
+    from quarry.llm import queries as Q
+
+    rng = random.Random(31)
+    lines = {k: [" ".join(prose(rng, 12, 10**6)) for _ in range(20)] for k in range(40)}
+    lines[30] = lines[3][:-1] + lines[30][-1:]
+    documents(spark, [(k, "\n".join(x)) for k, x in lines.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = documents(spark, [(k, "\n".join(x[:-1] if k % 2 else x)) for k, x in lines.items() if k != 5])
+    stored = []
+
+    def spy(df, what="table"):
+        out = keep(df, what)
+        stored.append((what, {r[0] for r in out.select(out.columns[0]).collect()} if "text" in out.columns else set()))
+        return out
+
+    for module in (neardup, Q):
+        keep = module.keep
+        monkeypatch.setattr(module, "keep", spy)
+    out = Q.stage_near_dedup(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == set(range(40)) - {5, 30}
+    assert set().union(*[x for _, x in stored]) == {3, 30}
+
+
 def test_archives_are_written_at_a_fast_level(spark, tmp_path):
     import glob
     import gzip
